@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetra.llm import bpe, chat_format, digest, html_extract, kmeans_tree, mixing, ppm_lang, secret_scan, simhash
+from kinetra.llm import bpe, chat_format, digest, hpylm, html_extract, kmeans_tree, mixing, ppm_lang, secret_scan, simhash
 from kinetra.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.fit_and_score(documents(spark, sf_dir))
+
+
 def op7_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.compare_edits(documents(spark, sf_dir))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Query] = {
         op3_secret_scan,
         op4_bpe_codec,
         op5_html_extract,
+        op6_pitman_yor,
         op7_quartile_digest,
         op8_kmeans_tree,
         op9_ppm_language,
