@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetra.llm.common import batch, bytes_of, lower_words, map_batches, materialize
@@ -123,7 +123,6 @@ def links(fps: DataFrame, max_bits: int = 3, bucket_limit: int = BUCKET_LIMIT) -
     """Links ``(a, b)`` that connect the distinct fingerprints ``fps(fp)`` as all links would."""
     parts = max_bits // 2 + 1
     start = _variants((1 << 64) - 1, parts)
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits
     keys = fps.select(
         "fp",
         F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m, _ in start])).alias("slot", "value"),
@@ -131,23 +130,17 @@ def links(fps: DataFrame, max_bits: int = 3, bucket_limit: int = BUCKET_LIMIT) -
     key = ["slot", "value"]
     out = []
     while True:
-        sizes = materialize(
-            keys.groupBy(*key).agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"),
-            "buckets",
-        )
-        out.append(sizes.where("n = 2").where(near("a", "b")).select("a", "b"))
-        busy = sizes.where("n > 2").select(*key, "n")
-        if busy.isEmpty():
-            break
-        inside = keys.join(busy, key)
+        # counted where they meet, so that variants move once and those that meet no other go no further
+        counted = keys.withColumn("n", F.count("*").over(Window.partitionBy(*key)))
+        inside = materialize(counted.where("n > 1"), "buckets")
         small = F.col("n") <= bucket_limit
         if "free" in key:
             small = small | (F.bit_count("free") <= LAST_BITS)
         members = inside.where(small).groupBy(*key).agg(F.collect_list("fp").alias("members"))
         out.append(_bucket_links(members, max_bits))
-        if busy.where(~small).isEmpty():
-            break
         hot = inside.where(~small)
+        if hot.isEmpty():
+            break
         if "slot" in key:
             at = F.col("slot").cast("int") + 1
             hot = hot.select(
