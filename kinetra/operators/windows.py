@@ -147,7 +147,7 @@ def moving_normalize(df: DataFrame, window: int = 7, span: float = 50) -> DataFr
         {"_s": F.sum("pos").over(wide), "_a": F.first("pos").over(wide), "_z": F.last("pos").over(wide), "_n": F.count("*").over(wide), "_c": F.count("*").over(whole())}
     )
     rows = rows.withColumn("_m", (F.col("_s") - (F.col("_a") + F.col("_z")) / 2) / max(window - 1, 1))
-    rows = rows.withColumn("_e", F.sum(F.abs(F.col("pos") - F.col("_m"))).over(short) / (F.col("_n") - 1))
+    rows = rows.withColumn("_e", F.try_divide(F.sum(F.abs(F.col("pos") - F.col("_m"))).over(short), F.col("_n") - 1))
     value = to_pos(F.round(50 + 0.005 * span * (F.col("pos") - F.col("_m")) / F.col("_e") * 100, 6))
     return rows.withColumn("pos", F.when((F.col("_c") >= 3) & (F.col("_e") > 0), value).otherwise(F.col("pos"))).select(df.columns)
 
