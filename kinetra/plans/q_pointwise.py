@@ -196,13 +196,13 @@ def _colour_sql() -> str:
         for (p, low), (q, high) in zip(N.SPEED_STOPS, N.SPEED_STOPS[1:], strict=False):
             e = f"{low[k]}::DOUBLE + {high[k] - low[k]!r}::DOUBLE * (t - {p}::DOUBLE) / {q - p!r}::DOUBLE"
             when += f"WHEN t < {q} THEN {e} " if q < 1 else f"ELSE {e}"
-        parts.append(f"round(CASE {when} END, 6) AS {name}")
+        parts.append(f"round(CASE {when} END, 9) AS {name}")
     return ", ".join(parts)
 
 
 @query(f"SELECT event_id, {_colour_sql()} FROM (SELECT event_id, abs(value) AS s, abs(value) / 400 AS t FROM events)")
 def speed_to_color(spark: SparkSession, sf: str) -> DataFrame:
-    colour = {k: F.round(c, 6) for k, c in N.speed_colour(F.col("value")).items()}
+    colour = {k: F.round(c, 9) for k, c in N.speed_colour(F.col("value")).items()}
     return table(spark, sf, "events").select("event_id", *[c.alias(k) for k, c in colour.items()])
 
 
