@@ -6,9 +6,11 @@ centres, then goes on with the nearest queued node, leaf after leaf. How many le
 for some queries the true neighbours are found by brute force over all vectors, and visits widen until the
 mean recall reaches the target. Distances are exact, in double precision.
 
-Scale: vectors move once, to their leaf. A leaf with many vectors (copies of one vector, say) is cut into
-chunks by a hash of the id and its queries go to every chunk; many queries of a leaf are cut likewise. A
-chunk returns its best ``k`` for each query.
+Scale: vectors move once, to their group of neighbouring leaves, and a query once to each group that it
+visits a leaf of. A group with many vectors (copies of one vector, say) is cut into chunks by a hash of the
+id and its queries go to every chunk; many queries of a group are cut likewise. A query's nearest
+vectors of the sample count as found; the ``k``-th distance is an upper bound, so a chunk returns only what
+lies within it, and its best ``k`` at most.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 from kinetra.llm.common import batch, materialize
 
 BATCH_ROWS = 4096
-CHUNK_ROWS = 2048
+CHUNK_ROWS = 8192
+#: Leaves (neighbours in the tree) that make a group, and queries that a group handles at once.
+GROUP_LEAVES, QUERY_BLOCK = 16, 256
 
 
 @dataclass
@@ -216,53 +220,90 @@ def search(
     some = [(r["vec_id"], np.array(r["v"])) for r in asked.orderBy(*by_hash).limit(checked).collect()]
     visits = calibrate(tree, some, brute_force(vectors, some, tree, k), target)
 
-    shared = spark.sparkContext.broadcast(tree)
+    shared = spark.sparkContext.broadcast((tree, x, np.array([r["vec_id"] for r in rows], dtype=np.int64)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            leaf = shared.value.assign(_matrix(b.column("v"))) if b.num_rows else []
+            leaf = shared.value[0].assign(_matrix(b.column("v"))) if b.num_rows else []
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(leaf, pa.int32())], names=["vec_id", "v", "leaf"])
 
     placed = materialize(_map(vectors, place, "vec_id long, v array<double>, leaf int"), "leaves")
     # one number for each leaf, and leaves are bounded by the sample
-    rows_in = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}
+    ids_in = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.countDistinct("vec_id").alias("n")).collect()}
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, known, known_ids = shared.value
         for b in batches:
-            out = []
-            for q in _matrix(b.column("v")) if b.num_rows else ():
-                met, n = [], 0
-                for i, leaf in enumerate(shared.value.leaves(q)):
+            groups, firsts = [], []
+            own_ids = b.column("vec_id").to_numpy()
+            for own, q in zip(own_ids, _matrix(b.column("v")) if b.num_rows else (), strict=True):
+                met: dict[int, list[int]] = {}
+                n = 0
+                for i, leaf in enumerate(t.leaves(q)):
                     if i >= visits and n > k:
                         break
-                    met.append(leaf)
-                    n += rows_in.get(leaf, 0)
-                out.append(met)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(out, pa.list_(pa.int32()))], names=["query_id", "q", "leaves"])
-
-    walked = materialize(_map(placed.where(F.col("vec_id") % every == 0).select("vec_id", "v"), walk, "query_id long, q array<double>, leaves array<int>"), "walks")
-    visited = walked.select("query_id", "q", F.explode("leaves").alias("leaf"))
-    asks = visited.groupBy("leaf").agg(F.count("*").alias("asks"))
+                    met.setdefault(leaf // GROUP_LEAVES, []).append(leaf)
+                    n += ids_in.get(leaf, 0)
+                groups.append(list(met.items()))
+                firsts.append(_known(known, known_ids, own, q, k))
+            kind = pa.list_(pa.struct([("part", pa.int32()), ("leaves", pa.list_(pa.int32()))]))
+            out = pa.array([[{"part": g, "leaves": m} for g, m in x] for x in groups], kind)
+            bounds = pa.array([f[-1]["score"] if len(f) == k else float("inf") for f in firsts], pa.float64())
+            first = pa.array(firsts, pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())])))
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), bounds, first, out], names=["query_id", "q", "bound", "first", "visits"])
+
+    schema = "query_id long, q array<double>, bound double, first array<struct<vec_id: bigint, score: double>>, visits array<struct<part: int, leaves: array<int>>>"
+    walked = materialize(_map(placed.where(F.col("vec_id") % every == 0).select("vec_id", "v"), walk, schema), "walks")
+    visited = walked.select("query_id", "q", "bound", F.explode("visits").alias("x")).select("query_id", "q", "bound", "x.part", "x.leaves")
+    grouped = placed.withColumn("part", F.floor(F.col("leaf") / GROUP_LEAVES).cast("int"))
+    asks = visited.groupBy("part").agg(F.count("*").alias("asks"))
     cut = lambda c: F.ceil(F.col(c) / CHUNK_ROWS).cast("int")
-    shape = placed.groupBy("leaf").agg(F.count("*").alias("rows")).join(asks, "leaf").select("leaf", cut("rows").alias("across"), cut("asks").alias("down"))
+    shape = grouped.groupBy("part").agg(F.count("*").alias("rows")).join(asks, "part").select("part", cut("rows").alias("across"), cut("asks").alias("down"))
     shape = materialize(shape, "shape")
     pick = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = visited.join(shape, "leaf").select("query_id", "q", "leaf", pick("query_id", "down").alias("down"), spread("across").alias("across"))
-    right = placed.join(shape, "leaf").select("vec_id", "v", "leaf", pick("vec_id", "across").alias("across"), spread("down").alias("down"))
+    left = visited.join(shape, "part").select("query_id", "q", "bound", "leaves", "part", pick("query_id", "down").alias("down"), spread("across").alias("across"))
+    right = grouped.join(shape, "part").select("vec_id", "v", "leaf", "part", pick("vec_id", "across").alias("across"), spread("down").alias("down"))
 
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            m, ids = np.stack(b["v"].to_numpy()).astype(np.float64), b["vec_id"].to_numpy()
-            for own, q in zip(a["query_id"].to_numpy(), a["q"], strict=True):
-                d = _distances(m, np.asarray(q, dtype=np.float64))
-                d[ids == own] = np.inf
-                out += [(own, ids[j], d[j]) for j in _best(ids, d, k) if np.isfinite(d[j])]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        parts = [_near(a.iloc[i : i + QUERY_BLOCK], b, k) for i in range(0, len(a) if len(b) else 0, QUERY_BLOCK)]
+        out = pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        return out.astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    key = ("leaf", "across", "down")
+    key = ("part", "across", "down")
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(nearest, "query_id long, vec_id long, score double")
+    found = found.unionByName(walked.select("query_id", F.inline("first")))
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _known(known: np.ndarray, known_ids: np.ndarray, own: int, q: np.ndarray, k: int) -> list[dict]:
+    """The ``k`` nearest known vectors of other ids, each id once."""
+    d = _distances(known, q)
+    d[known_ids == own] = np.inf
+    return [{"vec_id": int(known_ids[j]), "score": float(d[j])} for j in _best(known_ids, d, k) if np.isfinite(d[j])]
+
+
+def _near(a: pd.DataFrame, b: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best ``k`` of each query's visited leaves among the vectors ``b``, as far as they lie within its bound."""
+    x, ids = np.stack(b["v"].to_numpy()).astype(np.float64), b["vec_id"].to_numpy()
+    q, own, bound = np.stack(a["q"].to_numpy()).astype(np.float64), a["query_id"].to_numpy(), a["bound"].to_numpy()
+    leaves, at = np.unique(b["leaf"].to_numpy(), return_inverse=True)
+    visited = np.stack([np.isin(leaves, m) for m in a["leaves"]], axis=1)
+    xx, qq = (x * x).sum(axis=1)[:, None], (q * q).sum(axis=1)[None, :]
+    # squares by matrix product pick the candidates, with room for its rounding; their distances are then taken exactly
+    room = 1e-9 * (xx + qq)
+    squares = np.maximum(xx + qq - 2 * x @ q.T, 0)
+    near = visited[at] & (ids[:, None] != own[None, :]) & (squares <= bound[None, :] ** 2 + room)
+    for j in np.flatnonzero(near.sum(axis=0) > 8 * k):
+        rows = np.flatnonzero(near[:, j])
+        if len(np.unique(ids[rows])) == len(rows):
+            last = np.partition(squares[rows, j], k)[k]
+            near[rows, j] = squares[rows, j] <= last + 2 * room[rows, j].max()
+    r, c = np.nonzero(near)
+    e = x[r] - q[c]
+    out = pd.DataFrame({"c": c, "vec_id": ids[r], "score": np.sqrt((e * e).sum(axis=1))})
+    out = out.sort_values(["c", "score", "vec_id"], kind="stable").drop_duplicates(["c", "vec_id"])
+    out = out[out.groupby("c").cumcount() < k]
+    return pd.DataFrame({"query_id": own[out["c"].to_numpy()], "vec_id": out["vec_id"].to_numpy(), "score": out["score"].to_numpy()})
