@@ -60,12 +60,12 @@ def read_script_chapters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT 'v' || p_partkey // 3 AS base, CASE WHEN p_partkey % 3 = 0 THEN 'stroke' WHEN p_partkey % 3 = 1 THEN 'roll' ELSE 'axis_7' END AS axis,
-  CASE p_partkey % 3 WHEN 0 THEN '/x/v' || p_partkey // 3 || '.funscript' WHEN 1 THEN '/x/v' || p_partkey // 3 || '.roll.funscript' ELSE '/x/v' || p_partkey // 3 || '_t7.funscript' END AS path FROM part""")
+  CASE p_partkey % 3 WHEN 0 THEN '/x/v' || p_partkey // 3 || '.script' WHEN 1 THEN '/x/v' || p_partkey // 3 || '.roll.script' ELSE '/x/v' || p_partkey // 3 || '_t7.script' END AS path FROM part""")
 def discover_axis_files(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
     base, kind = F.concat(F.lit("/x/v"), F.floor(F.col("p_partkey") / 3).cast("string")), F.col("p_partkey") % 3
-    main = F.when(kind == 0, F.concat(base, F.lit(".funscript"))).when(kind == 1, F.concat(base, F.lit(".roll.funscript"))).otherwise(F.concat(base, F.lit("_t7.funscript")))
-    files = p.select(main.alias("path")).unionByName(p.where(kind == 1).select(F.concat(base, F.lit("_t2.funscript")).alias("path"))).unionByName(p.where(kind == 0).select(F.concat(base, F.lit(".mp4")).alias("path")))
+    main = F.when(kind == 0, F.concat(base, F.lit(".script"))).when(kind == 1, F.concat(base, F.lit(".roll.script"))).otherwise(F.concat(base, F.lit("_t7.script")))
+    files = p.select(main.alias("path")).unionByName(p.where(kind == 1).select(F.concat(base, F.lit("_t2.script")).alias("path"))).unionByName(p.where(kind == 0).select(F.concat(base, F.lit(".mp4")).alias("path")))
     return R.discover_axis_files(files)
 
 

@@ -71,7 +71,7 @@ def read_script_chapters(parsed: DataFrame, key: list[str], fps: float = 30.0) -
     return rows.where("label is not null and start_frame is not null and end_frame is not null")
 
 
-def discover_axis_files(files: DataFrame, extension: str = ".funscript") -> DataFrame:
+def discover_axis_files(files: DataFrame, extension: str = ".script") -> DataFrame:
     """``files(path)`` as ``(base, axis, path)``: by the suffix before the extension; a suffix name beats the old ``_tN``.
 
     ``_t1`` is the primary axis, ``_t2`` roll, others ``axis_N``; without a suffix it is the primary axis.

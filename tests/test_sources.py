@@ -21,7 +21,7 @@ def test_write_and_read_files(spark, tmp_path):
     R.write_documents(R.single_documents(df), str(tmp_path / "axes"), per_axis=True)
     assert {p.name for p in (tmp_path / "axes").iterdir() if p.is_dir()} == {"axis=stroke", "axis=roll"}
     (tmp_path / "one").mkdir()
-    (tmp_path / "one" / "v.funscript").write_text(json.dumps({"actions": [{"at": 5, "pos": 50}], "metadata": {"chapters": [{"name": "a", "startTime": "00:00:01.000", "endTime": "00:00:02.000"}]}}))
+    (tmp_path / "one" / "v.script").write_text(json.dumps({"actions": [{"at": 5, "pos": 50}], "metadata": {"chapters": [{"name": "a", "startTime": "00:00:01.000", "endTime": "00:00:02.000"}]}}))
     parsed = R.parse(R.read_documents(spark, str(tmp_path / "one")))
     assert [tuple(r)[2:4] for r in R.read_scripts(parsed, ["path"]).collect()] == [(5, 50)]
     chapter = R.read_script_chapters(parsed, ["path"]).collect()[0]
@@ -41,7 +41,7 @@ def test_lenient_parse(spark, text, found):
 
 
 def test_axis_files(spark):
-    names = ["/a/x.funscript", "/a/x.roll.funscript", "/a/x_t2.funscript", "/a/x_t1.funscript", "/a/x_t5.funscript", "/a/x.mp4", "/a/y.twist.funscript"]
+    names = ["/a/x.script", "/a/x.roll.script", "/a/x_t2.script", "/a/x_t1.script", "/a/x_t5.script", "/a/x.mp4", "/a/y.twist.script"]
     got = {(r.base, r.axis): r.path for r in R.discover_axis_files(spark.createDataFrame([(n,) for n in names], "path string")).collect()}
     assert got == {("x", "stroke"): names[0], ("x", "roll"): names[1], ("x", "axis_5"): names[4], ("y", "twist"): names[6]}
 
