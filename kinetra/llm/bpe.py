@@ -32,7 +32,7 @@ PIECES = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 #: Pieces (and runs) that a worker's cache holds at most, and the longest one it holds.
-CACHE_PIECES, CACHE_LENGTH = 1 << 19, 48
+CACHE_PIECES, CACHE_LENGTH = 1 << 18, 48
 #: A space with white space on either side: there a run's pieces depend on its neighbours.
 WIDE_SPACE = re.compile(r"\s (?:\s|$)")
 FOREVER = 1 << 60
