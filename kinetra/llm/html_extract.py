@@ -1,7 +1,8 @@
 """Main text of web pages by tree scoring.
 
 A page is parsed to a tree and boilerplate (menus, page headers and footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments) is cut by element, role and the words of class and id. Every
+forms, scripts, styles, reader comments) is cut by element, role and the words of class and id; a form or
+a word does not cut what holds the main element or most of the paragraphs' text. Every
 paragraph then passes points, for being there, for its length and its commas, to its ancestors: all to the
 parent, half to the next, a sixth, an eighth and so on beyond. A container's points are discounted by its
 link density; the best one is kept with those siblings that score well or read like its paragraphs. A
@@ -55,6 +56,7 @@ DROPPED_WORDS = re.compile(
     r"|pagination|pager|toolbar|topbar|skip|skiplink|paywall|feedback|search|searchbox|tags|alert)$"
 )
 HEADER_WORDS = frozenset(("header", "masthead", "topbar"))
+COMMENT_WORDS = frozenset("comments comment commentlist respond disqus replies".split())
 NEVER_BY_WORD = frozenset(("html", "body", "article", "main"))
 
 TOKEN = re.compile(
@@ -138,9 +140,14 @@ def _ended(here: Node, tags: set[str], stop: frozenset[str] | set[str]) -> Node:
     return out
 
 
+def words_of(node: Node) -> list[str]:
+    return re.split(r"[^a-z0-9]+", f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower())
+
+
 def is_boilerplate(node: Node) -> bool:
+    """Whether the element is cut by itself, whatever it holds."""
     tag, attrs = node.tag, node.attrs
-    if tag in DROPPED:
+    if tag in DROPPED and tag != "form":
         return True
     if tag == "header":
         return not node.within("article", "main")
@@ -148,23 +155,63 @@ def is_boilerplate(node: Node) -> bool:
         return False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or HIDDEN.search(attrs.get("style", "")):
         return True
-    if attrs.get("role", "").lower() in DROPPED_ROLES:
+    return attrs.get("role", "").lower() in DROPPED_ROLES - {"form"}
+
+
+def is_marked(node: Node) -> bool:
+    """Whether the element is a form or has a word of boilerplate: it is cut unless it holds the page's text."""
+    tag, attrs = node.tag, node.attrs
+    if tag == "form" or attrs.get("role", "").lower() == "form":
         return True
     if tag in NEVER_BY_WORD and not (tag == "article" and node.within("article")):
         return False
-    words = re.split(r"[^a-z0-9]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
+    if not attrs:
+        return False
+    words = words_of(node)
     if any(DROPPED_WORDS.match(w) for w in words):
         return True
     return not HEADER_WORDS.isdisjoint(words) and not node.within("article", "main")
 
 
+def _holders(root: Node) -> set[int]:
+    """Ids of the nodes that hold a main element or most of the text of paragraphs outside links.
+
+    A node marked as comments needs a main or an unmarked article with most of that text.
+    """
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [c for c in node.children if not isinstance(c, str) and not is_boilerplate(c)]
+    weight: dict[int, int] = {}
+    mains: set[int] = set()
+    for node in reversed(order):
+        inner = [c for c in node.children if not isinstance(c, str)]
+        own = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str)) if node.tag == "p" or node.within("p") else 0
+        weight[id(node)] = 0 if node.tag == "a" else own + sum(weight.get(id(c), 0) for c in inner)
+        if node.tag == "main" or node.attrs.get("role") == "main" or any(id(c) in mains for c in inner):
+            mains.add(id(node))
+    half = weight[id(root)] / 2
+    article: set[int] = set()
+    out = set(mains)
+    for node in reversed(order):
+        most = weight[id(node)] > half
+        inner = any(not isinstance(c, str) and id(c) in article for c in node.children)
+        if most and (inner or node.tag == "article" and not is_marked(node) and COMMENT_WORDS.isdisjoint(words_of(node))):
+            article.add(id(node))
+        if most and (inner or COMMENT_WORDS.isdisjoint(words_of(node))):
+            out.add(id(node))
+    return out
+
+
 def _prune(root: Node) -> list[Node]:
     """Cut boilerplate; the other nodes, parents first."""
+    holders = _holders(root)
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
-        node.children = [c for c in node.children if isinstance(c, str) or not is_boilerplate(c)]
+        node.children = [c for c in node.children if isinstance(c, str) or not (is_boilerplate(c) or is_marked(c) and id(c) not in holders)]
         todo += [c for c in node.children if not isinstance(c, str)]
     return order
 
@@ -242,7 +289,7 @@ def kept_nodes(order: list[Node]) -> list[Node]:
 
 
 def blocks(nodes: list[Node]) -> list[str]:
-    """Texts of the blocks in page order, white space folded; lists and boxes of links alone are menus."""
+    """Texts of the blocks in page order, white space folded; lists and boxes of links alone are menus outside an article."""
     out: list[str] = []
     line: list[str] = []
 
@@ -263,7 +310,7 @@ def blocks(nodes: list[Node]) -> list[str]:
             line.append(" ")
         elif x.tag in BLOCK:
             flush()
-            if x.tag in ("ul", "ol", "div", "dl", "table", "section") and density(x) > 0.8:
+            if x.tag in ("ul", "ol", "div", "dl", "table", "section") and density(x) > 0.8 and not x.within("article", "main"):
                 continue
             todo.append(None)
             todo += reversed(x.children)
