@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,45 +13,62 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Texts in one Arrow batch: keeps a batch small even where texts are long.
+#: Texts that a task holds as Python objects at once.
 BATCH_ROWS = 256
+#: How the folders of scratch tables begin.
+PREFIX = "kinetra-"
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one on a local master."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return spark.sparkContext.getCheckpointDir()
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, which cuts the lineage.
 
-    A lost executor then costs the tasks that it ran, not the passes before them.
+    A lost executor then costs the tasks that it ran, not the passes before them. ``dropped`` deletes it.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/kinetra-{tag}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark).rstrip('/')}/{PREFIX}{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch, so that a Python task holds few texts at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def dropped(df: DataFrame) -> None:
+    """Delete the tables of ``materialize`` that ``df`` reads; for tables that no later plan reads."""
+    context = df.sparkSession.sparkContext
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if folder.rpartition("/")[2].startswith(PREFIX):
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows: few texts are Python objects at once.
+
+    Spark itself bounds the bytes of a batch (``spark.sql.execution.arrow.maxBytesPerBatch``).
+    """
+    for b in batches:
+        for i in range(0, max(b.num_rows, 1), rows):
+            yield b.slice(i, rows)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply ``fn`` to every Arrow batch of ``df``; a result of None gives no rows."""
-    small_batches(df.sparkSession)
+    """Apply ``fn`` to every Arrow batch of ``df``, in pieces; a result of None gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = fn(batch)
+        for piece in sliced(batches):
+            out = fn(piece)
             if out is not None:
                 yield out
 

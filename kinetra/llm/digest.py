@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetra.llm.common import batch, map_batches, materialize, small_batches, texts_of
+from kinetra.llm.common import batch, map_batches, materialize, sliced, texts_of
 
 BUCKETS = 128
 #: Odd multipliers of the three bytes, and of their sum.
@@ -135,11 +135,10 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     its own. A null text counts as empty; null ids come last. Rows that repeat an id are neighbours. Texts
     are read whole. An empty table gives no rows; columns but ``doc_id`` and ``text`` are not read.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the row that waits for the next one
-        for rows in batches:
+        for rows in sliced(batches):
             out: list[tuple] = []
             for piece, extra, doc_id, text in zip(*(rows.column(c).to_pylist() for c in ("piece", "extra", "doc_id", "text")), strict=True):
                 own = (piece, extra, doc_id, text, fingerprint(text))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from kinetra.llm import chat_format, html_extract, kmeans_tree
@@ -98,6 +99,39 @@ def test_search_recall_and_ties(spark):
     assert hits / (10 * len(got)) >= 0.9
 
 
+def recall(x, rows):
+    y, found = x.astype(np.float64), {}
+    for r in rows:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, own in found.items():
+        d = ((y - y[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(own & set(np.lexsort((np.arange(len(d)), d))[:10].tolist()))
+    return hits / (10 * len(found))
+
+
+def test_tree_alone_answers(spark):
+    x = vectors(5, 50_000)
+    x[::3] = x[0]  # a third of all rows are copies of one vector
+    x[1::3] = vectors(6, len(x[1::3]))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    calibrated = recall(x, kmeans_tree.search(df, fit_rows=1000).collect())
+    one = recall(x, kmeans_tree.search(df, fit_rows=1000, visits=1).collect())
+    assert calibrated >= 0.9 > 0.75 > one
+
+
+def test_tree_grows_to_small_leaves(spark):
+    x = vectors(7, 6000).astype(np.float64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    tree, placed = kmeans_tree.grow(df, df, 8, 32, fit_rows=500)
+    sizes = [r["count"] for r in placed.groupBy("leaf").count().collect()]
+    assert sum(sizes) == 6000 and max(sizes) <= 64 and len(sizes) > 6000 / 64 and tree.n_leaves >= len(sizes)
+    assert {(r.vec_id, r.leaf) for r in placed.collect()} == set(enumerate(tree.assign(x).tolist()))
+    order = list(next(tree.walks(x[:1])))
+    assert order[0] == tree.assign(x[:1])[0] and sorted(order) == list(range(tree.n_leaves))
+
+
 def test_search_small_tables(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "vec_id long, embedding array<double>")
     got = [tuple(r) for r in kmeans_tree.search(df).orderBy("rank").collect()]
