@@ -4,7 +4,7 @@ A page is parsed to a tree and boilerplate (menus, page headers and footers, sid
 forms, scripts, styles, reader comments) is cut by element, role and the words of class and id; a form or
 a word does not cut what holds the main element or most of the paragraphs' text. Every
 paragraph then passes points, for being there, for its length and its commas, to its ancestors: all to the
-parent, half to the next, a sixth, an eighth and so on beyond. A container's points are discounted by its
+parent, half to the next, a sixth, a ninth and so on up to ``LEVELS``. A container's points are discounted by its
 link density; the best one is kept with those siblings that score well or read like its paragraphs. A
 container inside ``article`` or ``main`` stands for that element. Nothing else is dropped or shortened.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,6 +58,8 @@ DROPPED_WORDS = re.compile(
 )
 HEADER_WORDS = frozenset(("header", "masthead", "topbar"))
 COMMENT_WORDS = frozenset("comments comment commentlist respond disqus replies".split())
+#: Words that may stand beside those in the name of a comment section; a state such as "comments-open" names none.
+COMMENT_PARTS = frozenset("list area section thread wrapper wrap container box block user reader post the".split())
 NEVER_BY_WORD = frozenset(("html", "body", "article", "main"))
 
 TOKEN = re.compile(
@@ -68,89 +71,116 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+#: How far a paragraph's points go up: beyond, the share would be under a hundredth.
+LEVELS = 33
+
+
 class Node:
-    __slots__ = ("attrs", "children", "length", "linked", "parent", "score", "tag")
+    __slots__ = ("attrs", "children", "in_article", "in_main", "in_p", "length", "linked", "open_p", "parent", "score", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
         self.score = 0.0
         self.length = self.linked = 0
-
-    def within(self, *tags: str) -> bool:
-        node = self.parent
-        while node is not None:
-            if node.tag in tags:
-                return True
-            node = node.parent
-        return False
+        #: Whether an element above is an article, an article or main, a paragraph; the paragraph that a block ends.
+        self.in_article = parent is not None and (parent.in_article or parent.tag == "article")
+        self.in_main = parent is not None and (parent.in_main or parent.tag in ("article", "main"))
+        self.in_p = parent is not None and (parent.in_p or parent.tag == "p")
+        self.open_p: Node | None = self if tag == "p" else None if parent is None or tag in PARAGRAPH_SCOPE else parent.open_p
+
+
+class _Path:
+    """The open elements; every one is closed once, so a page costs no more than its length."""
+
+    def __init__(self) -> None:
+        self.root = self.here = Node("#root", {}, None)
+        self.open: Counter = Counter()
+
+    def enter(self, node: Node) -> None:
+        self.here = node
+        self.open[node.tag] += 1
+
+    def leave(self, node: Node) -> None:
+        """Close ``node`` and all that is open in it."""
+        while self.here is not node.parent:
+            self.open[self.here.tag] -= 1
+            self.here = self.here.parent
+
+    def last(self, tags: set[str], stop: set[str]) -> Node | None:
+        """The outermost open element of ``tags`` within the nearest of ``stop``."""
+        node, out = self.here, None
+        if any(self.open[t] for t in tags):
+            while node.parent is not None and node.tag not in stop:
+                out = node if node.tag in tags else out
+                node = node.parent
+        return out
 
 
 def parse(page: str) -> Node:
     """Tree of the page; wrong nesting is mended as browsers do in the common cases."""
-    root = Node("#root", {}, None)
-    here = root
+    path = _Path()
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.search(page, at)
         if m is None:
-            here.children.append(html.unescape(page[at:]))
+            path.here.children.append(html.unescape(page[at:]))
             break
         if m.start() > at:
-            here.children.append(html.unescape(page[at : m.start()]))
+            path.here.children.append(html.unescape(page[at : m.start()]))
         at = m.end()
         tag = m[2] or m[5]
         if not tag:
             if m[0].startswith("<![CDATA["):
-                here.children.append(m[0][9:].removesuffix("]]>"))
+                path.here.children.append(m[0][9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            if path.open[tag] > 0:
+                node = path.here
+                while node.tag != tag:
+                    node = node.parent
+                path.leave(node)
             elif tag == "p":
-                here.children.append(Node("p", {}, here))
+                path.here.children.append(Node("p", {}, path.here))
             continue
-        if tag in BLOCK:
-            here = _ended(here, {"p"}, PARAGRAPH_SCOPE)
-        if tag in ENDS:
-            here = _ended(here, *ENDS[tag])
+        if tag in BLOCK and path.here.open_p is not None:
+            path.leave(path.here.open_p)
+        ended = path.last(*ENDS[tag]) if tag in ENDS else None
+        if ended is not None:
+            path.leave(ended)
         raw = m[3] or m[6] or ""
         attrs = {k.lower(): html.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(raw)} if raw.strip(" /") else {}
-        node = Node(tag, attrs, here)
-        here.children.append(node)
+        node = Node(tag, attrs, path.here)
+        path.here.children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             at = end if close is None else max(page.find(">", close.start()) + 1, close.end())
         elif tag not in VOID:
-            here = node
-    return root
-
-
-def _ended(here: Node, tags: set[str], stop: frozenset[str] | set[str]) -> Node:
-    """Where a new element goes once open ``tags`` up to ``stop`` have ended."""
-    node, out = here, here
-    while node.parent is not None and node.tag not in stop:
-        if node.tag in tags:
-            out = node.parent
-        node = node.parent
-    return out
+            path.enter(node)
+    return path.root
 
 
 def words_of(node: Node) -> list[str]:
     return re.split(r"[^a-z0-9]+", f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower())
 
 
+def holds_comments(node: Node) -> bool:
+    """Whether a class or the id, as a whole, names a comment section."""
+    for name in [*node.attrs.get("class", "").lower().split(), node.attrs.get("id", "").lower()]:
+        words = {w for w in re.split(r"[^a-z]+", name) if w}
+        if words & COMMENT_WORDS and words <= COMMENT_WORDS | COMMENT_PARTS:
+            return True
+    return False
+
+
 def is_boilerplate(node: Node) -> bool:
     """Whether the element is cut by itself, whatever it holds."""
     tag, attrs = node.tag, node.attrs
     if tag in DROPPED and tag != "form":
         return True
     if tag == "header":
-        return not node.within("article", "main")
+        return not node.in_main
     if not attrs:
         return False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or HIDDEN.search(attrs.get("style", "")):
@@ -163,14 +193,14 @@ def is_marked(node: Node) -> bool:
     tag, attrs = node.tag, node.attrs
     if tag == "form" or attrs.get("role", "").lower() == "form":
         return True
-    if tag in NEVER_BY_WORD and not (tag == "article" and node.within("article")):
+    if tag in NEVER_BY_WORD and not (tag == "article" and node.in_article):
         return False
     if not attrs:
         return False
     words = words_of(node)
     if any(DROPPED_WORDS.match(w) for w in words):
         return True
-    return not HEADER_WORDS.isdisjoint(words) and not node.within("article", "main")
+    return not HEADER_WORDS.isdisjoint(words) and not node.in_main
 
 
 def _holders(root: Node) -> set[int]:
@@ -187,7 +217,7 @@ def _holders(root: Node) -> set[int]:
     mains: set[int] = set()
     for node in reversed(order):
         inner = [c for c in node.children if not isinstance(c, str)]
-        own = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str)) if node.tag == "p" or node.within("p") else 0
+        own = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str)) if node.tag == "p" or node.in_p else 0
         weight[id(node)] = 0 if node.tag == "a" else own + sum(weight.get(id(c), 0) for c in inner)
         if node.tag == "main" or node.attrs.get("role") == "main" or any(id(c) in mains for c in inner):
             mains.add(id(node))
@@ -197,9 +227,9 @@ def _holders(root: Node) -> set[int]:
     for node in reversed(order):
         most = weight[id(node)] > half
         inner = any(not isinstance(c, str) and id(c) in article for c in node.children)
-        if most and (inner or node.tag == "article" and not is_marked(node) and COMMENT_WORDS.isdisjoint(words_of(node))):
+        if most and (inner or node.tag == "article" and not is_marked(node) and not holds_comments(node)):
             article.add(id(node))
-        if most and (inner or COMMENT_WORDS.isdisjoint(words_of(node))):
+        if most and (inner or not holds_comments(node)):
             out.add(id(node))
     return out
 
@@ -236,7 +266,7 @@ def _measure(order: list[Node]) -> None:
         # loose text of a container counts for the container itself
         up = node.parent if node.tag in ("p", "pre", "li", "blockquote", "td", "dd", "dt") or node.tag[0] == "h" and node.tag[1:].isdigit() else node
         level = 0
-        while up is not None and up.tag != "#root":
+        while up is not None and up.tag != "#root" and level <= LEVELS:
             up.score += points / (1 if level == 0 else 2 if level == 1 else level * 3)
             up, level = up.parent, level + 1
 
@@ -310,7 +340,7 @@ def blocks(nodes: list[Node]) -> list[str]:
             line.append(" ")
         elif x.tag in BLOCK:
             flush()
-            if x.tag in ("ul", "ol", "div", "dl", "table", "section") and density(x) > 0.8 and not x.within("article", "main"):
+            if x.tag in ("ul", "ol", "div", "dl", "table", "section") and density(x) > 0.8 and not x.in_main:
                 continue
             todo.append(None)
             todo += reversed(x.children)

@@ -1,8 +1,11 @@
 """Pages whose article lies in an element with a word of boilerplate, or in a form."""
 
+import random
+import time
+
 import pytest
 
-from kinetra.llm.html_extract import main_text
+from kinetra.llm.html_extract import LEVELS, _measure, _prune, main_text, parse
 
 TEXT = "This is a sentence of the article, and it goes on for a while. " * 3
 BODY = f"<p>{TEXT}</p><p>{TEXT}</p>"
@@ -13,6 +16,7 @@ BODY = f"<p>{TEXT}</p><p>{TEXT}</p>"
     [
         f"<div class='page no-sidebar'>{BODY}</div>",
         f"<div class='has-sidebar'><article>{BODY}</article><div class='sidebar'><p>Aside.</p></div></div>",
+        *(f"<article><div class='{c}'>{BODY}</div></article>" for c in ("content has-sidebar", "page no-ads", "post comments-open", "text related-topic")),
         f"<div id='widget-area'><main>{BODY}</main></div>",
         f"<form action='/'><div class='search-results'>{BODY}</div></form>",
         f"<div class='has-comments'><article>{BODY}</article><div id='comments'><p>First.</p></div></div>",
@@ -30,3 +34,35 @@ def test_marked_parts_still_go():
 def test_link_list_of_the_article_stays():
     page = f"<article>{BODY}<ul><li><a href='x'>Source one</a></li></ul><ul class='nav'><li><a href='y'>Home</a></li></ul></article>"
     assert main_text(page).endswith("Source one") and "Home" not in main_text(page)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", "<div>" * 100_000 + "</span>" * 100_000, "<div><p>a, b</p>" * 50_000, "<span>" * 100_000 + "<p>x"])
+def test_deep_pages_take_seconds(page):
+    began = time.monotonic()
+    main_text(page)
+    assert time.monotonic() - began < 20
+
+
+def test_scores_against_plain_sums():
+    """Points of every paragraph, summed for each ancestor from above."""
+    r = random.Random(4)
+
+    def tree(depth):
+        if depth == 0 or r.random() < 0.3:
+            return f"<p>{'word, ' * r.randint(0, 4)}{'text ' * r.randint(1, 90)}</p>"
+        return "<div>" + "".join(tree(depth - 1) for _ in range(r.randint(1, 3))) + "</div>"
+
+    for _ in range(20):
+        root = parse("<body>" + "".join(tree(6) for _ in range(3)) + "</body>")
+        order = _prune(root)
+        _measure(order)
+        want = {}
+        for node in order:
+            if node.tag == "p":
+                text = " ".join("".join(c for c in node.children if isinstance(c, str)).split())
+                up, level = node.parent, 0
+                while up is not None and up.tag != "#root" and level <= LEVELS:
+                    share = [1, 1 / 2][level] if level < 2 else 1 / (3 * level)
+                    want[id(up)] = want.get(id(up), 0) + share * (1 + text.count(",") + min(len(text) / 100, 3))
+                    up, level = up.parent, level + 1
+        assert all(n.score == pytest.approx(want.get(id(n), 0)) for n in order)
