@@ -27,7 +27,8 @@ def turns(conversations: DataFrame) -> DataFrame:
     repeated = (F.row_number().over(order) > 1) & same
     rows = rows.withColumn("again", repeated).where("not again").drop("again")
     rows = rows.withColumn("at", F.row_number().over(order))
-    value = [F.col("at"), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))]
+    # a hash passes over nulls, so what is null is said apart; a null text reads as an empty one, a null role does not
+    value = [F.col("at"), F.col("role").isNull(), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))]
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     for name, seed in (("h1", 1), ("h2", 2)):
         rows = rows.withColumn(name, F.xxhash64(F.lit(seed), *value)).withColumn(name, F.expr(f"bit_xor({name})").over(so_far))
@@ -52,7 +53,8 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     """Rows ``(conv_id, n_turns, n_same, n_chars, text)``, one for each maximal conversation.
 
     Turns come in order of ``turn``, then role, then text, nulls first. A row that repeats a turn wholly
-    counts once. Rows without a conv_id belong to no conversation and are left out. ``n_same`` counts the
+    counts once. Two turns are alike if their roles are equal (null is a role of its own) and their texts are
+    (a null text counts as empty). Rows without a conv_id belong to no conversation and are left out. ``n_same`` counts the
     conversations that are equal to this one, itself included. An empty table gives no rows; other columns
     are not read.
     """
@@ -72,7 +74,7 @@ t AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM d
 ), p AS (
   SELECT conv_id, pos, count(*) OVER (PARTITION BY conv_id) AS n,
-         list(struct_pack(r := coalesce(role, ''), x := coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY pos) AS turns,
+         list(struct_pack(n := role IS NULL, r := coalesce(role, ''), x := coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY pos) AS turns,
          string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '')
            OVER (PARTITION BY conv_id ORDER BY pos) AS text
   FROM t

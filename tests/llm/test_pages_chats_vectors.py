@@ -47,7 +47,7 @@ def plain_chats(rows):
             convs.setdefault(c, []).append((turn, role, text))
     low = lambda x: (x is not None, x if x is not None else 0)
     word = lambda x: (x is not None, x or "")
-    seq = {c: [((r or ""), (t or ""), r) for _, r, t in sorted(v, key=lambda x: (low(x[0]), word(x[1]), word(x[2])))] for c, v in convs.items()}
+    seq = {c: [(r, (t or ""), r) for _, r, t in sorted(v, key=lambda x: (low(x[0]), word(x[1]), word(x[2])))] for c, v in convs.items()}
     key = {c: tuple(x[:2] for x in v) for c, v in seq.items()}
     out = []
     for c, k in key.items():
@@ -63,6 +63,8 @@ def test_chats_against_plain(spark):
     rows = []
     for c in range(80):
         rows += [(c, t, ["user", "assistant"][t % 2], f"m{r.randrange(2)}") for t in range(r.randint(1, 6))]
+    rows += [(300, 0, "", "null or empty"), (301, 0, None, "null or empty"), (301, 1, "user", "more"), (302, 0, "", "null or empty"), (302, 0, None, "null or empty")]
+    rows += [(c, t, "user", "hot") for c in range(400, 480) for t in range(3)] + [(500, t, "user", f"turn {t}") for t in range(500)] + [(501, t, "user", f"turn {t}") for t in range(400)]
     rows += [(200, 0, None, None), (201, None, "user", "x"), (201, 1, "user", "x"), (202, 1, "user", "b"), (202, 1, "user", "a"), (202, 1, "user", "a"), (None, 0, "user", "z")]
     df = spark.createDataFrame([(*x, 5) for x in rows], "conv_id long, turn long, role string, text string, at int")
     got = sorted((x.conv_id, x.n_turns, x.n_same, x.text) for x in chat_format.format_chats(df).collect())
