@@ -12,6 +12,7 @@ range also to the range before it. A task reads its ranges in order and holds tw
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -90,42 +91,49 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fingerprint string")
 
 
-def _range_starts(keys: DataFrame, pieces: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def _range_starts(keys: DataFrame, pieces: int) -> list[tuple[int, int, int]]:
     """First key of each of at most ``pieces`` ranges, in order; only these few reach the driver."""
-    ranged = keys.repartitionByRange(pieces, "rev", "h").withColumn("p", F.spark_partition_id())
-    first = ranged.groupBy("p").agg(F.min(F.struct("rev", "h")).alias("k")).select("k.rev", "k.h")
-    found = sorted((r, h) for r, h in materialize(first, "ranges").collect())
-    return np.array(found, dtype=np.int64).reshape(-1, 2), found
+    ranged = keys.repartitionByRange(pieces, *KEY).withColumn("p", F.spark_partition_id())
+    first = ranged.groupBy("p").agg(F.min(F.struct(*KEY)).alias("k")).select("k.*")
+    return sorted(map(tuple, materialize(first, "ranges").collect()))
+
+
+KEY = ("rev", "h", "u")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``(piece, extra, rev, h, doc_id, text)``: texts in ranges, each range followed by the first text of the next.
+    """``(piece, extra, rev, h, u, doc_id, text)``: texts in ranges, each range followed by the first text of the next.
 
-    Order: doc_id descending, null last, then the text's hash. After the last comes the first.
+    Order: doc_id descending, null last, then the text's hash; ``u`` parts equal rows, so that any number of
+    them spreads over ranges. After the last comes the first.
     """
-    # descending ids as an ascending key; null last
-    rev = F.coalesce(-F.col("doc_id"), F.lit((1 << 63) - 1)).cast("long")
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumns({"rev": rev, "h": F.xxhash64("text")})
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    # descending ids as an ascending key: the complement has no overflow
+    keyed = keyed.withColumns({"rev": F.bitwise_not(F.coalesce("doc_id", F.lit(-1 << 63))), "h": F.xxhash64("text"), "u": F.monotonically_increasing_id()})
+    # null shares its place with the smallest id, which comes first
+    half = F.shiftrightunsigned("h", 1)
+    keyed = keyed.withColumn("h", F.when(F.col("doc_id").isNull(), half).when(F.col("doc_id") == F.lit(-1 << 63), half.bitwiseOR(F.lit(-1 << 63))).otherwise(F.col("h")))
     pieces = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    starts, first = _range_starts(keyed.select("rev", "h"), pieces)
-    n = max(len(first), 1)
+    starts = _range_starts(keyed.select(*KEY), pieces)
+    revs, rest = np.array([s[0] for s in starts], dtype=np.int64), [s[1:] for s in starts]
+    n = max(len(starts), 1)
 
     @F.pandas_udf("array<int>")
-    def places(rev: pd.Series, h: pd.Series) -> pd.Series:
+    def places(rev: pd.Series, h: pd.Series, u: pd.Series) -> pd.Series:
         """The row's range, and the range before if the row starts its own."""
-        r, k = rev.to_numpy(np.int64), h.to_numpy(np.int64)
-        low, high = np.searchsorted(starts[:, 0], r, "left"), np.searchsorted(starts[:, 0], r, "right")
+        r, k = rev.to_numpy(np.int64), list(zip(h.tolist(), u.tolist(), strict=True))
+        low, high = np.searchsorted(revs, r, "left"), np.searchsorted(revs, r, "right")
         at = high - 1
-        # ranges that start within one id (null, or rows that repeat it) are told apart by the hash
+        # ranges that start within one id (null, or rows that repeat it) are told apart by the rest of the key
         for i in np.flatnonzero(high > low):
-            at[i] = low[i] - 1 + np.searchsorted(starts[low[i] : high[i], 1], k[i], "right")
-        start = (starts[at, 0] == r) & (starts[at, 1] == k)
+            at[i] = bisect.bisect_right(rest, k[i], low[i], high[i]) - 1
+        start = [revs[a] == x and rest[a] == y for a, x, y in zip(at.tolist(), r.tolist(), k, strict=True)]
         return pd.Series([[int(a), int(a - 1) % n + n] if s else [int(a)] for a, s in zip(at, start, strict=True)])
 
-    placed = keyed.withColumn("place", F.explode(places("rev", "h"))).withColumn("extra", F.col("place") >= n)
+    placed = keyed.withColumn("place", F.explode(places(*KEY))).withColumn("extra", F.col("place") >= n)
     placed = placed.withColumn("piece", F.pmod("place", F.lit(n))).drop("place")
-    return placed.repartition(pieces, "piece").sortWithinPartitions("piece", "extra", "rev", "h")
+    return placed.repartition(pieces, "piece").sortWithinPartitions("piece", "extra", *KEY)
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
