@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document has a hash of its id. Sizes are summed by source and leading hash bits; the running sum
+Every document has a hash of its id and text. Sizes are summed by source and leading hash bits; the running sum
 gives, for each source, the bucket in which its budget ends. Only documents of these boundary buckets are
 summed again by the next bits, until a bucket holds one hash value. What lies under the threshold is taken
 once more than the rest: budgets are nested, so a larger target always takes a superset, and nothing is
@@ -9,7 +9,7 @@ sorted. The histogram has at most 1,024 rows for each source and level, whatever
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetra.llm.common import materialize, word_count
@@ -21,14 +21,14 @@ MAX_REPEATS = 3
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source, size, h)`` of every row; the hash of a null id is that of the empty text."""
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    return docs.select(
-        "doc_id",
-        "source",
-        word_count(F.col("text")).alias("size"),
-        F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"),
-    )
+    """``(doc_id, source, size, h)`` of every row."""
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash_of(docs["doc_id"], docs["text"]).alias("h"))
+
+
+def hash_of(doc_id: Column, text: Column) -> Column:
+    """A document's hash: of the id and the text, so that rows without an id or with equal ids are told apart by their texts."""
+    whole = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(" "), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -104,7 +104,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
     """Rows ``(doc_id, size, source_size, target, taken)``, one for each row of ``docs(doc_id, text, source)``.
 
     ``taken`` is the document's words times its number of uses. Null texts have size 0, a null source is a
-    source of its own, rows with equal ids (null ids too) are taken alike. A source without words has
+    source of its own, rows of equal id and text (null ids too) are taken alike. A source without words has
     target 0. An empty table gives no rows; other columns are not read.
     """
     sizes = materialize(sized(docs), "sizes")
@@ -121,20 +121,18 @@ def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
     plan = thresholds(sizes, targets(sizes, weights, max_repeats)).select(
         F.col("source").alias("mix_source"), F.col("times").alias("mix_times"), F.col("below").alias("mix_below")
     )
-    digest = F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary"))
-    h = F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
-    own = [docs[c] for c in docs.columns]
-    used = docs.join(plan, docs["source"].eqNullSafe(plan["mix_source"])).select(
-        *own, (plan["mix_times"] + (h < plan["mix_below"]).cast("long")).alias("mix_uses")
-    )
-    return used.where("mix_uses > 0").select(*own, F.explode(F.sequence(F.lit(1), F.col("mix_uses").cast("int"))).alias("mix_copy")).select(*own)
+    uses = plan["mix_times"] + (hash_of(docs["doc_id"], docs["text"]) < plan["mix_below"]).cast("long")
+    # the table's columns travel in one struct, so that none clashes with those of the plan
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    used = docs.join(plan, docs["source"].eqNullSafe(plan["mix_source"])).select(row, uses.alias("uses"))
+    return used.where("uses > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("uses").cast("int")))).select("row.*")
 
 
 #: The same rows in DuckDB: sums by hash value in hash order instead of histograms.
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || coalesce(text, '')), 1, 15) AS BIGINT) AS h
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
