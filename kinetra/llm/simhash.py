@@ -6,7 +6,7 @@ for each of its bits with that bit wildcarded, candidates meet in an equality jo
 bit count verifies them.
 
 Scale: equal fingerprints collapse first, so a group of copies is one row. A variant's bucket is counted
-before it is gathered. One with more than ``bucket_limit`` different fingerprints is refined: the bits that
+before its members are listed, and a very common variant is found on a sample and never gathered. One with more than ``bucket_limit`` different fingerprints is refined: the bits that
 its key leaves free are cut again by the same rule, until a bucket is small; with eight free bits it has at
 most 2 ** (8 + wildcards) members. Inside a bucket a spanning forest of the verified links is emitted,
 never all pairs, and no link between components is lost.
@@ -28,6 +28,8 @@ from kinetra.llm.graph import connected
 #: Shingles whose bits are counted at once; bounds memory for very long texts.
 BLOCK = 1 << 16
 BUCKET_LIMIT = 4096
+#: One fingerprint in so many is looked at to find very common keys.
+SAMPLED = 16
 #: A bucket whose key leaves so few bits free, besides the wildcards, is small and not refined further.
 LAST_BITS = 8
 
@@ -130,6 +132,11 @@ def links(fps: DataFrame, max_bits: int = 3, bucket_limit: int = BUCKET_LIMIT) -
     key = ["slot", "value"]
     out = []
     while True:
+        # keys that a sample shows to be very common are refined at once and never meet in one task
+        common = _common(keys, key, bucket_limit)
+        often = None
+        if common is not None:
+            often, keys = keys.join(common, key, "left_semi"), keys.join(common, key, "left_anti")
         # counted where they meet, so that variants move once and those that meet no other go no further
         counted = keys.withColumn("n", F.count("*").over(Window.partitionBy(*key)))
         inside = materialize(counted.where("n > 1"), "buckets")
@@ -138,7 +145,9 @@ def links(fps: DataFrame, max_bits: int = 3, bucket_limit: int = BUCKET_LIMIT) -
             small = small | (F.bit_count("free") <= LAST_BITS)
         members = inside.where(small).groupBy(*key).agg(F.collect_list("fp").alias("members"))
         out.append(_bucket_links(members, max_bits))
-        hot = inside.where(~small)
+        hot = inside.where(~small).drop("n")
+        if often is not None:
+            hot = hot.unionByName(often)
         if hot.isEmpty():
             break
         if "slot" in key:
@@ -157,6 +166,18 @@ def links(fps: DataFrame, max_bits: int = 3, bucket_limit: int = BUCKET_LIMIT) -
     return found
 
 
+def _common(keys: DataFrame, key: list[str], bucket_limit: int) -> DataFrame | None:
+    """The keys that by a sample hold many times ``bucket_limit`` fingerprints; None if there are none.
+
+    Only the plan depends on the sample: a bucket gives the same links whether it is refined or not.
+    """
+    if "free" in key:
+        keys = keys.where(F.bit_count("free") > LAST_BITS)
+    some = keys.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLED)) == 0).groupBy(*key).count()
+    found = materialize(some.where(F.col("count") > bucket_limit).select(*key), "common")
+    return None if found.isEmpty() else found
+
+
 def _refined(hot: DataFrame, parts: int) -> DataFrame:
     """Cut the bits that each row's key leaves free again."""
 
