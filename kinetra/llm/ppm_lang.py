@@ -8,8 +8,8 @@ code over all 256 bytes. A text's language is the one with the shortest code.
 Frozen statistics make a byte's code length a function of the last ``order`` bytes and the byte. Bytes
 that no sample holds are alike in every tree, so they share one symbol; the states (known contexts) and
 symbols are few, and the code lengths of all languages stand in one table of states x symbols x languages
-that is built on the driver and broadcast. Its size is bounded by the sample (``docs_per_language``
-documents of at most ``max_chars`` characters). A text is then scored whole with array look-ups.
+that is built on the driver and broadcast. Its size is bounded by the sample (``docs_per_language`` documents
+or stretches of at most ``max_chars`` characters in each language): about ten megabytes a language at most. A text is then scored whole with array look-ups.
 """
 
 from __future__ import annotations
@@ -126,17 +126,20 @@ def _code_lengths(tree: dict, context: tuple[int, ...], n: int) -> np.ndarray:
 def fit(docs: DataFrame, docs_per_language: int = 120, max_chars: int = 8000, order: int = 3, mod: int = 4, out: int = 2) -> Model:
     """Learn from documents with a ``lang`` whose crc32(doc_id) modulo ``mod`` is not ``out``.
 
-    The sample is bounded: in each language the ``docs_per_language`` documents of smallest id hash among
-    those of 1 to ``max_chars`` characters (documents of any length are scored).
+    The sample is bounded: in each language the ``docs_per_language`` documents of smallest hash of id and text
+    that are not empty, of those longer than ``max_chars`` characters a stretch of that length at a place given by the hash
+    (documents are scored whole). So every language that a document has is learned.
     """
-    fair = docs.where(F.col("lang").isNotNull() & F.length("text").between(1, max_chars) & (crc_mod(F.col("doc_id"), mod) != out))
+    fair = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (crc_mod(F.col("doc_id"), mod) != out))
     keyed = fair.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
     # ranks need hashes only; a cell of the hash keeps few, so that no window holds a whole language
     cell = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h")
     few = keyed.select("lang", "h").withColumn("r", F.row_number().over(cell)).where(F.col("r") <= docs_per_language)
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= docs_per_language)
     last = materialize(few.groupBy(F.col("lang").alias("l")).agg(F.max("h").alias("most")), "sample")
-    chosen = keyed.join(last, (keyed["lang"] == last["l"]) & (keyed["h"] <= last["most"])).select("lang", "text").distinct()
+    chosen = keyed.join(last, (keyed["lang"] == last["l"]) & (keyed["h"] <= last["most"]))
+    start = F.pmod("h", F.greatest(F.length("text") - max_chars + 1, F.lit(1)).cast("long")).cast("int") + 1
+    chosen = chosen.select("lang", F.substring("text", start, F.lit(max_chars)).alias("text")).distinct()
     samples: dict[str, list[bytes]] = defaultdict(list)
     for lang, text in sorted(map(tuple, chosen.collect())):
         samples[lang].append(text.encode())
