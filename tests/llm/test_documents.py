@@ -367,3 +367,89 @@ def test_all_nulls_and_long_words(spark, path):
     assert simhash.near_duplicates(df).count() == 4 and mixing.mix(df).count() == 4 and digest.compare_edits(df).count() == 4
     assert bpe.digests(df, path).count() == 4 and secret_scan.fit_and_scan(df).count() == 4
     assert ppm_lang.predictions(df).count() == 4 and hpylm.fit_and_score(df).count() == 4
+
+
+def test_extreme_and_null_ids_have_one_order(spark):
+    low = -(1 << 63)
+    rows = [(low, "smallest id " * 3), (None, "no id " * 5), (low + 1, "next id " * 4), (5, "five " * 6), (None, "no id either " * 2), *[(None, None)] * 200, *[(7, "seven")] * 50]
+    got = {(r.doc_id, r.n_chars): r for r in digest.compare_edits(frame(spark, rows)).collect()}
+    assert digest.compare_edits(frame(spark, rows)).count() == len(rows)
+    assert got[low + 1, 32].near_next == digest.likeness(digest.fingerprint("next id " * 4), digest.fingerprint("smallest id " * 3))
+    five = ("five " * 6)[:20] + ("next id " * 4)[:10]
+    assert got[5, 30].edited_sha256 == hashlib.sha256(five.encode()).hexdigest()
+
+
+def test_mix_parts_rows_without_ids(spark):
+    rows = [(None, f"{WORDS[i % 5]} " * 100 + f"x{i}", None, f"s{i % 2}") for i in range(400)]
+    taken, wanted = {}, {}
+    for r in mixing.mix(frame(spark, rows)).collect():
+        taken[r.target] = taken.get(r.target, 0) + r.taken
+        wanted[r.target] = r.target
+    assert len(wanted) == 2 and all(abs(taken[t] - t) <= 101 for t in wanted)
+
+
+def test_take_keeps_clashing_columns(spark, docs):
+    names = ["mix_uses", "mix_source", "row", "uses", "s"]
+    more = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    got = mixing.take(more)
+    assert got.columns == more.columns and got.count() == mixing.take(docs).count()
+
+
+def test_network_gradients_are_those_of_differences():
+    net = secret_scan.Network.fresh(3)
+    r = np.random.default_rng(1)
+    x, y = r.integers(0, secret_scan.SYMBOLS, (6, secret_scan.WINDOW)), np.array([1.0, 0, 1, 0, 1, 0])
+
+    def loss():
+        z = net.logits(x)
+        return float(np.mean(np.log1p(np.exp(z)) - y * z))
+
+    own = [net.embed, net.kernel, net.shift, net.weight, net.bias]
+    for p, g in zip(own, net._gradients(x, y), strict=True):
+        for at in r.choice(p.size, min(p.size, 30), replace=False):
+            kept = p.flat[at]
+            p.flat[at] = kept + 1e-6
+            up = loss()
+            p.flat[at] = kept - 1e-6
+            down = loss()
+            p.flat[at] = kept
+            assert g.flat[at] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+
+
+def test_network_completes_partly_covered_keys(spark):
+    """Secrets in forms that no fixed pattern reports whole, few labels or many."""
+    for n in (8, 300):
+        net = secret_scan.fit(frame(spark, list(enumerate(secret_docs(3, n)))))
+        assert net is not None
+    r = random.Random(2)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    found = 0
+    for _ in range(40):
+        key = "".join(r.choice(letters) for _ in range(20))
+        text = "the of " + key + "0123456789abcdef01234567" + " and that"
+        spans = secret_scan.scan(text, net)
+        assert ("hex", *re.search(r"[0-9a-f]{24,}", text).span()) in spans
+        found += ("model", 7, 7 + len(key) + 24) in spans
+    assert found >= 32
+
+
+def test_candidates():
+    text = "pwd: abcdefgh12 say \"longword\" x=abcdefgh abcdefghi 'short' k=ABCDEFGHIJKLMNOPQR"
+    assert [text[a:b] for a, b in secret_scan.runs(text)] == ["abcdefgh12", "longword", "abcdefgh", "k=ABCDEFGHIJKLMNOPQR"]
+
+
+def test_languages_of_long_documents_are_learned(spark):
+    rows = [(i, "banana bandana " * 2000, "aa") for i in range(8)] + [(100 + i, "xylo phon " * 10, "bb") for i in range(8)]
+    model = ppm_lang.fit(frame(spark, rows), max_chars=500)
+    assert model.languages == ["aa", "bb"] and model.predict(b"bandana banana")[0] == "aa"
+
+
+def test_very_common_variants_are_refined(spark):
+    r = random.Random(1)
+    high = r.getrandbits(32) << 32
+    fps = {high | (1 << a) | (1 << b) for a in range(32) for b in range(a)}
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    for limit in (4, 4096):
+        found = components([(a % 2**64, b % 2**64) for a, b in map(tuple, simhash.links(df, bucket_limit=limit).collect())], fps)
+        assert len(set(found.values())) == 1
