@@ -331,25 +331,51 @@ def test_scores_base_and_perplexity(spark):
         assert x.base_score == pytest.approx(sum(np.log10((count.get(w, 0) + 1) / (n + v + 1)) for w in words(t)))
     for p in hpylm.perplexity(out).collect():
         assert p.perplexity < p.base_perplexity
-    again = hpylm.score(df, hpylm.fit(df.where(~F.lit(False)).where("crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 7 <> 2")), common=3)
+    again = hpylm.score(df, hpylm.fit(df.where(~F.lit(False)).where("crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 7 <> 2")), cells=60)
     assert {x.doc_id: round(x.score, 3) for x in again.collect()} == {i: round(x.score, 3) for i, x in got.items()}
 
 
 def test_predictive_probabilities_sum_to_one(spark):
-    df = frame(spark, [(i, " ".join(WORDS[(i * 7 + j) % len(WORDS)] for j in range(20))) for i in range(40)])
-    model = hpylm.fit(df, contexts=4)
+    df = frame(spark, [(i, " ".join(["the", WORDS[(i * 7 + j) % len(WORDS)], "of"][j % 3] for j in range(60))) for i in range(40)])
+    model = hpylm.fit(df)
+    assert {b"of", b"the"} <= set(model.contexts)
     rows = model.words.collect()
-    for c in range(5):
+    for c in range(len(model.contexts) + 1):
         total = model.root_weights()[c] @ model.unknown() / len(model.samples)
         for r in rows:
             total += r["p"][r["ctx"].index(c)] if c in r["ctx"] else model.root_weights()[c] @ np.array(r["base"]) / len(model.samples)
         assert total == pytest.approx(1, abs=1e-6)
 
 
+def test_context_words_are_counted_exactly(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choices([*WORDS, *(f"w{j}" for j in range(400))], [120, 90, 60, 40, *[5] * (len(WORDS) - 4), *[1] * 400], k=50))) for i in range(300)]
+    df = frame(spark, rows).repartition(7)
+    count = {}
+    for _, t in rows:
+        for w in t.split():
+            count[w.encode()] = count.get(w.encode(), 0) + 1
+    least = (sum(count.values()) + len(rows)) ** 0.5
+    want = sorted((w for w, n in count.items() if n >= least), key=lambda w: (-count[w], w))
+    assert len(want) >= 3 and hpylm.context_words(df) == want == hpylm.context_words(df, held=50)
+
+
+def test_seating_follows_the_restaurant_rule():
+    """Mean and spread of the number of tables, against customers who come one by one."""
+    r = np.random.default_rng(2)
+    for n, share, d in ((2, 0.4, 0.5), (30, 2.0, 0.7), (400, 5.0, 0.5), (400, 0.01, 0.9)):
+        plain = np.ones(4000)
+        for i in range(1, n):
+            plain += r.random(4000) * (share + i - d * plain) < share
+        drawn = hpylm.seat(np.full(4000, n), np.full(4000, share), d, np.arange(4000), n)
+        assert abs(plain.mean() - drawn.mean()) < 5 * np.hypot(plain.std(), drawn.std()) / 4000**0.5 + 1e-9
+        assert abs(plain.std() - drawn.std()) < 0.1 * plain.std() + 0.02
+
+
 def test_seating_bounds():
     c = np.array([0, 1, 2, 50, 5000, 1_000_000])
     t = hpylm.seat(c, np.full(6, 3.0), 0.5, np.arange(6), 1)
-    assert (t <= c).all() and (t[1:] >= 1).all() and t[0] == 0 and t[5] < 200
+    assert (t <= c).all() and (t[1:] >= 1).all() and t[0] == 0 and t[5] < 20_000
     assert (hpylm.seat(c, np.full(6, 3.0), 0.5, np.arange(6), 1) == t).all()
 
 
