@@ -28,14 +28,10 @@ def value_at(points: DataFrame, times: DataFrame, spline: bool = False) -> DataF
     )
     extra = [c for c in times.columns if c not in (*KEY, "t")]
     q = times.select(*KEY, "t", F.lit(0).alias("_k"), F.lit(0).cast("long").alias("_s"), F.struct(*extra).alias("_q") if extra else F.lit(None).cast("int").alias("_q"))
-    order = Window.partitionBy(*KEY).orderBy("t", "_k", "_s")
+    # the point after is the last one of the reversed order: a frame of what follows would be read anew for every row
+    forth, back = (Window.partitionBy(*KEY).orderBy(*[f(c) for c in ("t", "_k", "_s")]).rowsBetween(Window.unboundedPreceding, 0) for f in (F.asc, F.desc))
     both = p.unionByName(q, allowMissingColumns=True)
-    both = both.withColumns(
-        {
-            "_a": F.last("_p", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-            "_z": F.first("_p", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)),
-        }
-    ).where("_k = 0")
+    both = both.withColumns({"_a": F.last("_p", ignorenulls=True).over(forth), "_z": F.last("_p", ignorenulls=True).over(back)}).where("_k = 0")
     a, z = F.col("_a"), F.col("_z")
     f = (F.col("t") - a["at"]) / (z["at"] - a["at"])
     value = a["pos"] + f * (z["pos"] - a["pos"])
@@ -67,20 +63,35 @@ def next_prev_point(points: DataFrame, frame: int, fps: float) -> DataFrame:
     return points.groupBy(*KEY).agg(F.min(F.when(f > frame, at)).alias("next_at"), F.max(F.when(f < frame, at)).alias("prev_at"))
 
 
+def _covered(points: DataFrame, chapters: DataFrame) -> DataFrame:
+    """``(_row, _c)``: every point with the first chapter (by ``ord``) that holds its time; ``_c.hit`` is null without one.
+
+    A series' time is cut where a chapter starts or has ended; a point takes the piece that began last before it. Rows
+    that are repeated stay, and a point meets one piece, however many chapters there are.
+    """
+    c = chapters.where("series_id is not null").select("series_id", "start_ms", "end_ms", "ord", "chapter_id", "label")
+    cuts = c.select("series_id", F.explode(F.array("start_ms", F.col("end_ms") + 1)).alias("_t")).distinct()
+    held = F.col("_t").between(F.col("start_ms"), F.col("end_ms"))
+    pieces = cuts.join(c.withColumnRenamed("series_id", "_series"), (F.col("series_id") == F.col("_series")) & held, "left")
+    found = F.struct(F.lit(1).alias("hit"), "chapter_id", "label")
+    pieces = pieces.groupBy("series_id", "_t").agg(F.min_by(found, F.when(F.col("_series").isNotNull(), F.struct("ord", "chapter_id"))).alias("_f"))
+    pieces = pieces.select("series_id", "_t", F.lit(0).alias("_k"), F.struct(F.col("_f.hit").alias("hit"), F.col("_f.chapter_id").alias("chapter_id"), F.col("_f.label").alias("label")).alias("_p"))
+    rows = points.select("series_id", F.col("at").alias("_t"), F.lit(1).alias("_k"), F.struct(*points.columns).alias("_row"))
+    order = Window.partitionBy("series_id").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(pieces, allowMissingColumns=True)
+    return both.withColumn("_c", F.last("_p", ignorenulls=True).over(order)).where("_k = 1").select("_row", "_c")
+
+
 def label_points(points: DataFrame, chapters: DataFrame) -> DataFrame:
     """``points`` with the id and label of the first chapter (by ``ord``) that holds their time, or null."""
-    c = chapters.select(F.col("series_id").alias("_series"), "start_ms", "end_ms", "ord", "chapter_id", "label")
-    inside = (F.col("series_id") == F.col("_series")) & F.col("at").between(F.col("start_ms"), F.col("end_ms"))
-    joined = points.join(c, inside, "left")
-    keep = points.columns
-    first = F.min_by(F.struct("chapter_id", "label"), "ord").alias("_c")
-    return joined.groupBy(*keep).agg(first).select(*keep, "_c.chapter_id", "_c.label")
+    return _covered(points, chapters).select("_row.*", "_c.chapter_id", "_c.label")
 
 
 def points_outside(points: DataFrame, chapters: DataFrame) -> DataFrame:
     """Points that no chapter of ``chapters`` holds (idle ones, say)."""
-    c = chapters.select(F.col("series_id").alias("_series"), "start_ms", "end_ms")
-    return points.join(c, (F.col("series_id") == F.col("_series")) & F.col("at").between(F.col("start_ms"), F.col("end_ms")), "left_anti")
+    named = [c for c in ("ord", "chapter_id", "label") if c not in chapters.columns]
+    chapters = chapters.withColumns({c: F.lit(None).cast("string") for c in named}) if named else chapters
+    return _covered(points, chapters).where("_c.hit is null").select("_row.*")
 
 
 def chapters_overlap(chapters: DataFrame) -> DataFrame:

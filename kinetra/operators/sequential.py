@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetra.operators import kernels as K
+from kinetra.operators.groups import Change, change_series, frames_of
 from kinetra.operators.windows import plateau_anchors
 from kinetra.schema import KEY, clip, rint, series, to_pos
 
@@ -22,22 +23,15 @@ Kernel = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 def per_series(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """``fn`` on every series in time order, with the columns of ``df``."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return fn(rows.sort_values(["at", "seq"], kind="stable"))
-
-    return df.groupBy(*KEY).applyInPandas(run, df.schema)
+    return frames_of(df, fn)
 
 
 def _keeping(df: DataFrame, mask: Kernel) -> DataFrame:
-    return per_series(df, lambda rows: rows[mask(rows["at"].to_numpy(), rows["pos"].to_numpy())])
+    return change_series(df, lambda x: (mask(x["at"], x["pos"]), {}))
 
 
 def _moving(df: DataFrame, pos: Kernel) -> DataFrame:
-    def change(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.assign(pos=pos(rows["at"].to_numpy(), rows["pos"].to_numpy()).astype("int32"))
-
-    return per_series(df, change)
+    return change_series(df, lambda x: (None, {"pos": pos(x["at"], x["pos"])}))
 
 
 def min_interval_filter(df: DataFrame, gap: int = 10) -> DataFrame:
@@ -93,49 +87,39 @@ def find_peaks_valleys(df: DataFrame, **limits: float) -> DataFrame:
 def speed_limit(df: DataFrame, gap: int = 60, vibe: int = 0, speed: float = 500) -> DataFrame:
     """Drop short intervals, optionally turn small moves into vibration, then limit the speed of what comes out."""
 
-    def change(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) < 2:
-            return rows
-        rows = rows[K.backward_interval(rows["at"].to_numpy(), gap)]
-        at = rows["at"].to_numpy()
-        pos = K.vibrate(at, rows["pos"].to_numpy(), vibe)
-        return rows.assign(pos=K.limit_speed(at, pos, speed).astype("int32"))
+    def change(x: dict[str, np.ndarray]) -> Change:
+        at, pos = x["at"], x["pos"]
+        if len(at) < 2:
+            return None, {"pos": pos}
+        keep = K.backward_interval(at, gap)
+        return keep, {"pos": K.limit_speed(at[keep], K.vibrate(at[keep], pos[keep], vibe), speed)}
 
-    return per_series(df, change)
+    return change_series(df, change)
 
 
-def _selected(df: DataFrame, selected: Column, fn: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """``fn`` on every series with the column ``selected``."""
-    marked = df.withColumn("selected", F.coalesce(selected, F.lit(False)))
-    return per_series(marked, fn).select(df.columns)
+def _selected(df: DataFrame, selected: Column, column: str, fn: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """A column anew by times, positions and what is selected."""
+    marked = df.withColumn("_selected", F.coalesce(selected, F.lit(False)))
+    step = lambda x: (None, {column: fn(x["at"], x["pos"], x["_selected"].astype(bool))})
+    return change_series(marked, step, ("at", "pos", "_selected")).select(df.columns)
 
 
 def speed_limit_selected(df: DataFrame, selected: Column, speed: float = 500) -> DataFrame:
-    def change(rows: pd.DataFrame) -> pd.DataFrame:
-        chosen = rows["selected"].to_numpy(bool)
-        if chosen.sum() < 2:
-            return rows
-        return rows.assign(pos=K.limit_speed_selected(rows["at"].to_numpy(), rows["pos"].to_numpy(), chosen, speed).astype("int32"))
+    return _selected(df, selected, "pos", lambda at, pos, chosen: K.limit_speed_selected(at, pos, chosen, speed) if chosen.sum() > 1 else pos)
 
-    return _selected(df, selected, change)
 
-
-def directional_speed_limit(df: DataFrame, speed: float = 600, bias: str = "symmetric", prepare: bool = False) -> DataFrame:
+def directional_speed_limit(df: DataFrame, speed: float = 600, bias: str = "symmetric", prepare: bool = False, selected: Column | None = None) -> DataFrame:
+    if selected is not None:
+        return _selected(df, selected, "pos", lambda at, pos, chosen: K.directional_limit(at, pos, speed, bias, prepare, chosen))
     return _moving(df, lambda at, pos: K.directional_limit(at, pos, speed, bias, prepare))
 
 
 def continue_minmax(df: DataFrame, selected: Column, lookback: int = 4) -> DataFrame:
-    def change(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.assign(pos=K.continue_minmax(rows["pos"].to_numpy(), rows["selected"].to_numpy(bool), lookback).astype("int32"))
-
-    return _selected(df, selected, change)
+    return _selected(df, selected, "pos", lambda at, pos, chosen: K.continue_minmax(pos, chosen, lookback))
 
 
 def nudge_time_selected(df: DataFrame, selected: Column, delta: int) -> DataFrame:
-    def change(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.assign(at=K.nudge_times(rows["at"].to_numpy(), rows["selected"].to_numpy(bool), delta))
-
-    return _selected(df, selected, change)
+    return _selected(df, selected, "at", lambda at, pos, chosen: K.nudge_times(at, chosen, delta))
 
 
 def recover_strokes(kept: DataFrame, original: DataFrame, factor: float = 1.8) -> DataFrame:

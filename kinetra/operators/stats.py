@@ -170,7 +170,10 @@ def signal_offset(main: DataFrame, ref: DataFrame, limit: int = 5000, least: int
     """
     peaks = lambda df: strict_extrema(df).where("top or bottom").select(*KEY, "at", F.count("*").over(whole()).alias("n")).where(F.col("n") >= least)
     m, r = peaks(main).withColumnRenamed("at", "_m").drop("n"), peaks(ref).withColumnRenamed("at", "_r").drop("n")
-    lags = m.join(r, list(KEY)).withColumn("lag", F.col("_m") - F.col("_r")).where(F.col("lag").between(-limit, limit))
+    # only extrema of the same stretch of ``limit`` ms or of one beside it can be so near
+    stretch = lambda c: F.floor(F.col(c) / max(limit, 1))
+    m, r = m.withColumn("_b", stretch("_m")), r.withColumn("_b", F.explode(F.array(*[stretch("_r") + k for k in (-1, 0, 1)])))
+    lags = m.join(r, [*KEY, "_b"]).withColumn("lag", F.col("_m") - F.col("_r")).where(F.col("lag").between(-limit, limit))
     counted = lags.groupBy(*KEY, "lag").agg(F.count("*").alias("hits"))
     best = F.max_by(F.struct("lag", "hits"), F.struct("hits", -F.col("lag")))
     return counted.groupBy(*KEY).agg(best.alias("b")).select(*KEY, "b.lag", "b.hits")

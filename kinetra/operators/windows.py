@@ -185,9 +185,10 @@ def align_sections(df: DataFrame, mark: Column) -> DataFrame:
     A section never moves its own end, so all ends are read as they were; what follows the last mark stays.
     """
     rows = df.withColumn("_p", F.when(mark, F.col("pos")))
-    later = series().rowsBetween(1, Window.unboundedFollowing)
+    # the next mark is the last one of the reversed order, which takes one pass
+    later = Window.partitionBy(*KEY).orderBy(F.desc("at"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns(
-        {"_mean": F.avg("_p").over(whole()), "_a": F.last("_p", ignorenulls=True).over(series()), "_z": F.first("_p", ignorenulls=True).over(later)}
+        {"_mean": F.avg("_p").over(whole()), "_a": F.last("_p", ignorenulls=True).over(series()), "_z": F.last("_p", ignorenulls=True).over(later)}
     )
     value = to_pos(F.round(F.col("pos") + F.col("_mean") - (F.col("_a") + F.col("_z")) / 2, 6))
     return rows.withColumn("pos", F.coalesce(value, F.col("pos"))).select(df.columns)

@@ -74,8 +74,8 @@ def project_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return R.from_projects(R.to_projects(points(spark, sf, None)))
 
 
-@query(on_points("""SELECT 'p' || series_id AS name, count(*) AS n, max(at) - min(at) AS duration_ms, list({'at': at - a, 'pos': pos} ORDER BY at, seq) AS actions
-FROM (SELECT *, min(at) OVER (PARTITION BY series_id) AS a FROM points WHERE pos > 60) GROUP BY series_id HAVING count(*) >= 2""").replace("{'at': at - a", "{'at_': at - a"))
+@query(on_points("""SELECT 'p' || series_id AS name, count(*) AS n, max(at) - min(at) AS duration_ms, list(struct_pack(at := at - a, pos := pos) ORDER BY at, seq) AS actions
+FROM (SELECT *, min(at) OVER (PARTITION BY series_id) AS a FROM points WHERE pos > 60) GROUP BY series_id HAVING count(*) >= 2"""))
 def patterns_io(spark: SparkSession, sf: str) -> DataFrame:
     rows = points(spark, sf).where("pos > 60").select(F.concat(F.lit("p"), F.col("series_id").cast("string")).alias("name"), "at", "pos", "seq")
     return R.patterns(rows)

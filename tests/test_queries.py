@@ -17,8 +17,10 @@ pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="the test tables a
 def plain(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else float(f"{v:.9g}")
+    if hasattr(v, "asDict"):
+        v = v.asDict()
     if isinstance(v, dict):
-        return tuple(plain(x) for x in v.values())
+        return tuple((k, plain(x)) for k, x in v.items())
     if isinstance(v, (list, tuple)):
         return tuple(plain(x) for x in v)
     return v
