@@ -10,75 +10,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetra.operators import kernels as K
-from kinetra.operators.sequential import per_series
-from kinetra.operators.windows import drop_speed_artifacts, reversal_peaks, savgol, savgol_weights
+from kinetra.operators.groups import Change, change_series
+from kinetra.operators.windows import reversal_peaks, savgol, savgol_weights
 from kinetra.schema import KEY, series
 
 
-def anchors(pos: np.ndarray, prominence: float, shallow: float) -> np.ndarray:
-    """Alternating extrema: prominent within a window of up to 15 points either side, without shallow reversals."""
-    n = len(pos)
-    if n < 3:
-        return np.arange(n)
-    reach = min(15, max(3, n // 6))
-    marks: list[tuple[int, int]] = []
-    for i in range(1, n - 1):
-        left, right = pos[max(0, i - reach) : i], pos[i + 1 : i + 1 + reach]
-        if pos[i] >= left.max() and pos[i] >= right.max() and pos[i] - max(left.min(), right.min()) >= prominence:
-            kind = 1
-        elif pos[i] <= left.min() and pos[i] <= right.min() and min(left.max(), right.max()) - pos[i] >= prominence:
-            kind = -1
-        else:
-            continue
-        if marks and marks[-1][1] == kind:
-            # of two of a kind in a row the more extreme one stays
-            if (pos[i] - pos[marks[-1][0]]) * kind > 0:
-                marks[-1] = (i, kind)
-        elif not marks or abs(pos[i] - pos[marks[-1][0]]) >= shallow:
-            marks.append((i, kind))
-    return np.unique([0, *(i for i, _ in marks), n - 1])
-
-
-def _tuned(at: np.ndarray, pos: np.ndarray, scale: float, centre: float, prominence: float, tolerance: float, shallow: float) -> tuple[np.ndarray, np.ndarray]:
-    """Kept places and their positions: amplify, straighten between anchors, simplify, round, drop what lies on lines."""
-    y = np.clip(centre + (pos - centre) * scale, 0, 100)
-    if len(at) < 3:
-        return np.arange(len(at)), np.rint(y)
-    hold = anchors(pos, prominence, shallow)
-    keep = np.zeros(len(at), dtype=bool)
-    keep[hold] = True
-    for a, z in zip(hold, hold[1:], strict=False):
-        # between anchors the way goes one way: what turns back goes
-        way, last, inner = np.sign(y[z] - y[a]), y[a], [a]
-        for i in range(a + 1, z):
-            if (y[i] - last) * way >= 0:
-                inner.append(i)
-                last = y[i]
-        place = np.array([*inner, z])
-        keep[place[K.vertical_rdp(at[place], y[place], tolerance)]] = True
-    place, y = np.flatnonzero(keep), np.rint(y)
-    while len(place) > 2:
-        t, p = at[place].astype(float), y[place]
-        line = p[:-2] + (p[2:] - p[:-2]) * (t[1:-1] - t[:-2]) / np.maximum(t[2:] - t[:-2], 1)
-        on_line = (np.abs(p[1:-1] - line) <= max(0.4 * tolerance, 1)) & ((p[1:-1] - p[:-2]) * (p[2:] - p[1:-1]) >= 0)
-        gone = np.flatnonzero(on_line) + 1
-        if not len(gone):
-            break
-        # two points next to each other don't go at once, so that a line is thinned and not cut
-        place = np.delete(place, gone[np.append(True, np.diff(gone) > 1)])
-    return place, y[place]
-
-
 def ultimate_autotune(
-    df: DataFrame, scale: float = 1.2, centre: float = 50, speed: float = 800, prominence: float = 15, tolerance: float = 10, shallow: float = 15
+    df: DataFrame, scale: float = 1.2, centre: float = 50, speed: float = 800, jerk: float = 15, amplitude: float = 10, tolerance: float = 15
 ) -> DataFrame:
-    """Drop speed artefacts, find anchors, amplify, take out jerk between anchors, simplify sections, thin lines, round."""
+    """Drop speed artefacts, find anchors, amplify, take out jerk between anchors, simplify, thin lines, keep turns, round.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        place, pos = _tuned(rows["at"].to_numpy(), rows["pos"].to_numpy(float), scale, centre, prominence, tolerance, shallow)
-        return rows.iloc[place].assign(pos=pos.astype("int32"))
+    A series of fewer than three points, or left with so few by the first step, stays as it is then.
+    """
+
+    def change(x: dict[str, np.ndarray]) -> Change:
+        place, pos = K.tuned(x["at"], x["pos"], scale, centre, speed, jerk, amplitude, tolerance)
+        return place, {"pos": pos}
 
-    return per_series(drop_speed_artifacts(df, speed), run)
+    return change_series(df, change)
 
 
 def savgol_autotune(df: DataFrame, longest: int = 9, degree: int = 3) -> DataFrame:

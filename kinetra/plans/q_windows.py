@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinetra.operators import windows as X
 from kinetra.plans.base import on_points, points, query
+from kinetra.plans.registry import Step, run_pipeline
 
 S = "(PARTITION BY series_id, axis ORDER BY at, seq)"
 G = "(PARTITION BY series_id, axis)"
@@ -148,6 +149,23 @@ def align_peaks(spark: SparkSession, sf: str) -> DataFrame:
     return X.align_peaks(points(spark, sf))
 
 
+@query(
+    on_points(f"""SELECT series_id, axis, at, CASE WHEN NOT i THEN pos WHEN pos > b AND pos > n THEN hi WHEN pos < b AND pos < n THEN lo ELSE pos END AS pos, seq
+FROM (SELECT *, lag(pos) OVER (PARTITION BY series_id, axis, i ORDER BY at, seq) AS b, lead(pos) OVER (PARTITION BY series_id, axis, i ORDER BY at, seq) AS n,
+        min(pos) OVER (PARTITION BY series_id, axis, i) AS lo, max(pos) OVER (PARTITION BY series_id, axis, i) AS hi
+      FROM (SELECT *, coalesce(r BETWEEN min(CASE WHEN pos > 60 THEN r END) OVER {G} AND max(CASE WHEN pos > 60 THEN r END) OVER {G}, false) AS i
+            FROM (SELECT *, row_number() OVER {S} AS r FROM points)))""")
+)
+def align_peaks_slice(spark: SparkSession, sf: str) -> DataFrame:
+    """From the first point over 60 to the last, as the series itself; inside a slice its rows are neighbours."""
+    return run_pipeline(points(spark, sf), [Step("align_peaks", selected=F.col("pos") > 60)])[0]
+
+
+@query(on_points("""SELECT series_id, axis, at, CASE WHEN at BETWEEN 10000 AND 40000 THEN CASE WHEN pos < 30 THEN 0 WHEN pos > 70 THEN 100 ELSE pos END ELSE pos END AS pos, seq FROM points"""))
+def threshold_clamp_range(spark: SparkSession, sf: str) -> DataFrame:
+    return run_pipeline(points(spark, sf), [Step("threshold_clamp", {"lower": 30, "upper": 70}, between=(10_000, 40_000))])[0]
+
+
 def _sections(mark: str) -> str:
     return on_points(f"""SELECT series_id, axis, at, CAST(coalesce(least(100, greatest(0, round_even(round(pos + mean - (a + z) / 2.0::DOUBLE, 6), 0))), pos) AS INTEGER) AS pos, seq
 FROM (SELECT *, avg(p) OVER {G} AS mean, last_value(p IGNORE NULLS) OVER (PARTITION BY series_id, axis ORDER BY at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a,

@@ -11,10 +11,12 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetra.operators import compound, pointwise, sequential, windows
+from kinetra.operators.scope import at_points, in_slice
+from kinetra.schema import KEY
 
 
 @dataclass(frozen=True)
@@ -74,9 +76,28 @@ def get(name: str) -> Filter:
 
 @dataclass(frozen=True)
 class Step:
+    """A filter with its parameters, on all points or on those that ``selected`` holds for, or within ``between`` (ms, ends included).
+
+    A selection wins over a range. A filter that changes each point by itself changes the selected points only; any other works on
+    the slice from the first to the last of them as if it were the whole series.
+    """
+
     filter: str
     params: dict[str, Any] = field(default_factory=dict)
     enabled: bool = True
+    selected: Column | None = None
+    between: tuple[int, int] | None = None
+
+    def __call__(self, points: DataFrame) -> DataFrame:
+        chosen = self.selected if self.selected is not None else F.col("at").between(*self.between) if self.between else None
+        run = lambda rows: get(self.filter)(rows, **self.params)
+        if chosen is None:
+            return run(points)
+        return (at_points if self.filter in POINTWISE else in_slice)(points, chosen, run)
+
+
+#: Filters that look at one point at a time.
+POINTWISE = frozenset(("amplify", "invert", "threshold_clamp", "value_clamp", "time_shift"))
 
 
 def run_pipeline(points: DataFrame, steps: list[Step], axis: str | None = None) -> tuple[DataFrame, list[str]]:
@@ -86,7 +107,7 @@ def run_pipeline(points: DataFrame, steps: list[Step], axis: str | None = None)
     errors = []
     for i, step in enumerate(s for s in steps if s.enabled):
         try:
-            out = get(step.filter)(out, **step.params)
+            out = step(out)
         except (KeyError, ValueError) as e:
             errors.append(f"step {i + 1} ({step.filter}): {e.args[0]}")
     return (out if rest is None else out.unionByName(rest)), errors
@@ -94,6 +115,20 @@ def run_pipeline(points: DataFrame, steps: list[Step], axis: str | None = None)
 
 N = lambda default, low, high: Param(float, float(default), low, high)
 I = lambda default, low, high: Param(int, default, low, high)  # noqa: E731, E741
+
+
+def numbered(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A filter that makes new points, whose rows are numbered anew in time order."""
+
+    def run(points: DataFrame, **given: Any) -> DataFrame:
+        order = Window.partitionBy(*KEY).orderBy("at", "pos")
+        return fn(points, **given).withColumn("seq", (F.row_number().over(order) - 1).cast("long"))
+
+    return run
+
+
+add("resample_peaks", numbered(sequential.resample_peaks), step=I(50, 10, 1000))
+add("inject_points", numbered(sequential.inject_points), interval=N(100, 10, 10_000), adaptive=Param(bool, True), method=Param(str, "linear", choices=("linear", "cosine", "cubic")))
 add("amplify", pointwise.amplify, scale=N(1.25, 0, 5), centre=N(50, 0, 100))
 add("invert", pointwise.invert)
 add("threshold_clamp", pointwise.threshold_clamp, lower=I(20, 0, 100), upper=I(80, 0, 100))
@@ -113,7 +148,13 @@ add("keyframes", sequential.keyframes, tolerance=N(10, 0, 100))
 add("anti_jerk", sequential.anti_jerk, jerk=N(20, 5, 50), main=N(50, 20, 100), deviation=N(15, 5, 50))
 add("speed_limit", sequential.speed_limit, gap=I(60, 0, 1000), vibe=I(0, 0, 100), speed=N(500, 1, 10_000))
 add("directional_speed_limit", sequential.directional_speed_limit, speed=N(600, 1, 10_000), bias=Param(str, "symmetric", choices=("symmetric", "top", "bottom")))
-add("ultimate_autotune", compound.ultimate_autotune, scale=N(1.2, 0.1, 5), tolerance=N(10, 1, 50))
+add(
+    "ultimate_autotune", compound.ultimate_autotune, scale=N(1.2, 0.5, 3), centre=N(50, 0, 100), speed=N(800, 100, 5000), jerk=N(15, 3, 50), amplitude=N(10, 1, 50),
+    tolerance=N(15, 0.5, 30),
+)
+add("online_simplify", sequential.online_simplify, tolerance=N(2, 0, 50))
+add("visvalingam_simplify", sequential.visvalingam_simplify, area=N(2, 0, 10_000))
+add("savgol_autotune", compound.savgol_autotune, longest=I(9, 3, 99), degree=I(3, 0, 5))
 
 PRESETS: dict[str, list[Step]] = {
     "clean": [Step("min_interval"), Step("savgol", {"window": 5, "degree": 2}), Step("keyframes", {"tolerance": 8.0})],
