@@ -82,6 +82,20 @@ def _covered(points: DataFrame, chapters: DataFrame) -> DataFrame:
     return both.withColumn("_c", F.last("_p", ignorenulls=True).over(order)).where("_k = 1").select("_row", "_c")
 
 
+def intervals_of(rows: DataFrame, chapters: DataFrame) -> DataFrame:
+    """``rows`` once for each chapter of their series that holds their time (both bounds inclusive), with its ``chapter_id``.
+
+    Both sides are cut into stretches of the longest chapter of the series, so a row meets the chapters of two stretches only.
+    """
+    c = chapters.select(F.col("series_id").alias("_series"), "chapter_id", "start_ms", "end_ms")
+    size = c.groupBy("_series").agg(F.greatest(F.max(F.col("end_ms") - F.col("start_ms")) + 1, F.lit(1)).alias("_size"))
+    c = c.join(size, "_series").withColumn("_b", F.floor(F.col("start_ms") / F.col("_size")))
+    c = c.withColumn("_b", F.explode(F.array("_b", F.col("_b") + 1)))
+    r = rows.join(size.withColumnRenamed("_series", "_own"), F.col("series_id") == F.col("_own")).withColumn("_at", F.floor(F.col("at") / F.col("_size")))
+    same = (F.col("series_id") == F.col("_series")) & (F.col("_at") == F.col("_b")) & F.col("at").between(F.col("start_ms"), F.col("end_ms"))
+    return r.drop("_size").join(c.drop("_size"), same).select(*rows.columns, "chapter_id")
+
+
 def label_points(points: DataFrame, chapters: DataFrame) -> DataFrame:
     """``points`` with the id and label of the first chapter (by ``ord``) that holds their time, or null."""
     return _covered(points, chapters).select("_row.*", "_c.chapter_id", "_c.label")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetra.operators.joins import interpolated_pairs
+from kinetra.operators.joins import interpolated_pairs, intervals_of
 from kinetra.operators.windows import oscillation_runs, strict_extrema
 from kinetra.schema import KEY, series, whole
 
@@ -140,10 +140,8 @@ def comparison_metrics(main: DataFrame, ref: DataFrame) -> DataFrame:
 
 def per_chapter_mae(main: DataFrame, ref: DataFrame, chapters: DataFrame) -> DataFrame:
     """MAE of each chapter (both bounds inclusive) with two compared points or more."""
-    c = chapters.select(F.col("series_id").alias("_series"), "chapter_id", "start_ms", "end_ms").where("end_ms > start_ms")
-    rows = interpolated_pairs(main, ref)
-    inside = (F.col("series_id") == F.col("_series")) & F.col("at").between(F.col("start_ms"), F.col("end_ms"))
-    out = rows.join(c, inside).groupBy(*KEY, "chapter_id").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("pos") - F.col("ref_value"))).alias("mae"))
+    rows = intervals_of(interpolated_pairs(main, ref), chapters.where("end_ms > start_ms"))
+    out = rows.groupBy(*KEY, "chapter_id").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("pos") - F.col("ref_value"))).alias("mae"))
     return out.where("n >= 2")
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinetra.operators import comparison as Z
 from kinetra.operators import compound as C
 from kinetra.operators import editing as E
 from kinetra.operators import joins as J
 from kinetra.plans.base import on_points, points, query
 from kinetra.plans.q_editing import FRAMES, RUNS, frame_chapters, frames, on_fc
-from kinetra.plans.q_joins import boxes, samples
+from kinetra.plans.q_joins import boxes, chapters, samples
 from kinetra.plans.q_tracks import tracks
 from kinetra.plans.registry import PRESETS, run_pipeline
 
@@ -27,6 +28,18 @@ def savgol_autotune(spark: SparkSession, sf: str) -> DataFrame:
     return C.savgol_autotune(points(spark, sf), 9, 2)
 
 
+@query()
+def comparison_peaks(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    return Z.peak_classes(Z.classified_peaks(p.where("seq % 2 = 0"), p.where("seq % 2 = 1"), window=2000))
+
+
+@query()
+def chapter_peaks(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    return Z.peaks_by_chapter(Z.classified_peaks(p.where("seq % 2 = 0"), p.where("seq % 2 = 1"), window=2000), chapters(spark, sf))
+
+
 @query()
 def match_peaks(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf)

@@ -81,6 +81,23 @@ def patterns_io(spark: SparkSession, sf: str) -> DataFrame:
     return R.patterns(rows)
 
 
+@query(on_points("""SELECT 'p' || series_id AS name, max(at) - min(at) AS duration_ms, list(struct_pack(at := at - a, pos := pos) ORDER BY at, seq) AS actions
+FROM (SELECT *, min(at) OVER (PARTITION BY series_id) AS a FROM points WHERE pos > 60 AND series_id % 3 = 0) GROUP BY series_id HAVING count(*) >= 2"""))
+def patterns_load(spark: SparkSession, sf: str) -> DataFrame:
+    """Patterns written as documents and read back, beside documents that hold none."""
+    rows = points(spark, sf).where("pos > 60 and series_id % 3 = 0").select(F.concat(F.lit("p"), F.col("series_id").cast("string")).alias("name"), "at", "pos", "seq")
+    broken = table(spark, sf, "region").select(F.lit("broken").alias("name"), F.concat(F.lit('{"name": '), F.col("r_name")).alias("value"))
+    return R.load_patterns(R.pattern_documents(R.patterns(rows)).unionByName(broken))
+
+
+@query(with_chapters("""SELECT series_id, chapter_id AS unique_id, CAST(round_even(start_ms * 30.0::DOUBLE / 1000, 0) AS BIGINT) AS start_frame_id, CAST(round_even(end_ms * 30.0::DOUBLE / 1000, 0) AS BIGINT) AS end_frame_id, label AS class_name,
+  label AS position_long_name, 'manual' AS source, 30.0::DOUBLE AS video_fps FROM chapters"""))
+def chapters_json_io(spark: SparkSession, sf: str) -> DataFrame:
+    """Chapters written to files that count frames, and read back."""
+    back = R.parse_chapters(R.chapter_documents(R.chapter_rows(chapters(spark, sf), 30.0)))
+    return back.select("series_id", "unique_id", "start_frame_id", "end_frame_id", "class_name", "position_long_name", "source", "video_fps")
+
+
 @query(on_points("SELECT series_id, axis, count(*) AS n, min(at) AS first_at, max(at) AS last_at FROM points GROUP BY ALL"))
 def write_scripts_single(spark: SparkSession, sf: str) -> DataFrame:
     parsed = R.parse(R.single_documents(points(spark, sf)))

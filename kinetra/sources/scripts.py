@@ -139,6 +139,53 @@ def patterns(points: DataFrame) -> DataFrame:
     return rows.select("name", "n", "duration_ms", moved.alias("actions"))
 
 
-def chapter_rows(points: DataFrame, fps: float) -> DataFrame:
-    """Times of points as frames, for chapter files that count frames."""
-    return points.withColumn("frame_id", ms_to_frame(F.col("at"), fps))
+#: Fixed values of the chapter file: its version and the fields of a chapter that are read and written.
+CHAPTER_VERSION = "1.0"
+CHAPTER_FIELDS = "start_frame_id bigint, end_frame_id bigint, class_name string, segment_type string, position_short_name string, position_long_name string, source string, unique_id string"
+CHAPTER_FILE = (
+    "version string, video_filename string, video_fps double, video_total_frames bigint, created_timestamp string, source string, chapter_count int,"
+    f" chapters array<struct<{CHAPTER_FIELDS.replace(' bigint', ': bigint').replace(' string', ': string')}>>"
+)
+
+
+def chapter_rows(chapters: DataFrame, fps: float) -> DataFrame:
+    """Chapters ``(series_id, chapter_id, start_ms, end_ms, label)`` as those of a chapter file, which counts frames."""
+    frame = lambda c: ms_to_frame(F.col(c), fps).cast("long")
+    return chapters.select(
+        "series_id", frame("start_ms").alias("start_frame_id"), frame("end_ms").alias("end_frame_id"), F.col("label").alias("class_name"), F.col("label").alias("segment_type"),
+        F.col("label").alias("position_short_name"), F.col("label").alias("position_long_name"), F.lit("manual").alias("source"), F.col("chapter_id").cast("string").alias("unique_id"),
+    )
+
+
+def chapter_documents(rows: DataFrame, fps: float = 30.0, created: str = "") -> DataFrame:
+    """Chapter files ``(series_id, value)``: one JSON document for each series that has chapters, in order of their frames."""
+    fields = [f.split()[0] for f in CHAPTER_FIELDS.split(", ")]
+    kept = F.array_sort(F.collect_list(F.struct(*fields))).alias("chapters")
+    own = rows.groupBy("series_id").agg(kept, F.max("end_frame_id").alias("_last"))
+    document = F.struct(
+        F.lit(CHAPTER_VERSION).alias("version"), F.col("series_id").cast("string").alias("video_filename"), F.lit(float(fps)).alias("video_fps"),
+        (F.col("_last") + 1).alias("video_total_frames"), F.lit(created).alias("created_timestamp"), F.lit("manual").alias("source"),
+        F.size("chapters").alias("chapter_count"), "chapters",
+    )
+    return own.select("series_id", F.to_json(document).alias("value"))
+
+
+def parse_chapters(documents: DataFrame) -> DataFrame:
+    """``(series_id, video_fps, ...)``: the chapters of chapter files; one without frames, or of a file that is no JSON, is left out."""
+    read = documents.select("series_id", F.from_json("value", CHAPTER_FILE).alias("d"))
+    rows = read.select("series_id", F.coalesce("d.video_fps", F.lit(30.0)).alias("video_fps"), F.inline("d.chapters"))
+    short, long = F.coalesce("position_short_name", "segment_type", F.lit("default")), F.coalesce("position_long_name", "class_name", F.lit("Unknown"))
+    rows = rows.where("start_frame_id is not null and end_frame_id is not null")
+    return rows.withColumns({"position_short_name": short, "position_long_name": long})
+
+
+def pattern_documents(rows: DataFrame) -> DataFrame:
+    """``patterns`` as JSON documents ``(name, value)``."""
+    return rows.select("name", F.to_json(F.struct("name", "duration_ms", "actions")).alias("value"))
+
+
+def load_patterns(documents: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Patterns ``(name, duration_ms, actions)`` of documents, all or those named; what is no pattern of two points is left out."""
+    read = documents.select(F.from_json("value", "name string, duration_ms bigint, actions array<struct<at: bigint, pos: int>>").alias("d")).select("d.*")
+    read = read.where(F.col("name").isNotNull() & (F.size("actions") >= 2))
+    return read if names is None else read.where(F.col("name").isin(names))

@@ -101,3 +101,39 @@ def test_entry():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_peak_classes_add_up(spark):
+    """Counts by series and by chapter, from the matches one by one."""
+    from kinetra.operators import comparison
+    from kinetra.plans.base import points
+    from kinetra.plans.q_joins import chapters
+
+    p = points(spark, SF)
+    peaks = comparison.classified_peaks(p.where("seq % 2 = 0"), p.where("seq % 2 = 1"), window=2000)
+    rows = peaks.collect()
+
+    def kind(r):
+        gap = abs(r.pos - r.ref_pos)
+        return next((c for c, t, d in (("gold", 1000 / 30, 3), ("green", 66, 7), ("yellow", 133, 15)) if r.offset < t and gap < d), "red")
+
+    want = {}
+    for r in rows:
+        own = want.setdefault((r.series_id, r.axis), {})
+        for k in (r.kind, kind(r) if r.kind == "matched" else None):
+            own[k] = own.get(k, 0) + 1
+    for r in comparison.peak_classes(peaks).collect():
+        own = want[r.series_id, r.axis]
+        assert (r.matched, r.unmatched_main, r.unmatched_ref) == tuple(own.get(k, 0) for k in ("matched", "main", "ref"))
+        assert [r[c] for c in comparison.CLASSES] == [own.get(c, 0) for c in comparison.CLASSES] and r.total == r.matched + r.unmatched_main + r.unmatched_ref
+    spans = chapters(spark, SF).collect()
+    total, good = {}, {}
+    for r in rows:
+        at = r.ref_at if r.at is None else r.at
+        for c in spans:
+            if c.series_id == r.series_id and c.start_ms <= at <= c.end_ms:
+                key = (r.axis, c.chapter_id)
+                total[key] = total.get(key, 0) + 1
+                good[key] = good.get(key, 0) + (r["class"] in ("gold", "green"))
+    found = comparison.peaks_by_chapter(peaks, chapters(spark, SF)).collect()
+    assert {(r.axis, r.chapter_id): r.peaks_total for r in found} == total and {(r.axis, r.chapter_id): r.peaks_good for r in found} == good
