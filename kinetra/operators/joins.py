@@ -82,18 +82,24 @@ def _covered(points: DataFrame, chapters: DataFrame) -> DataFrame:
     return both.withColumn("_c", F.last("_p", ignorenulls=True).over(order)).where("_k = 1").select("_row", "_c")
 
 
-def intervals_of(rows: DataFrame, chapters: DataFrame) -> DataFrame:
-    """``rows`` once for each chapter of their series that holds their time (both bounds inclusive), with its ``chapter_id``.
+def within(rows: DataFrame, spans: DataFrame, at: str = "at", start: str = "start_ms", end: str = "end_ms") -> DataFrame:
+    """``rows`` once for each span of their series that holds their ``at`` (both bounds inclusive), with the span's columns.
 
-    Both sides are cut into stretches of the longest chapter of the series, so a row meets the chapters of two stretches only.
+    Both sides are cut into stretches of the longest span of the series, so a row meets the spans of two stretches only.
     """
-    c = chapters.select(F.col("series_id").alias("_series"), "chapter_id", "start_ms", "end_ms")
-    size = c.groupBy("_series").agg(F.greatest(F.max(F.col("end_ms") - F.col("start_ms")) + 1, F.lit(1)).alias("_size"))
-    c = c.join(size, "_series").withColumn("_b", F.floor(F.col("start_ms") / F.col("_size")))
-    c = c.withColumn("_b", F.explode(F.array("_b", F.col("_b") + 1)))
-    r = rows.join(size.withColumnRenamed("_series", "_own"), F.col("series_id") == F.col("_own")).withColumn("_at", F.floor(F.col("at") / F.col("_size")))
-    same = (F.col("series_id") == F.col("_series")) & (F.col("_at") == F.col("_b")) & F.col("at").between(F.col("start_ms"), F.col("end_ms"))
-    return r.drop("_size").join(c.drop("_size"), same).select(*rows.columns, "chapter_id")
+    own = [c for c in spans.columns if c != "series_id"]
+    size = spans.groupBy(F.col("series_id").alias("_series")).agg(F.greatest(F.max(F.col(end) - F.col(start)) + 1, F.lit(1)).alias("_size"))
+    s = spans.select(F.col("series_id").alias("_own"), F.struct(*own).alias("_span")).join(size, F.col("_own") == F.col("_series"))
+    s = s.withColumn("_b", F.floor(F.col(f"_span.{start}") / F.col("_size"))).select("_own", "_span", F.explode(F.array("_b", F.col("_b") + 1)).alias("_b"))
+    r = rows.select(F.struct(*rows.columns).alias("_row")).join(size, F.col("_row.series_id") == F.col("_series"))
+    r = r.select("_row", F.floor(F.col(f"_row.{at}") / F.col("_size")).alias("_at"))
+    same = (F.col("_row.series_id") == F.col("_own")) & (F.col("_at") == F.col("_b")) & F.col(f"_row.{at}").between(F.col(f"_span.{start}"), F.col(f"_span.{end}"))
+    return r.join(s, same).select("_row.*", *[F.col(f"_span.{c}").alias(c) for c in own])
+
+
+def intervals_of(rows: DataFrame, chapters: DataFrame) -> DataFrame:
+    """``rows`` once for each chapter of their series that holds their time, with its ``chapter_id``."""
+    return within(rows, chapters.select("series_id", "chapter_id", "start_ms", "end_ms")).select(*rows.columns, "chapter_id")
 
 
 def label_points(points: DataFrame, chapters: DataFrame) -> DataFrame:

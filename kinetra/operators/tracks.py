@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetra.operators.joins import within
 from kinetra.schema import clip, rint
 
 FRAME = ("series_id", "frame_id")
@@ -68,9 +69,7 @@ def label_frames(contacts: DataFrame, priority: dict[str, tuple[int, str]]) -> D
 
 def spatial_vote(boxes: DataFrame, segments: DataFrame) -> DataFrame:
     """Per segment and class: boxes, share, mean centre and mean area."""
-    s = segments.select(F.col("series_id").alias("_s"), "start_frame", "end_frame")
-    inside = (F.col("series_id") == F.col("_s")) & F.col("frame_id").between(F.col("start_frame"), F.col("end_frame"))
-    rows = boxes.join(s, inside)
+    rows = within(boxes, segments.select("series_id", "start_frame", "end_frame"), "frame_id", "start_frame", "end_frame")
     by = rows.groupBy("series_id", "start_frame", "end_frame", "class_name").agg(
         F.count("*").alias("n"), F.avg((F.col("y1") + F.col("y2")) / 2).alias("mean_y"), F.avg((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("mean_area")
     )
@@ -182,10 +181,10 @@ def segment_normalize(rows: DataFrame, idle: list[str]) -> DataFrame:
 
 def segment_height(boxes: DataFrame, segments: DataFrame, idle: list[str], size: float) -> DataFrame:
     """Reach of each segment: 0.65 x p95 of the heights in it; without any 0.2 x ``size``; idle 0."""
-    s = segments.select("series_id", "start_frame", "end_frame", "label")
-    b = boxes.select(F.col("series_id").alias("_s"), "frame_id", (F.col("y2") - F.col("y1")).alias("h"))
-    rows = s.join(b, (F.col("series_id") == F.col("_s")) & F.col("frame_id").between(F.col("start_frame"), F.col("end_frame")), "left")
-    out = rows.groupBy("series_id", "start_frame", "end_frame", "label").agg(F.percentile("h", 0.95).alias("_p"))
+    span = ["series_id", "start_frame", "end_frame"]
+    b = boxes.select("series_id", "frame_id", (F.col("y2") - F.col("y1")).alias("h"))
+    tall = within(b, segments.select(*span).distinct(), "frame_id", "start_frame", "end_frame").groupBy(*span).agg(F.percentile("h", 0.95).alias("_p"))
+    out = segments.select(*span, "label").distinct().join(tall, span, "left")
     reach = F.when(F.col("label").isin(*idle), F.lit(0.0)).otherwise(F.coalesce("_p", F.lit(0.2 * size)) * 0.65)
     return out.withColumn("reach", reach).drop("_p")
 
@@ -212,9 +211,10 @@ def oscillation_cells(cells: DataFrame, window: int = 12, share: float = 0.6) ->
     rows = rows.withColumn("_x", F.coalesce((F.signum("v") * F.signum(F.lag("v").over(cell)) < 0).cast("int"), F.lit(0)))
     last = cell.rowsBetween(-(window - 1), 0)
     rows = rows.withColumn("_s", F.stddev_pop("v").over(last) * F.sum("_x").over(last))
-    active = rows.where("_s > 0").select(*FRAME, F.col("row").alias("_r"), F.col("col").alias("_k"))
-    near = (F.abs(F.col("row") - F.col("_r")) <= 1) & (F.abs(F.col("col") - F.col("_k")) <= 1) & ((F.col("row") != F.col("_r")) | (F.col("col") != F.col("_k")))
-    beside = rows.select(*FRAME, "row", "col").join(active, list(FRAME)).where(near).groupBy(*FRAME, "row", "col").agg(F.count("*").alias("beside"))
+    # every active cell tells its eight neighbours
+    ways = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
+    told = rows.where("_s > 0").select(*FRAME, "row", "col", F.explode(ways).alias("w"))
+    beside = told.groupBy(*FRAME, (F.col("row") + F.col("w.a")).alias("row"), (F.col("col") + F.col("w.b")).alias("col")).agg(F.count("*").alias("beside"))
     rows = rows.join(beside, [*FRAME, "row", "col"], "left").withColumn("score", F.col("_s") * (1 + 0.5 * F.coalesce("beside", F.lit(0))))
     kept = rows.withColumn("_b", F.max("score").over(frame)).where((F.col("score") > 0) & (F.col("score") > share * F.col("_b")))
     mean = F.sum(F.col("v") * F.col("score")) / F.sum("score")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinetra.operators import compound as C
 from kinetra.operators import derived as D
-from kinetra.operators import sequential as Q
 from kinetra.plans.base import on_points, points, query
 from kinetra.plans.q_editing import frame_chapters, frames, on_fc
 from kinetra.plans.q_joins import BOXES, boxes, samples
@@ -78,12 +78,21 @@ def last_window(spark: SparkSession, sf: str) -> DataFrame:
     return D.last_window(points(spark, sf), 8000)
 
 
+def rolling_parts(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """Points of three stretches of time, the last with some that come late."""
+    p = points(spark, sf)
+    late = F.col("seq") % 50 == 0
+    return [p.where((F.col("at") < 25_000) & ~late), p.where(F.col("at").between(25_000, 49_999) & ~late), p.where((F.col("at") >= 50_000) | late)]
+
+
 @query()
 def stream_rolling_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """Points that arrive in two parts; the last 20 s of each series are filtered again after each."""
-    path = _shared(spark)
-    p = points(spark, sf)
-    step = jobs.rolling_filter(path, lambda df: Q.min_interval_filter(df, 500), 20000)
-    for i, part in enumerate((p.where("at < 30000"), p.where("at >= 30000"))):
-        step(part, i)
-    return jobs.latest(spark, path, p).select("series_id", "axis", "at")
+    """A stream of point files; after each the last 20 s of the touched series are tuned again."""
+    base = _shared(spark)
+    parts = rolling_parts(spark, sf)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    rows = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    step = jobs.rolling_filter(f"{base}/out", C.ultimate_autotune, 20_000)
+    rows.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+    return jobs.latest(spark, f"{base}/out", parts[0]).select("series_id", "axis", "at", "pos")

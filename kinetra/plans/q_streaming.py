@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,7 +19,10 @@ TS = "CAST(ts AS TIMESTAMP)"
 
 def _shared(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, or a temporary one where it is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -44,11 +48,11 @@ def lateness(spark: SparkSession, sf: str) -> int:
     return 1_000 if low is None else high - low + 1_000
 
 
-def closed(spark: SparkSession, sf: str, late_ms: int, base: str) -> tuple[DataFrame, Callable[[], None]]:
-    """The live rows and a call that ends them: a row without a series, so late that the watermark passes all others."""
+def closed(spark: SparkSession, sf: str, late_ms: int, base: str, past_ms: int = 0) -> tuple[DataFrame, Callable[[], None]]:
+    """The live rows and a call that ends them: a row without a series, so late that the watermark passes all others by ``past_ms``."""
     rows, ending = live(spark, sf), f"{base}/ending"
     last = _rows(table(spark, sf, "events")).agg(F.max("ts").alias("ts"))
-    mark = last.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name != "ts" else F.timestamp_millis(F.unix_millis("ts") + late_ms + 1_000).alias("ts") for f in rows.schema])
+    mark = last.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name != "ts" else F.timestamp_millis(F.unix_millis("ts") + late_ms + past_ms + 1_000).alias("ts") for f in rows.schema])
     mark.limit(0).write.parquet(ending)
     ends = spark.readStream.schema(rows.schema).parquet(ending)
     return rows.unionByName(ends), lambda: mark.where("ts IS NOT NULL").write.mode("append").parquet(ending)
@@ -89,9 +93,11 @@ def stream_problem_windows(spark: SparkSession, sf: str) -> DataFrame:
   SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)) GROUP BY user_id, s"""
 )
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """Sessions in batch form: the same function on the table (a stream gives a session once the watermark has passed it)."""
-    out = jobs.sessions(_rows(table(spark, sf, "events")))
-    return out.select("series_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    """A session comes out once the watermark has passed it, so a last row ends the stream."""
+    base, late = _shared(spark), lateness(spark, sf)
+    rows, end = closed(spark, sf, late, base, 8 * 3_600_000)
+    out = finished(spark, jobs.sessions(rows, f"{late} milliseconds"), "append", ["series_id", "start"], base, end)
+    return out.where("series_id IS NOT NULL").select("series_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("SELECT DISTINCT user_id || '/' || event_type AS path FROM events")

@@ -10,6 +10,7 @@ import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,11 +33,14 @@ def batch(rows: DataFrame, step: str, **params: float) -> DataFrame:
     return rows.select("series_id", "t", "seq", F.col("v").cast("double").alias("v")).groupBy("series_id").applyInPandas(run, OUT)
 
 
-def stream(rows: DataFrame, step: str, late_ms: int = 60_000, **params: float) -> DataFrame:
-    """The same on a stream ``rows(series_id, t, seq, v, ts)`` with event time ``ts``, late rows of up to ``late_ms``."""
+def stream(rows: DataFrame, step: str, late_ms: int = 60_000, idle_ms: int = 86_400_000, **params: float) -> DataFrame:
+    """The same on a stream ``rows(series_id, t, seq, v, ts)`` with event time ``ts``, late rows of up to ``late_ms``.
+
+    The state of a series goes once the watermark is ``idle_ms`` past its last row; what comes later starts anew.
+    """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        step_, waiting = pickle.loads(state.get[0]) if state.exists else (STEPS[step](**params), [])
+        step_, waiting, last = pickle.loads(state.get[0]) if state.exists else (STEPS[step](**params), [], 0)
         for part in parts:
             waiting += zip((part["ts"].astype("int64") // 1_000_000).tolist(), part["t"].tolist(), part["seq"].tolist(), part["v"].tolist(), strict=True)
         waiting.sort(key=lambda r: (r[1], r[2]))
@@ -44,9 +48,12 @@ def stream(rows: DataFrame, step: str, late_ms: int = 60_000, **params: float) -
         ready = [r for r in waiting if r[0] <= passed]
         waiting = [r for r in waiting if r[0] > passed]
         out = [(key[0], t, seq, step_.feed(t, v)) for _, t, seq, v in ready]
-        state.update((pickle.dumps((step_, waiting)),))
-        if waiting:
-            state.setTimeoutTimestamp(max(waiting[0][0], passed + 1))
+        last = max([last, *(r[0] for r in ready)])
+        if not waiting and state.hasTimedOut and passed >= last + idle_ms:
+            state.remove()
+        else:
+            state.update((pickle.dumps((step_, waiting, last)),))
+            state.setTimeoutTimestamp(max(min(r[0] for r in waiting) if waiting else last + idle_ms, passed + 1))
         kept = [r for r in out if r[3] is not None]
         yield pd.DataFrame(kept, columns=["series_id", "t", "seq", "out"]).astype({"series_id": "int64", "t": "int64", "seq": "int64", "out": "float64"})
 
@@ -81,37 +88,49 @@ def rolling_filter(path: str, change: Callable[[DataFrame], DataFrame], window_m
     """A ``foreachBatch`` function: new points join the table at ``path`` and the last ``window_ms`` of each touched series
     are filtered again.
 
-    The table has a folder for each batch; the highest batch of a series holds all of it (``latest``).
+    Points that the window has left are written once, to a folder of the batch (``closed``). The windows of all series are
+    written anew with each batch (``open``), which is bounded by their number. A repeated batch overwrites its own folders.
     """
 
     def run(new: DataFrame, batch_id: int) -> None:
         spark = new.sparkSession
-        new = new.persist()
-        touched = new.select("series_id", "axis").distinct()
-        old = latest(spark, path, new, batch_id)
-        every = old.join(touched, ["series_id", "axis"], "left_semi").unionByName(new)
-        last = Window.partitionBy("series_id", "axis")
-        marked = every.withColumn("_z", F.max("at").over(last) - window_ms)
-        head = marked.where(F.col("at") < F.col("_z")).drop("_z")
-        tail = change(marked.where(F.col("at") >= F.col("_z")).drop("_z"))
-        head.unionByName(tail).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        new.unpersist()
+        whole = Window.partitionBy("series_id", "axis")
+        every = _last_open(spark, path, new, batch_id).withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+        marked = every.withColumns({"_z": F.max("at").over(whole) - window_ms, "_new": F.max("_new").over(whole)}).persist()
+        inside = F.col("at") >= F.col("_z")
+        marked.where(~inside).select(new.columns).write.mode("overwrite").parquet(f"{path}/closed/batch={batch_id}")
+        tail = change(marked.where(inside & (F.col("_new") == 1)).select(new.columns)).select(new.columns)
+        still = marked.where(inside & (F.col("_new") == 0)).select(new.columns)
+        tail.unionByName(still).write.mode("overwrite").parquet(f"{path}/open/batch={batch_id}")
+        marked.unpersist()
 
     return run
 
 
-def latest(spark: SparkSession, path: str, like: DataFrame, before: int | None = None) -> DataFrame:
-    """Of every series the rows of its highest batch (under ``before``)."""
+def _batches(spark: SparkSession, path: str, like: DataFrame) -> DataFrame | None:
     try:
-        rows = spark.read.schema(T.StructType([*like.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(path)
-    except Exception as e:  # no batch has been written yet
+        return spark.read.schema(T.StructType([*like.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(path)
+    except AnalysisException as e:  # no batch has been written yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
+        return None
+
+
+def _last_open(spark: SparkSession, path: str, like: DataFrame, before: int | None = None) -> DataFrame:
+    """The windows of the highest batch (under ``before``)."""
+    rows = _batches(spark, f"{path}/open", like)
+    if rows is None:
         return spark.createDataFrame([], like.schema)
-    if before is not None:
-        rows = rows.where(F.col("batch") < before)
-    top = rows.groupBy("series_id", "axis").agg(F.max("batch").alias("_b"))
-    return rows.join(top, ["series_id", "axis"]).where(F.col("batch") == F.col("_b")).select(like.columns)
+    rows = rows if before is None else rows.where(F.col("batch") < before)
+    top = rows.agg(F.max("batch")).first()[0]
+    return rows.where(F.col("batch") == (-1 if top is None else top)).select(like.columns)
+
+
+def latest(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """All points of the table: those that are closed and the windows of the last batch."""
+    done = _batches(spark, f"{path}/closed", like)
+    now = _last_open(spark, path, like)
+    return now if done is None else done.select(like.columns).unionByName(now)
 
 
 def run_to_table(out: DataFrame, path: str, mode: str, checkpoint: str) -> None:

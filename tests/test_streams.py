@@ -28,7 +28,7 @@ def test_stream_equals_batch(spark, overlapping, name):
     assert got and got == rows(f"batch_{name}")
 
 
-@pytest.mark.parametrize("name", ["stream_rate", "stream_problem_windows"])
+@pytest.mark.parametrize("name", ["stream_rate", "stream_problem_windows", "stream_sessions"])
 def test_windows_match_sql(spark, overlapping, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
@@ -37,3 +37,43 @@ def test_windows_match_sql(spark, overlapping, name):
     got = catalog.QUERIES[name](spark, overlapping).select(*cols).collect()
     plain = lambda rows: sorted(str([round(v, 5) if isinstance(v, float) else v for v in r]) for r in rows)
     assert plain(map(tuple, got)) == plain(want.fetchall())
+
+
+def test_rolling_filter_against_plain_batches(spark):
+    """The windows of the touched series are tuned after each part; what they have left never changes again."""
+    import numpy as np
+
+    from kinetra.operators import kernels
+    from kinetra.plans.q_derived import rolling_parts
+
+    closed, open_ = {}, {}
+    for part in rolling_parts(spark, SF):
+        new = {}
+        for r in part.collect():
+            new.setdefault(r.series_id, []).append((r.at, r.seq, r.pos))
+        for s, rows in new.items():
+            rows = sorted(open_.get(s, []) + rows)
+            since = max(r[0] for r in rows) - 20_000
+            closed.setdefault(s, []).extend(r for r in rows if r[0] < since)
+            tail = [r for r in rows if r[0] >= since]
+            place, pos = kernels.tuned(np.array([r[0] for r in tail]), np.array([r[2] for r in tail]), 1.2, 50, 800, 15, 10, 15)
+            open_[s] = [(tail[i][0], tail[i][1], int(p)) for i, p in zip(place.tolist(), pos.tolist())]
+    want = sorted((s, at, p) for rows in (closed, open_) for s, own in rows.items() for at, _, p in own)
+    got = sorted((r.series_id, r.at, r.pos) for r in catalog.QUERIES["stream_rolling_filter"](spark, SF).collect())
+    assert got == want
+
+
+def test_idle_series_lose_their_state(spark, tmp_path):
+    """A series that is silent for ``idle_ms`` starts anew; one that goes on keeps its state."""
+    from kinetra.streaming import jobs
+
+    rows = [(1, t, t, 50.0, t) for t in (5, 100)] + [(2, t, t, 50.0, t) for t in range(10, 100_000, 5000)] + [(1, 100_000, 99, 50.0, 100_000), (3, 300_000, 1, 1.0, 300_000)]
+    schema = "series_id long, t long, seq long, v double, ms long"
+    for i, part in enumerate((rows[:2] + rows[2:4], rows[4:15], rows[15:22], rows[22:], [(3, 400_000, 2, 1.0, 400_000)])):
+        if part:
+            spark.createDataFrame(part, schema).selectExpr("*", "timestamp_millis(ms) ts").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    live = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = jobs.stream(live, "ema", 1000, 20_000)
+    jobs.run_to_table(out, f"{tmp_path}/out", "append", f"{tmp_path}/state")
+    got = spark.read.parquet(f"{tmp_path}/out").where("series_id = 1").collect()
+    assert {r.t for r in got} == {5, 100, 100_000}
