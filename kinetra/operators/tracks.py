@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetra.operators.groups import Change, change_series
 from kinetra.operators.joins import within
 from kinetra.schema import clip, rint
 
@@ -222,6 +224,39 @@ def oscillation_cells(cells: DataFrame, window: int = 12, share: float = 0.6) ->
     return kept.groupBy(*FRAME).agg(F.count("*").alias("cells"), F.when(F.count("*") <= 2, strongest).otherwise(mean).alias("motion"))
 
 
+def signal_gate(rows: DataFrame, low: float = 15.0, high: float = 35.0, least: int = 8, window: int = 10, strength: float = 0.3) -> DataFrame:
+    """``out``: the signal of ``rows(series_id, frame_id, value, motion, dy)`` held against the motion of its frames.
+
+    A change over ``least`` without motion is damped, motion without a change moves the signal its way (``dy``), and where both agree the
+    change grows by half of ``strength``. Motion is little or much against the last ``window`` frames: their mean less half their
+    spread and plus one and a half, ``low`` and ``high`` at least. After two large swings in a row the output is smoothed.
+    """
+    order = Window.partitionBy("series_id").orderBy("frame_id")
+    v, before = F.col("value"), F.lag("value").over(order)
+    first = F.row_number().over(order) == 1
+    r = rows.withColumns({"_b": before, "_m": F.when(~first, F.col("motion"))})
+    past = order.rowsBetween(-window, -1)
+    mean, spread = F.coalesce(F.avg("_m").over(past), F.lit(0.0)), F.greatest(F.coalesce(F.stddev_pop("_m").over(past), F.lit(1.0)), F.lit(1.0))
+    r = r.withColumns({"_lo": F.greatest(F.lit(low), mean - 0.5 * spread), "_hi": F.greatest(F.lit(high), mean + 1.5 * spread), "_c": F.abs(v - F.col("_b"))})
+    m, b, change = F.col("_m"), F.col("_b"), F.col("_c")
+    way = F.when(F.col("dy") > 0, 1).otherwise(-1)
+    damped = (b + (v - b) * (1.0 - strength)).cast("int")
+    moved = clip(v + way * (F.lit(strength) * F.least(m / F.col("_hi"), F.lit(2.0)) * 20).cast("int"))
+    grown = clip(b + ((v - b) * (1.0 + strength * 0.5)).cast("int"))
+    out = F.when((change > least) & (m < F.col("_lo")), damped).when((m > F.col("_hi")) & (change < least), moved).when((change > least) & (m > F.col("_lo")), grown).otherwise(v)
+    r = r.withColumn("out", F.coalesce(out, v).cast("int")).drop("_b", "_m", "_lo", "_hi", "_c")
+
+    def smoothed(x: dict[str, np.ndarray]) -> Change:
+        done = x["out"].tolist()
+        for i in range(3, len(done)):
+            if abs(done[i - 1] - done[i - 2]) > least and abs(done[i - 2] - done[i - 3]) > least:
+                done[i] = int(done[i] * 0.7 + done[i - 2] * (1 - 0.7))
+            done[i] = min(100, max(0, done[i]))
+        return None, {"out": np.array(done, dtype=np.int64)}
+
+    return change_series(r, smoothed, ("out",), ("series_id",), ("frame_id",))
+
+
 def _iou(a: tuple[float, ...], b: tuple[float, ...]) -> float:
     w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
     if w <= 0 or h <= 0:

@@ -141,6 +141,5 @@ def _batch_only(name: str, step: str, shift: float = 0.0, **params: float) -> No
 
 _batch_only("adaptive_scale", "adaptive_scale", 50)
 _batch_only("ema_median_smooth", "ema_median")
-_batch_only("signal_gate", "gate")
 _batch_only("metronome", "metronome", bpm=40, swing=20)
 _batch_only("lock_state", "lock", 60, fps=10)

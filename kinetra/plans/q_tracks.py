@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinetra.operators import editing as E
 from kinetra.operators import tracks as T
-from kinetra.plans.base import query, table
+from kinetra.plans.base import points, query, table
 from kinetra.plans.q_joins import BOXES, boxes, samples
 
 R6 = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})
@@ -271,3 +271,14 @@ def oscillation_cells(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def track_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return T.track_boxes(boxes(spark, sf).withColumn("frame_id", F.floor(F.col("frame_id") / 100).cast("long")), lost=3)
+
+
+def moving(spark: SparkSession, sf: str) -> DataFrame:
+    """A signal with the motion of its frames, made of the points."""
+    seq = F.col("seq")
+    return points(spark, sf).select("series_id", F.col("at").alias("frame_id"), F.col("pos").alias("value"), (seq * 7 % 60).cast("double").alias("motion"), (seq % 5 - 2).cast("double").alias("dy"))
+
+
+@query()
+def signal_gate(spark: SparkSession, sf: str) -> DataFrame:
+    return T.signal_gate(moving(spark, sf))

@@ -191,32 +191,7 @@ class Lock:
         return float(self.on)
 
 
-class Gate:
-    """Damp jumps without motion and boost motion without change, against the own output before.
-
-    Thresholds follow the last ``window`` changes: their mean less and plus half of it.
-    """
-
-    def __init__(self, window: int = 10, damp: float = 0.6, boost: float = 4) -> None:
-        self.damp, self.boost, self.last = damp, boost, None
-        self.changes: deque = deque(maxlen=window)
-
-    def feed(self, t: float, v: float) -> float:
-        if self.last is None:
-            self.last = v
-            return v
-        change = v - self.last
-        self.changes.append(abs(change))
-        usual = float(np.mean(self.changes))
-        if abs(change) > 1.5 * usual and usual > 0:
-            v = self.last + change * self.damp
-        elif 0 < abs(change) < 0.5 * usual:
-            v = v + math.copysign(self.boost, change)
-        self.last = min(100.0, max(0.0, v))
-        return self.last
-
-
 STEPS = {
     "rate_limit": RateLimit, "spacing": Spacing, "beats": Beats, "metronome": Metronome, "amplify": Amplify, "flow_position": FlowPosition, "ema": Ema,
-    "ema_median": EmaMedian, "adaptive_scale": AdaptiveScale, "lock": Lock, "gate": Gate,
+    "ema_median": EmaMedian, "adaptive_scale": AdaptiveScale, "lock": Lock,
 }

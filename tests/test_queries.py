@@ -137,3 +137,35 @@ def test_peak_classes_add_up(spark):
                 good[key] = good.get(key, 0) + (r["class"] in ("gold", "green"))
     found = comparison.peaks_by_chapter(peaks, chapters(spark, SF)).collect()
     assert {(r.axis, r.chapter_id): r.peaks_total for r in found} == total and {(r.axis, r.chapter_id): r.peaks_good for r in found} == good
+
+
+def test_signal_gate_frame_by_frame(spark):
+    from statistics import fmean, pstdev
+
+    from kinetra.operators import tracks
+    from kinetra.plans.q_tracks import moving
+
+    series = {}
+    for r in tracks.signal_gate(moving(spark, SF)).collect():
+        series.setdefault(r.series_id, []).append((r.frame_id, r.value, r.motion, r.dy, r.out))
+    clip = lambda x: min(100, max(0, x))
+    for rows in series.values():
+        rows.sort()
+        seen, out = [], []
+        for i, (_, v, motion, dy, got) in enumerate(rows):
+            value = v
+            if i:
+                mean, spread = (fmean(seen[-10:]), max(1.0, pstdev(seen[-10:]))) if seen else (0.0, 1.0)
+                low, high, was = max(15.0, mean - 0.5 * spread), max(35.0, mean + 1.5 * spread), rows[i - 1][1]
+                change = abs(v - was)
+                if change > 8 and motion < low:
+                    value = int(was + (v - was) * (1.0 - 0.3))
+                elif motion > high and change < 8:
+                    value = clip(v + (1 if dy > 0 else -1) * int(0.3 * min(motion / high, 2.0) * 20))
+                elif change > 8 and motion > low:
+                    value = clip(was + int((v - was) * (1.0 + 0.3 * 0.5)))
+                seen.append(motion)
+                if len(out) >= 3 and abs(out[-1] - out[-2]) > 8 and abs(out[-2] - out[-3]) > 8:
+                    value = clip(int(value * 0.7 + out[-2] * (1 - 0.7)))
+            out.append(value)
+            assert got == value
