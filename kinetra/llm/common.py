@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,24 +34,60 @@ def scratch_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Tables written since each open ``scratch`` began, innermost last.
+_OPEN: list[dict[str, DataFrame]] = []
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, which cuts the lineage.
 
-    A lost executor then costs the tasks that it ran, not the passes before them. ``dropped`` deletes it.
+    A lost executor then costs the tasks that it ran, not the passes before them. ``scratch`` and ``dropped`` delete it.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{PREFIX}{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _OPEN:
+        _OPEN[-1][path] = out
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete at its end the tables that ``materialize`` wrote meanwhile, but for those handed to the function it gives.
+
+    These are what a lazy result still reads; they are passed on to the scratch around it, if there is one.
+    """
+    made: dict[str, DataFrame] = {}
+    kept: list[DataFrame] = []
+    _OPEN.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _OPEN.remove(made)
+        for path, df in made.items():
+            if not any(df is k for k in kept):
+                _delete(spark, path)
+            elif _OPEN:
+                _OPEN[-1][path] = df
 
 
 def dropped(df: DataFrame) -> None:
-    """Delete the tables of ``materialize`` that ``df`` reads; for tables that no later plan reads."""
-    context = df.sparkSession.sparkContext
+    """Delete a table of ``materialize`` that no later plan reads."""
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if folder.rpartition("/")[2].startswith(PREFIX):
-            path = context._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetra.llm.common import batch, map_batches, materialize, sliced, texts_of
+from kinetra.llm.common import batch, map_batches, materialize, scratch, sliced, texts_of
 
 BUCKETS = 128
 #: Odd multipliers of the three bytes, and of their sum.
@@ -95,7 +95,8 @@ def _range_starts(keys: DataFrame, pieces: int) -> list[tuple[int, int, int]]:
     """First key of each of at most ``pieces`` ranges, in order; only these few reach the driver."""
     ranged = keys.repartitionByRange(pieces, *KEY).withColumn("p", F.spark_partition_id())
     first = ranged.groupBy("p").agg(F.min(F.struct(*KEY)).alias("k")).select("k.*")
-    return sorted(map(tuple, materialize(first, "ranges").collect()))
+    with scratch(keys.sparkSession):
+        return sorted(map(tuple, materialize(first, "ranges").collect()))
 
 
 KEY = ("rev", "h", "u")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetra.llm.common import batch, dropped, materialize
+from kinetra.llm.common import batch, dropped, materialize, scratch
 
 CHUNK_ROWS = 8192
 #: Leaves (neighbours in the tree) that make a group, and queries that a group handles at once.
@@ -296,6 +296,11 @@ def search(
     take no part, nor do rows without an id; rows that repeat an id count once, with their nearest vector. Where there are fewer than
     ``k`` candidates all are found. An empty table gives no rows; other columns are not read.
     """
+    with scratch(embeddings.sparkSession) as keep:
+        return _searched(embeddings, k, every, target, checked, branches, leaf_rows, fit_rows, visits, keep)
+
+
+def _searched(embeddings, k, every, target, checked, branches, leaf_rows, fit_rows, visits, keep) -> DataFrame:  # noqa: ANN001
     spark = embeddings.sparkSession
     whole = materialize(usable(embeddings).distinct(), "vectors")
     asked = whole.where(F.col("vec_id") % every == 0)
@@ -304,6 +309,7 @@ def search(
     vectors = materialize(whole.withColumn("r", equal).where(F.col("r") <= k + 1).drop("r"), "different")
     fair = vectors.where(F.col("vec_id") % every != 0)
     tree, placed = grow(vectors, vectors if fair.isEmpty() else fair, branches, leaf_rows, fit_rows)
+    keep(placed)
     if visits is None:
         some = [(r["vec_id"], np.array(r["v"])) for r in asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(checked).collect()]
         visits = calibrate(tree, some, brute_force(placed, some, k), target)
@@ -330,13 +336,13 @@ def search(
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), out], names=["query_id", "q", "visits"])
 
     schema = "query_id long, q array<double>, visits array<struct<part: int, leaves: array<int>>>"
-    walked = materialize(asked.mapInArrow(walk, schema), "walks")
+    walked = keep(materialize(asked.mapInArrow(walk, schema), "walks"))
     visited = walked.select("query_id", "q", F.explode("visits").alias("x")).select("query_id", "q", "x.part", "x.leaves")
     grouped = placed.withColumn("part", F.floor(F.col("leaf") / GROUP_LEAVES).cast("int"))
     asks = visited.groupBy("part").agg(F.count("*").alias("asks"))
     cut = lambda c: F.ceil(F.col(c) / CHUNK_ROWS).cast("int")
     shape = grouped.groupBy("part").agg(F.count("*").alias("rows")).join(asks, "part").select("part", cut("rows").alias("across"), cut("asks").alias("down"))
-    shape = materialize(shape, "shape")
+    shape = keep(materialize(shape, "shape"))
     pick = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = visited.join(shape, "part").select("query_id", "q", "leaves", "part", pick("query_id", "down").alias("down"), spread("across").alias("across"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetra.llm.common import materialize, word_count
+from kinetra.llm.common import materialize, scratch, word_count
 
 HASH_BITS, LEVEL_BITS = 60, 10
 #: Weights of the sources in code-point order, null last; repeated.
@@ -107,8 +107,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
     source of its own, rows of equal id and text (null ids too) are taken alike. A source without words has
     target 0. An empty table gives no rows; other columns are not read.
     """
-    sizes = materialize(sized(docs), "sizes")
-    plan = thresholds(sizes, targets(sizes, weights, max_repeats)).withColumnRenamed("source", "s")
+    with scratch(docs.sparkSession) as keep:
+        sizes = keep(materialize(sized(docs), "sizes"))
+        plan = keep(thresholds(sizes, targets(sizes, weights, max_repeats))).withColumnRenamed("source", "s")
     uses = F.col("times") + (F.col("h") < F.col("below")).cast("long")
     return sizes.join(plan, sizes["source"].eqNullSafe(F.col("s"))).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * uses).alias("taken")
@@ -117,10 +118,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
 
 def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is used, with its own columns."""
-    sizes = materialize(sized(docs), "sizes")
-    plan = thresholds(sizes, targets(sizes, weights, max_repeats)).select(
-        F.col("source").alias("mix_source"), F.col("times").alias("mix_times"), F.col("below").alias("mix_below")
-    )
+    with scratch(docs.sparkSession) as keep:
+        sizes = materialize(sized(docs), "sizes")
+        plan = keep(thresholds(sizes, targets(sizes, weights, max_repeats)))
+    plan = plan.select(F.col("source").alias("mix_source"), F.col("times").alias("mix_times"), F.col("below").alias("mix_below"))
     uses = plan["mix_times"] + (hash_of(docs["doc_id"], docs["text"]) < plan["mix_below"]).cast("long")
     # the table's columns travel in one struct, so that none clashes with those of the plan
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetra.llm.common import bytes_of, crc_mod, map_batches, materialize
+from kinetra.llm.common import bytes_of, crc_mod, map_batches, materialize, scratch
 
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -136,13 +136,14 @@ def fit(docs: DataFrame, docs_per_language: int = 120, max_chars: int = 8000, or
     cell = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h")
     few = keyed.select("lang", "h").withColumn("r", F.row_number().over(cell)).where(F.col("r") <= docs_per_language)
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= docs_per_language)
-    last = materialize(few.groupBy(F.col("lang").alias("l")).agg(F.max("h").alias("most")), "sample")
-    chosen = keyed.join(last, (keyed["lang"] == last["l"]) & (keyed["h"] <= last["most"]))
-    start = F.pmod("h", F.greatest(F.length("text") - max_chars + 1, F.lit(1)).cast("long")).cast("int") + 1
-    chosen = chosen.select("lang", F.substring("text", start, F.lit(max_chars)).alias("text")).distinct()
-    samples: dict[str, list[bytes]] = defaultdict(list)
-    for lang, text in sorted(map(tuple, chosen.collect())):
-        samples[lang].append(text.encode())
+    with scratch(docs.sparkSession):
+        last = materialize(few.groupBy(F.col("lang").alias("l")).agg(F.max("h").alias("most")), "sample")
+        chosen = keyed.join(last, (keyed["lang"] == last["l"]) & (keyed["h"] <= last["most"]))
+        start = F.pmod("h", F.greatest(F.length("text") - max_chars + 1, F.lit(1)).cast("long")).cast("int") + 1
+        chosen = chosen.select("lang", F.substring("text", start, F.lit(max_chars)).alias("text")).distinct()
+        samples: dict[str, list[bytes]] = defaultdict(list)
+        for lang, text in sorted(map(tuple, chosen.collect())):
+            samples[lang].append(text.encode())
     return build(samples, order)
 
 

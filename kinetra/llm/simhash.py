@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetra.llm.common import batch, bytes_of, lower_words, map_batches, materialize
+from kinetra.llm.common import batch, bytes_of, lower_words, map_batches, materialize, scratch
 from kinetra.llm.graph import connected
 
 #: Shingles whose bits are counted at once; bounds memory for very long texts.
@@ -204,14 +204,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, bucket_l
     are never a component's id; it is null where a component has no other. Repeated rows are returned as
     often as they come. An empty table gives no rows; other columns are not read.
     """
-    own = materialize(fingerprints(docs, width), "fingerprints")
-    fps = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    labels = connected(links(fps.select("fp"), max_bits, bucket_limit))
-    rooted = fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
-    first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = materialize(rooted.join(first, "root").select("fp", "component_id"), "classes")
+    with scratch(docs.sparkSession) as keep:
+        own = keep(materialize(fingerprints(docs, width), "fingerprints"))
+        fps = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+        labels = connected(links(fps.select("fp"), max_bits, bucket_limit))
+        rooted = fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
+            "fp", "first_id", F.coalesce("root", "fp").alias("root")
+        )
+        first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+        classes = keep(materialize(rooted.join(first, "root").select("fp", "component_id"), "classes"))
     return own.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_key"
     )
@@ -223,11 +224,12 @@ def keep_one(docs: DataFrame, width: int = 3, max_bits: int = 3) -> DataFrame:
     Rows that repeat this doc_id in the component are the same document and stay with it. Rows without an
     id can't be told apart and stay. All columns are kept, whatever their names.
     """
-    gone = (
-        near_duplicates(docs, width, max_bits)
-        .where("doc_id <> component_id")
-        .select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
-    )
-    gone = materialize(gone.distinct(), "gone")
+    with scratch(docs.sparkSession) as keep:
+        gone = (
+            near_duplicates(docs, width, max_bits)
+            .where("doc_id <> component_id")
+            .select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
+        )
+        gone = keep(materialize(gone.distinct(), "gone"))
     same = (docs["doc_id"] == gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_key"])
     return docs.join(gone, same, "left_anti")
