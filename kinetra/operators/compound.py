@@ -267,31 +267,6 @@ def energy_envelope(samples: DataFrame, hop: int = 8, smooth: int = 5) -> DataFr
     return out.select("series_id", "hop", F.when(F.col("_p") > 0, F.least(F.lit(1.0), F.col("s") / F.col("_p"))).otherwise(F.lit(0.0)).alias("energy"))
 
 
-def clean_beats(t: np.ndarray) -> np.ndarray:
-    """Beat times (s): those nearer than 0.4 of the median interval to the one before go, gaps over 1.8 are filled evenly."""
-    if len(t) < 3:
-        return t
-    usual = float(np.median(np.diff(t)))
-    kept = [float(t[0])]
-    for x in t[1:].tolist():
-        start, gap = kept[-1], x - kept[-1]
-        if gap >= 0.4 * usual:
-            n = round(gap / usual) if usual > 0 and gap > 1.8 * usual else 1
-            kept += [start + gap * k / n for k in range(1, n)] + [x]
-    return np.array(kept)
-
-
-def beats_to_points(beats: DataFrame, speed: float = 400, low: float = 5, high: float = 95) -> DataFrame:
-    """Cleaned beats of each series ``(series_id, t)`` as alternating points, the swing cut where the way would be too fast."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        at = np.rint(clean_beats(np.unique(rows["t"].to_numpy(float))) * 1000).astype("int64")
-        pos = np.where(np.arange(len(at)) % 2 == 0, low, high)
-        return pd.DataFrame({"series_id": rows["series_id"].iloc[0], "at": at, "pos": K.limit_speed(at, pos, speed).astype("int32")})
-
-    return beats.groupBy("series_id").applyInPandas(run, "series_id long, at long, pos int")
-
-
 def beat_lines(series_ids: DataFrame, bpm: float, subdivision: int, end_ms: int, per_bar: int = 4) -> DataFrame:
     """Grid times of each series with their level: downbeat, quarter or sub."""
     step = 60000.0 / bpm / subdivision

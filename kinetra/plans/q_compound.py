@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinetra.operators import beats as B
 from kinetra.operators import comparison as Z
 from kinetra.operators import compound as C
 from kinetra.operators import editing as E
@@ -105,7 +106,10 @@ def energy_envelope(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def beats_to_points(spark: SparkSession, sf: str) -> DataFrame:
-    return C.beats_to_points(points(spark, sf).select("series_id", (F.col("at") / 1000).alias("t")))
+    """Beats and sound of the points: a position is the energy of its second."""
+    p = points(spark, sf)
+    sound = p.groupBy("series_id", F.floor(F.col("at") / 1000).alias("hop")).agg((F.max("pos") / 100).alias("energy"))
+    return B.beats_to_points(p.select("series_id", (F.col("at") / 1000).alias("t")), sound, 1.0)
 
 
 @query(on_points("""SELECT series_id, CAST(k AS INTEGER) AS k, k * (60000.0::DOUBLE / 90 / 2) AS t, CASE WHEN k % 8 = 0 THEN 'downbeat' WHEN k % 2 = 0 THEN 'quarter' ELSE 'sub' END AS level
