@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinetra.operators import kernels as K
 from kinetra.operators.editing import label_runs, majority_vote
 from kinetra.operators.sequential import per_series
+from kinetra.operators.tracks import pose_dissimilarity
 from kinetra.schema import KEY
 
 
@@ -175,24 +176,21 @@ def label_weak(boxes: DataFrame, priority: dict[str, tuple[int, str]], first: tu
     return best.select("series_id", "frame_id", F.coalesce(F.try_element_at(name, F.col("b.c")), F.lit(none)).alias("label"))
 
 
-def label_persistence(frames: DataFrame, idle: str, limit: float = 2.5) -> DataFrame:
-    """Frames ``(series_id, frame_id, label, pose)`` in which an idle label takes the last good one, while the pose stays
-    within ``limit`` (mean distance of its numbers) of the pose at that label. Null poses keep the one before."""
+def label_persistence(frames: DataFrame, idle: str, zones: dict[str, list[int]], limit: float = 2.5) -> DataFrame:
+    """Frames ``(series_id, frame_id, label, pose, area)`` in which an idle label takes the last good one, while the pose stays near.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame_id", kind="stable")
-        out, good, anchor, recent = [], None, None, None
-        for label, pose in zip(rows["label"].tolist(), rows["pose"].tolist(), strict=True):
-            if pose is not None:
-                recent = np.asarray(pose, dtype=float)
-            if label != idle:
-                good, anchor = label, recent
-            elif good is not None and recent is not None and anchor is not None and np.abs(recent - anchor).mean() < limit:
-                label = good
-            out.append(label)
-        return rows.assign(label=out)
-
-    return frames.groupBy("series_id").applyInPandas(run, frames.schema)
+    The last known pose is held against that at the last good label by ``pose_dissimilarity`` over the keypoints (from 0) that
+    ``zones`` names for the label; a label without a zone does not last. Null poses keep the one before.
+    """
+    order = Window.partitionBy("series_id").orderBy("frame_id")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = frames.withColumn("_pose", F.last(F.when(F.col("pose").isNotNull(), F.struct("pose", "area")), ignorenulls=True).over(upto))
+    rows = rows.withColumn("_good", F.last(F.when(F.col("label") != idle, F.struct(F.col("label").alias("label"), F.col("_pose.pose").alias("pose"))), ignorenulls=True).over(upto))
+    places = F.try_element_at(F.create_map(*[F.lit(x) for k, v in zones.items() for x in (k, v)]), F.col("_good.label")) if zones else F.lit(None).cast("array<int>")
+    part = lambda pose: F.transform(places, lambda i: F.get(pose, i))
+    apart = pose_dissimilarity(part(F.col("_pose.pose")), part(F.col("_good.pose")), F.col("_pose.area"))
+    known = (F.col("label") == idle) & F.col("_good.pose").isNotNull() & places.isNotNull()
+    return rows.withColumn("label", F.when(known & (apart < limit), F.col("_good.label")).otherwise(F.col("label"))).select(frames.columns)
 
 
 def built(runs: list[list], fps: float, idle: tuple[str, ...], short_s: float = 20, gap_s: float = 20, absorb_s: float = 30) -> list[list]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinetra.operators import compound as C
 from kinetra.operators import derived as D
 from kinetra.plans.base import on_points, points, query
-from kinetra.plans.q_editing import frame_chapters, frames, on_fc
+from kinetra.plans.q_editing import FRAMES, frame_chapters, frames, on_fc
 from kinetra.plans.q_joins import BOXES, boxes, samples
 from kinetra.plans.q_streaming import _shared
 from kinetra.streaming import jobs
@@ -48,11 +48,20 @@ def label_weak(spark: SparkSession, sf: str) -> DataFrame:
     return D.label_weak(boxes(spark, sf), {"A": (1, "one"), "N": (3, "three"), "R": (2, "two")}, ("R",), 480, "none")
 
 
-@query()
+@query(
+    f"""WITH {FRAMES}, r AS (SELECT *, last_value(CASE WHEN frame_id % 3 = 0 THEN frame_id % 11 END IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY frame_id) AS p FROM frames),
+g AS (SELECT *, last_value(CASE WHEN label <> 'view' THEN label END IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY frame_id) AS good,
+  max(CASE WHEN label <> 'view' THEN frame_id END) OVER (PARTITION BY series_id ORDER BY frame_id) AS seen FROM r)
+SELECT g.series_id, g.frame_id, CASE WHEN g.label = 'view' AND g.good IN ('click', 'error') AND abs(g.p - a.p) * 50 < 120 THEN g.good ELSE g.label END AS label
+FROM g LEFT JOIN r a ON a.series_id = g.series_id AND a.frame_id = g.seen"""
+)
 def label_persistence(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third frame has a pose of four keypoints, moved as a whole; two labels have zones."""
     f = frames(spark, sf)
-    pose = F.when(F.col("frame_id") % 3 == 0, F.array((F.col("frame_id") % 11).cast("double"), F.lit(1.0)))
-    return D.label_persistence(f.withColumn("pose", pose), "view").drop("pose")
+    keypoint = lambda i: F.struct((F.col("frame_id") % 11 + i).cast("double").alias("x"), F.lit(2.0 * i).alias("y"), F.lit(1.0).alias("conf"))
+    pose = F.when(F.col("frame_id") % 3 == 0, F.array(*[keypoint(i) for i in range(4)]))
+    posed = f.withColumns({"pose": pose, "area": F.lit(4.0)})
+    return D.label_persistence(posed, "view", {"click": [0, 1, 3], "error": [0, 1, 2, 3]}, 120).drop("pose", "area")
 
 
 @query()
