@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinetra.plans.base import AXES_SQL, on_points, points, query, table
 from kinetra.plans.q_joins import chapters, with_chapters
+from kinetra.plans.q_streaming import _shared as shared_folder
 from kinetra.sources import scripts as R
 
 S = "(PARTITION BY series_id, axis ORDER BY at, seq)"
@@ -98,8 +99,23 @@ def chapters_json_io(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("series_id", "unique_id", "start_frame_id", "end_frame_id", "class_name", "position_long_name", "source", "video_fps")
 
 
-@query(on_points("SELECT series_id, axis, count(*) AS n, min(at) AS first_at, max(at) AS last_at FROM points GROUP BY ALL"))
+ACTIONS = "list(struct_pack(at := at, pos := pos) ORDER BY at, seq) AS actions"
+
+
+def _actions(parsed: DataFrame) -> DataFrame:
+    """The actions as they were read, as whole numbers."""
+    number = F.transform("script.actions", lambda p: F.struct(p["at"].cast("double").cast("long").alias("at"), p["pos"].cast("double").cast("int").alias("pos")))
+    return parsed.withColumn("actions", number).drop("script")
+
+
+@query(on_points(f"SELECT series_id, axis, {ACTIONS} FROM points GROUP BY ALL"))
 def write_scripts_single(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = R.parse(R.single_documents(points(spark, sf)))
-    a = F.transform("script.actions", lambda p: p["at"].cast("long"))
-    return parsed.select("series_id", "axis", F.size("script.actions").cast("long").alias("n"), F.element_at(a, 1).alias("first_at"), F.element_at(a, -1).alias("last_at"))
+    return _actions(R.parse(R.single_documents(points(spark, sf)))).select("series_id", "axis", "actions")
+
+
+@query(f"WITH {AXES_SQL}\nSELECT axis, {ACTIONS} FROM points GROUP BY series_id, axis")
+def write_scripts_per_axis(spark: SparkSession, sf: str) -> DataFrame:
+    """Files in a folder for each axis, read back."""
+    path = shared_folder(spark)
+    R.write_documents(R.single_documents(points(spark, sf, None)), path, per_axis=True)
+    return _actions(R.parse(spark.read.text(path))).select("axis", "actions")
