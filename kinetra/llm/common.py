@@ -90,6 +90,13 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, most: str = "8m") -> None:
+    """For jobs, not operators: Arrow batches of at most ``most`` bytes in this session, unless its user has set a size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, most)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most ``rows`` rows: few texts are Python objects at once.
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from kinetra.llm import bpe, chat_format, digest, hpylm, html_extract, kmeans_tree, mixing, ppm_lang, secret_scan, simhash
-from kinetra.llm.common import documents
+from kinetra.llm.common import documents, small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,8 +55,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+
+
+def _job(query: Query) -> Query:
+    """The query with small Arrow batches."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f
+    f.__name__: _job(f)
     for f in (
         op1_simhash_dedup,
         op2_source_mix,
