@@ -107,12 +107,53 @@ def stream_new_files(spark: SparkSession, sf: str) -> DataFrame:
     return finished(spark, out.select("path", F.lit(1).alias("one")), "append", ["path"]).select("path")
 
 
+T_SQL = "(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 36000000"
+#: The values of each series in order, and a step from row to row by recursion: first state, next state, what comes out.
+E_SQL = f"""e AS (SELECT user_id AS series_id, {T_SQL} AS t, event_id AS seq, value::DOUBLE AS v,
+  row_number() OVER (PARTITION BY user_id ORDER BY {T_SQL}, event_id) AS i FROM events)"""
+
+
+def _recursive(first: str, following: str, out: str, where: str = "true", rows: str = E_SQL) -> str:
+    return f"""WITH RECURSIVE {rows}, s AS (SELECT e.*, {first} FROM e WHERE i = 1
+  UNION ALL SELECT e.*, {following} FROM s JOIN e ON e.series_id = s.series_id AND e.i = s.i + 1)
+SELECT series_id, t, seq, round(({out})::DOUBLE, 6) AS out FROM s WHERE {where}"""
+
+
+def _spaced(gap: int) -> tuple[str, str]:
+    return "e.t AS last, true AS hit", f"CASE WHEN e.t - s.last >= {gap} THEN e.t ELSE s.last END, e.t - s.last >= {gap}"
+
+
+#: The rows in which a condition last held, against each other: no state is carried.
+LOCK_SQL = f"""WITH {E_SQL}, a AS (SELECT *, i - coalesce(max(CASE WHEN v - 60 <= 0 THEN i END) OVER w, 0) AS seen, i - coalesce(max(CASE WHEN v - 60 > 0 THEN i END) OVER w, 0) AS missed
+  FROM e WINDOW w AS (PARTITION BY series_id ORDER BY i))
+SELECT series_id, t, seq, CASE WHEN max(CASE WHEN seen >= 2 THEN i END) OVER w > coalesce(max(CASE WHEN missed > 20 THEN i END) OVER w, 0) THEN 1.0::DOUBLE ELSE 0.0 END AS out
+FROM a WINDOW w AS (PARTITION BY series_id ORDER BY i)"""
+SCALE_SQL = _recursive(
+    "least(-0.2 * 0.995::DOUBLE, CASE WHEN m < -0.1 THEN m * 0.9 ELSE m * 1.1 END) AS lo, greatest(0.2 * 0.995::DOUBLE, CASE WHEN m > 0.1 THEN m * 1.1 ELSE m * 0.9 END) AS hi",
+    "least(s.lo * 0.995, CASE WHEN e.m < -0.1 THEN e.m * 0.9 ELSE e.m * 1.1 END), greatest(s.hi * 0.995, CASE WHEN e.m > 0.1 THEN e.m * 1.1 ELSE e.m * 0.9 END)",
+    "trunc(least(100, greatest(0, 50 + least(1, greatest(-1, 2 * (m - least(lo, -0.2)) / (greatest(hi, 0.2) - least(lo, -0.2)) - 1)) * 40)))",
+    rows=E_SQL.replace("e AS (", "f AS (")
+    + ", e AS (SELECT *, quantile_cont(v - 50, 0.5) OVER (PARTITION BY series_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m FROM f)",
+)
+MEDIAN_SQL = _recursive(
+    "v AS last, NULL::DOUBLE AS p1, NULL::DOUBLE AS p2",
+    """CASE WHEN s.p2 IS NULL THEN trunc(0.6 * e.v + (1 - 0.6::DOUBLE) * s.last) ELSE list_sort([trunc(0.6 * e.v + (1 - 0.6::DOUBLE) * s.last), s.p1, s.p2])[2] END,
+  trunc(0.6 * e.v + (1 - 0.6::DOUBLE) * s.last), s.p1""",
+    "last",
+)
+STEP_SQL = {
+    "ingest": _recursive(*_spaced(300), "least(100, greatest(0, v))", "hit"),
+    "rate_limit": _recursive(*_spaced(500), "least(100, greatest(0, round_even(v, 0)))", "hit"),
+    "pose_ema": _recursive("v AS last", "0.3::DOUBLE * e.v + (1 - 0.3::DOUBLE) * s.last", "last"),
+}
+
+
 def _twin(name: str, step: str, **params: float) -> None:
-    @query(name=f"batch_{name}")
+    @query(STEP_SQL.get(name), name=f"batch_{name}")
     def run(spark: SparkSession, sf: str) -> DataFrame:
         return jobs.batch(_rows(table(spark, sf, "events")), step, **params).withColumn("out", F.round("out", 6))
 
-    @query(name=f"stream_{name}")
+    @query(STEP_SQL.get(name), name=f"stream_{name}")
     def live_run(spark: SparkSession, sf: str) -> DataFrame:
         """All rows: none is late, and the watermark passes them at the end of the input."""
         base, late = _shared(spark), lateness(spark, sf)
@@ -132,14 +173,14 @@ for _name, _step, _params in (
     _twin(_name, _step, **_params)
 
 
-def _batch_only(name: str, step: str, shift: float = 0.0, **params: float) -> None:
-    @query(name=name)
+def _batch_only(name: str, step: str, shift: float = 0.0, sql: str | None = None, **params: float) -> None:
+    @query(sql, name=name)
     def run(spark: SparkSession, sf: str) -> DataFrame:
         rows = _rows(table(spark, sf, "events")).withColumn("v", F.col("v") - shift)
         return jobs.batch(rows, step, **params).withColumn("out", F.round("out", 6))
 
 
-_batch_only("adaptive_scale", "adaptive_scale", 50)
-_batch_only("ema_median_smooth", "ema_median")
+_batch_only("adaptive_scale", "adaptive_scale", 50, SCALE_SQL)
+_batch_only("ema_median_smooth", "ema_median", sql=MEDIAN_SQL)
 _batch_only("metronome", "metronome", bpm=40, swing=20)
-_batch_only("lock_state", "lock", 60, fps=10)
+_batch_only("lock_state", "lock", 60, LOCK_SQL, fps=10)
