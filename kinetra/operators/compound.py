@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetra.operators import kernels as K
-from kinetra.operators.groups import Change, change_series
+from kinetra.operators.groups import Change, change_series, grouped
 from kinetra.operators.windows import reversal_peaks, savgol, savgol_weights
 from kinetra.schema import KEY, series
 
@@ -68,7 +68,7 @@ def match_peaks(main: DataFrame, ref: DataFrame, window: float = 500, tolerance:
         return done
 
     schema = "series_id long, axis string, kind string, at long, pos int, ref_at long, ref_pos int, offset double"
-    return side(main, 0).unionByName(side(ref, 1)).groupBy(*KEY).applyInPandas(run, schema)
+    return grouped(side(main, 0).unionByName(side(ref, 1)), KEY, run, schema)
 
 
 def overlay_match(pairs: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def overlay_match(pairs: DataFrame) -> DataFrame:
                 b.add(j)
         return rows[keep]
 
-    return pairs.groupBy("series_id", "frame_id").applyInPandas(run, pairs.schema)
+    return grouped(pairs, ("series_id", "frame_id"), run, pairs.schema)
 
 
 def chapters_merge(existing: DataFrame, incoming: DataFrame, mode: str = "merge") -> DataFrame:
@@ -104,7 +104,7 @@ def chapters_merge(existing: DataFrame, incoming: DataFrame, mode: str = "merge"
             end = z if keep[-1] else end
         return rows[keep]
 
-    return old.unionByName(new.join(taken, meets, "left_anti").groupBy("series_id").applyInPandas(run, new.schema))
+    return old.unionByName(grouped(new.join(taken, meets, "left_anti"), ("series_id",), run, new.schema))
 
 
 def stabilise(segments: list[list], fps: float, idle: str, merge: tuple[str, ...] = (), wins: str = "", inner: tuple[str, ...] = ()) -> list[list]:
@@ -181,7 +181,7 @@ def segments_stabilise(runs: DataFrame, fps: float, idle: str, merge: tuple[str,
         a, z, label = zip(*out, strict=True)
         return pd.DataFrame({"series_id": rows["series_id"].iloc[0], "start_frame": a, "end_frame": z, "label": label})
 
-    return runs.groupBy("series_id").applyInPandas(run, "series_id long, start_frame long, end_frame long, label string")
+    return grouped(runs, ("series_id",), run, "series_id long, start_frame long, end_frame long, label string")
 
 
 def _rts(z: np.ndarray, t: np.ndarray, noise: float, drift: float) -> np.ndarray:
@@ -215,7 +215,7 @@ def smooth_tracks(boxes: DataFrame, noise: float = 1.0, drift: float = 0.1, leas
         w, h = np.maximum(w, 1), np.maximum(h, 1)
         return rows.assign(x1=cx - w / 2, y1=cy - h / 2, x2=cx + w / 2, y2=cy + h / 2)
 
-    return boxes.groupBy("series_id", "track_id").applyInPandas(run, boxes.schema)
+    return grouped(boxes, ("series_id", "track_id"), run, boxes.schema)
 
 
 def _savgol(y: np.ndarray, window: int, degree: int) -> np.ndarray:
@@ -250,7 +250,7 @@ def flow_to_position(signal: DataFrame, fps: float = 30, prominence: float = 4)
         frame = rows["frame_id"].to_numpy()[place]
         return pd.DataFrame({"series_id": rows["series_id"].iloc[0], "at": np.rint(frame / fps * 1000).astype("int64"), "pos": np.rint(y[place]).astype("int32")})
 
-    return signal.groupBy("series_id").applyInPandas(run, "series_id long, at long, pos int")
+    return grouped(signal, ("series_id",), run, "series_id long, at long, pos int")
 
 
 def energy_envelope(samples: DataFrame, hop: int = 8, smooth: int = 5) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinetra.operators import kernels as K
 from kinetra.operators.editing import label_runs, majority_vote
+from kinetra.operators.groups import grouped
 from kinetra.operators.sequential import per_series
 from kinetra.operators.tracks import pose_dissimilarity
 from kinetra.schema import KEY
@@ -138,7 +139,7 @@ def repeat_pattern(points: DataFrame, start_ms: int, keep_valleys: bool = False)
         out = repeated(at, rows["pos"].to_numpy(), at >= start_ms, keep_valleys)
         return pd.DataFrame({"series_id": rows["series_id"].iloc[0], "axis": rows["axis"].iloc[0], "at": [t for t, _ in out], "pos": [p for _, p in out]})
 
-    return points.groupBy(*KEY).applyInPandas(run, "series_id long, axis string, at long, pos int")
+    return grouped(points, KEY, run, "series_id long, axis string, at long, pos int")
 
 
 def onsets(samples: np.ndarray, rate: float, window: int = 1024, hop: int = 256, sensitivity: float = 1.0, gap_s: float = 0.1) -> np.ndarray:
@@ -161,7 +162,7 @@ def onset_flux(samples: DataFrame, rate: float, window: int = 1024, hop: int = 2
         t = onsets(rows.sort_values("i")["value"].to_numpy(float), rate, window, hop, sensitivity, gap_s)
         return pd.DataFrame({"series_id": np.full(len(t), rows["series_id"].iloc[0]), "t": t})
 
-    return samples.groupBy("series_id").applyInPandas(run, "series_id long, t double")
+    return grouped(samples, ("series_id",), run, "series_id long, t double")
 
 
 def label_weak(boxes: DataFrame, priority: dict[str, tuple[int, str]], first: tuple[str, ...], height: float, none: str) -> DataFrame:
@@ -243,7 +244,7 @@ def chapters_build(frames: DataFrame, labels: list[str], idle: list[str], fps: f
         a, z, label = zip(*built(rows[["start_frame", "end_frame", "label"]].to_numpy().tolist(), fps, tuple(idle)), strict=True)
         return pd.DataFrame({"series_id": rows["series_id"].iloc[0], "start_frame": a, "end_frame": z, "label": label})
 
-    out = runs.groupBy("series_id").applyInPandas(run, "series_id long, start_frame long, end_frame long, label string")
+    out = grouped(runs, ("series_id",), run, "series_id long, start_frame long, end_frame long, label string")
     if confirmed is None:
         return out
     seen = frames.select(F.col("series_id").alias("_s"), F.col("frame_id").alias("_f")).join(

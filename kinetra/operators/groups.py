@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from kinetra.schema import KEY
 
@@ -95,3 +96,28 @@ def frames_of(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], keys: t
             yield from pa.Table.from_pandas(out, schema=table.schema, preserve_index=False, safe=False).to_batches()
 
     return dealt(df, keys, order).mapInArrow(run, df.schema)
+
+
+def grouped(df: DataFrame, keys: tuple[str, ...], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str, order: tuple[str, ...] = ()) -> DataFrame:
+    """``fn`` on a pandas frame of every group, in as many partitions as shuffles have; a group that goes over the end of a batch is carried on."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for rows in frames:
+            if not len(rows):
+                continue
+            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+            new = np.zeros(len(rows), dtype=bool)
+            for k in keys:
+                codes = pd.factorize(rows[k], use_na_sentinel=False)[0]
+                new[1:] |= codes[1:] != codes[:-1]
+            first = [0, *np.flatnonzero(new).tolist()]
+            found = [fn(rows.iloc[a:z]) for a, z in zip(first, first[1:], strict=False)]
+            found = [f for f in found if len(f)]
+            if found:
+                yield pd.concat(found, ignore_index=True)
+            held = rows.iloc[first[-1] :]
+        if held is not None:
+            yield fn(held)
+
+    return dealt(df, keys, order).mapInPandas(run, schema)

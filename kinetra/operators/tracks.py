@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetra.operators.groups import Change, change_series
+from kinetra.operators.groups import Change, change_series, grouped
 from kinetra.operators.joins import within
 from kinetra.schema import clip, rint
 
@@ -303,4 +303,4 @@ def track_boxes(boxes: DataFrame, least: float = 0.3, jump: float = 1.5, lost: i
         return rows.assign(track_id=ids, state=states)
 
     schema = boxes.withColumns({"track_id": F.lit(0).cast("long"), "state": F.lit("")}).schema
-    return boxes.groupBy("series_id").applyInPandas(run, schema)
+    return grouped(boxes, ("series_id",), run, schema)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from kinetra.operators.groups import grouped
 from kinetra.streaming.steps import STEPS
 
 OUT = "series_id long, t long, seq long, out double"
@@ -30,7 +31,7 @@ def batch(rows: DataFrame, step: str, **params: float) -> DataFrame:
         out = [state.feed(t, v) for t, v in zip(group["t"].tolist(), group["v"].tolist(), strict=True)]
         return group.assign(out=pd.Series(out, index=group.index, dtype="float64")).dropna(subset=["out"])[["series_id", "t", "seq", "out"]]
 
-    return rows.select("series_id", "t", "seq", F.col("v").cast("double").alias("v")).groupBy("series_id").applyInPandas(run, OUT)
+    return grouped(rows.select("series_id", "t", "seq", F.col("v").cast("double").alias("v")), ("series_id",), run, OUT)
 
 
 def stream(rows: DataFrame, step: str, late_ms: int = 60_000, idle_ms: int = 86_400_000, **params: float) -> DataFrame:
