@@ -87,7 +87,10 @@ def test_onsets():
 
 
 def test_label_persistence(spark):
-    rows = [(1, 1, "a", [0.0, 0.0]), (1, 2, "idle", [1.0, 1.0]), (1, 3, "idle", None), (1, 4, "idle", [9.0, 9.0]), (2, 1, "idle", [0.0])]
-    df = spark.createDataFrame(rows, "series_id long, frame_id long, label string, pose array<double>")
-    got = [r.label for r in D.label_persistence(df, "idle").orderBy("series_id", "frame_id").collect()]
-    assert got == ["a", "a", "a", "idle", "idle"]
+    """Keypoints move together; 3 of them must be known, and the area is 100, so a move of d is a difference of 10 d."""
+    pose = lambda d, conf=1.0: [(float(k + d), float(k), conf) for k in range(3)]
+    rows = [(1, 1, "a", pose(0), 100.0), (1, 2, "idle", pose(0.2), 100.0), (1, 3, "idle", None, None), (1, 4, "idle", pose(9), 100.0), (2, 1, "idle", pose(0), 100.0)]
+    rows += [(3, 1, "b", pose(0), 100.0), (3, 2, "idle", pose(0), 100.0), (4, 1, "a", pose(0), 100.0), (4, 2, "idle", pose(0, 0.1), 100.0)]
+    df = spark.createDataFrame(rows, "series_id long, frame_id long, label string, pose array<struct<x: double, y: double, conf: double>>, area double")
+    got = [r.label for r in D.label_persistence(df, "idle", {"a": [0, 1, 2]}).orderBy("series_id", "frame_id").collect()]
+    assert got == ["a", "a", "a", "idle", "idle", "b", "idle", "a", "idle"]
