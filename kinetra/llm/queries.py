@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetra.llm import bpe, chat_format, digest, hpylm, html_extract, kmeans_tree, mixing, ppm_lang, secret_scan, simhash
+from kinetra.llm import ball_codes, bpe, chat_format, digest, divergence, hpylm, html_extract, kmeans_tree, mixing, ppm_lang, secret_scan, simhash, wu_manber
 from kinetra.llm.common import documents, small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,16 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op11_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wu_manber.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
 
 
 def _job(query: Query) -> Query:
@@ -81,7 +91,16 @@ QUERIES: dict[str, Query] = {
         op8_kmeans_tree,
         op9_ppm_language,
         op10_chat_format,
+        op11_ball_codes,
+        op12_decontaminate,
+        op13_source_divergence,
     )
 }
 
-ORACLES: dict[str, str] = {"op2_source_mix": mixing.SQL, "op10_chat_format": chat_format.SQL}
+ORACLES: dict[str, str] = {
+    "op2_source_mix": mixing.SQL,
+    "op10_chat_format": chat_format.SQL,
+    "op11_ball_codes": ball_codes.SQL,
+    "op12_decontaminate": wu_manber.SQL,
+    "op13_source_divergence": divergence.SQL,
+}
