@@ -372,6 +372,79 @@ def test_seating_follows_the_restaurant_rule():
         assert abs(plain.std() - drawn.std()) < 0.1 * plain.std() + 0.02
 
 
+def plain_sampler(texts, names, n_words, discounts, sweeps=40, burn=10, seed=1):
+    """Collapsed Gibbs sampling, a customer at a time over all restaurants, of the model with context restaurants under one root: (word, ctx) -> p."""
+    r = random.Random(seed)
+    d0, d = discounts
+    groups = {}
+    for t in texts:
+        ctx = 0
+        for w in [*t.encode().lower().split(), b""]:
+            groups[w, ctx] = groups.get((w, ctx), 0) + 1
+            ctx = names.index(w) + 1 if w in names else ctx
+    tables = {k: [n] for k, n in groups.items()}
+    root = {}
+    for w, _ in groups:
+        root.setdefault(w, []).append(1)
+    size = {}
+    for (_, c), n in groups.items():
+        size[c] = size.get(c, 0) + n
+    total = {}
+    width = {c: sum(x == c for _, x in groups) for c in size}
+
+    def base(w):
+        own = root.get(w, [])
+        share = (1 + d0 * sum(map(len, root.values()))) / (n_words + 1)
+        return (sum(own) - d0 * len(own) + share) / (1 + sum(map(sum, root.values())))
+
+    def sit(own, weight, disc):
+        x = r.random() * (sum(own) - disc * len(own) + weight)
+        for j, n in enumerate(own):
+            x -= n - disc
+            if x < 0:
+                own[j] += 1
+                return False
+        own.append(1)
+        return True
+
+    def leave(own):
+        j = r.choices(range(len(own)), own)[0]
+        own[j] -= 1
+        if not own[j]:
+            own.pop(j)
+            return True
+        return False
+
+    for sweep in range(sweeps):
+        for (w, c), n in groups.items():
+            for _ in range(n):
+                if leave(tables[w, c]):
+                    width[c] -= 1
+                    leave(root[w])
+                if sit(tables[w, c], (1 + d * width[c]) * base(w), d):
+                    width[c] += 1
+                    share = (1 + d0 * sum(map(len, root.values()))) / (n_words + 1)
+                    sit(root[w], share, d0)
+        if sweep >= burn:
+            for (w, c), n in groups.items():
+                p = (n - d * len(tables[w, c]) + (1 + d * width[c]) * base(w)) / (1 + size[c])
+                total[w, c] = total.get((w, c), 0) + p / (sweeps - burn)
+    return groups, total
+
+
+def test_probabilities_against_a_plain_sampler(spark):
+    r = random.Random(12)
+    texts = [" ".join(r.choices(["the", "of", *(f"w{j}" for j in range(25))], [20, 12, *range(25, 0, -1)], k=12)) for _ in range(40)]
+    model = hpylm.fit(frame(spark, list(enumerate(texts))), burn=4, samples=8)
+    groups, want = plain_sampler(texts, model.contexts, model.n_words, model.discount)
+    got = {(bytes(x["word"]), c): (p, n) for x in model.words.collect() for c, p, n in zip(x["ctx"], x["p"], [groups[bytes(x["word"]), c] for c in x["ctx"]], strict=True)}
+    assert set(got) == set(want) and len(model.contexts) >= 2
+    n = sum(groups.values())
+    ours, plain = (sum(k * np.log(p) for k, p in zip(groups.values(), x, strict=True)) / n for x in ([got[k][0] for k in groups], [want[k] for k in groups]))
+    assert ours == pytest.approx(plain, abs=0.03)
+    assert np.mean([abs(np.log(got[k][0] / want[k])) for k in groups]) < 0.1
+
+
 def test_seating_bounds():
     c = np.array([0, 1, 2, 50, 5000, 1_000_000])
     t = hpylm.seat(c, np.full(6, 3.0), 0.5, np.arange(6), 1)
