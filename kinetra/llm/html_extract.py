@@ -1,8 +1,9 @@
 """Main text of web pages by tree scoring.
 
 A page is parsed to a tree and boilerplate (menus, page headers and footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments) is cut by element, role and the words of class and id; a form or
-a word does not cut what holds the main element or most of the paragraphs' text. Every
+forms, scripts, styles, reader comments) is cut by element, by role, and by a class or id that names boilerplate as a
+whole ("cookie-notice", not "search-methods"). Neither a name nor a form cuts what holds the main element or most of the page's
+text, and within an article no name cuts a heading, a paragraph, or prose under a word that is also a topic. Every
 paragraph then passes points, for being there, for its length and its commas, to its ancestors: all to the
 parent, half to the next, a sixth, a ninth and so on up to ``LEVELS``. A container's points are discounted by its
 link density; the best one is kept with those siblings that score well or read like its paragraphs. A
@@ -45,8 +46,8 @@ ENDS["thead"] = ENDS["tfoot"] = ENDS["tbody"]
 PARAGRAPH_SCOPE = frozenset("button table td th caption html object".split())
 
 DROPPED = frozenset(
-    "nav aside footer form script style noscript template iframe button select option input textarea svg math canvas object embed"
-    " dialog menu audio video head title datalist map".split()
+    "nav aside footer form script style noscript template iframe button select option input textarea svg canvas object embed"
+    " dialog menu audio video head title datalist map annotation annotation-xml".split()
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 #: Words of class or id that mark boilerplate.
@@ -56,6 +57,18 @@ DROPPED_WORDS = re.compile(
     r"|comments?|commentlist|respond|disqus|replies|share|sharing|social|related|recommended|popup|modal|overlay|widgets?|masthead"
     r"|pagination|pager|toolbar|topbar|skip|skiplink|paywall|feedback|search|searchbox|tags|alert)$"
 )
+#: Words that may stand beside those in the name of a piece of boilerplate: "related-posts" is one, "related-work" is a topic.
+NAME_PARTS = frozenset(
+    "area bar block bottom box btn button buttons col column container content footer form global google group header holder icon icons"
+    " inner item items left link links list main message outer page panel placeholder post posts primary right secondary section sidebar site slot space"
+    " the thread top unit user view wrap wrapper article articles reader story stories".split()
+)
+#: Boilerplate words that are topics as well: prose under these stays within an article.
+TOPICS = frozenset("social related recommended search feedback alert tags share sharing respond replies overlay banner promotion promos promo login skip notices menus widgets".split())
+#: Characters outside links from which a part counts as prose.
+PROSE = 140
+#: Elements that no name cuts within an article.
+TEXT_LEVEL = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote li dt dd td th tr tbody figure figcaption math code em strong b i span a q cite".split())
 HEADER_WORDS = frozenset(("header", "masthead", "topbar"))
 COMMENT_WORDS = frozenset("comments comment commentlist respond disqus replies".split())
 #: Words that may stand beside those in the name of a comment section; a state such as "comments-open" names none.
@@ -161,8 +174,10 @@ def parse(page: str) -> Node:
     return path.root
 
 
-def words_of(node: Node) -> list[str]:
-    return re.split(r"[^a-z0-9]+", f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower())
+def names_of(node: Node) -> list[list[str]]:
+    """The words of each class and of the id."""
+    names = [*node.attrs.get("class", "").lower().split(), node.attrs.get("id", "").lower()]
+    return [w for w in ([w for w in re.split(r"[^a-z]+", name) if w] for name in names) if w]
 
 
 def holds_comments(node: Node) -> bool:
@@ -188,60 +203,65 @@ def is_boilerplate(node: Node) -> bool:
     return attrs.get("role", "").lower() in DROPPED_ROLES - {"form"}
 
 
-def is_marked(node: Node) -> bool:
-    """Whether the element is a form or has a word of boilerplate: it is cut unless it holds the page's text."""
+def is_marked(node: Node, prose: int = 0) -> bool:
+    """Whether the element, with ``prose`` characters outside links, is a form or named as boilerplate: it is cut unless it holds the page's text."""
     tag, attrs = node.tag, node.attrs
     if tag == "form" or attrs.get("role", "").lower() == "form":
         return True
-    if tag in NEVER_BY_WORD and not (tag == "article" and node.in_article):
-        return False
-    if not attrs:
+    if not attrs or tag in NEVER_BY_WORD and not (tag == "article" and node.in_article) or node.in_main and tag in TEXT_LEVEL:
         return False
-    words = words_of(node)
-    if any(DROPPED_WORDS.match(w) for w in words):
-        return True
-    return not HEADER_WORDS.isdisjoint(words) and not node.in_main
-
+    for words in names_of(node):
+        marks = [w for w in words if DROPPED_WORDS.match(w) or w in HEADER_WORDS and not node.in_main]
+        if marks and all(w in marks or w in NAME_PARTS for w in words):
+            if not (node.in_main and prose >= PROSE and all(w in TOPICS for w in marks)):
+                return True
+    return False
 
-def _holders(root: Node) -> set[int]:
-    """Ids of the nodes that hold a main element or most of the text of paragraphs outside links.
 
-    A node marked as comments needs a main or an unmarked article with most of that text.
-    """
+def _weights(root: Node) -> tuple[list[Node], dict[int, int]]:
+    """The nodes, parents first, without those cut by themselves, and the characters outside links in each."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
         todo += [c for c in node.children if not isinstance(c, str) and not is_boilerplate(c)]
     weight: dict[int, int] = {}
+    for node in reversed(order):
+        own = sum(len(" ".join(c.split())) if isinstance(c, str) else weight.get(id(c), 0) for c in node.children)
+        weight[id(node)] = 0 if node.tag == "a" else own
+    return order, weight
+
+
+def _holders(order: list[Node], weight: dict[int, int]) -> set[int]:
+    """Ids of the nodes that hold a main element, or most of the page's text and of that in articles.
+
+    A node marked as comments needs a main, or an unmarked article with most of the text.
+    """
+    half = weight[id(order[0])] / 2
     mains: set[int] = set()
+    articles: dict[int, int] = {}
+    most_in: set[int] = set()
     for node in reversed(order):
         inner = [c for c in node.children if not isinstance(c, str)]
-        own = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str)) if node.tag == "p" or node.in_p else 0
-        weight[id(node)] = 0 if node.tag == "a" else own + sum(weight.get(id(c), 0) for c in inner)
         if node.tag == "main" or node.attrs.get("role") == "main" or any(id(c) in mains for c in inner):
             mains.add(id(node))
-    half = weight[id(root)] / 2
-    article: set[int] = set()
-    out = set(mains)
-    for node in reversed(order):
-        most = weight[id(node)] > half
-        inner = any(not isinstance(c, str) and id(c) in article for c in node.children)
-        if most and (inner or node.tag == "article" and not is_marked(node) and not holds_comments(node)):
-            article.add(id(node))
-        if most and (inner or not holds_comments(node)):
-            out.add(id(node))
-    return out
+        plain = node.tag == "article" and not is_marked(node) and not holds_comments(node)
+        articles[id(node)] = weight[id(node)] if plain else sum(articles.get(id(c), 0) for c in inner)
+        if weight[id(node)] > half and (plain or any(id(c) in most_in for c in inner)):
+            most_in.add(id(node))
+    every = articles[id(order[0])]
+    return mains | {id(n) for n in order if weight[id(n)] > half and 2 * articles[id(n)] >= every and (id(n) in most_in or not holds_comments(n))}
 
 
 def _prune(root: Node) -> list[Node]:
     """Cut boilerplate; the other nodes, parents first."""
-    holders = _holders(root)
+    order, weight = _weights(root)
+    holders = _holders(order, weight)
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
-        node.children = [c for c in node.children if isinstance(c, str) or not (is_boilerplate(c) or is_marked(c) and id(c) not in holders)]
+        node.children = [c for c in node.children if isinstance(c, str) or not (is_boilerplate(c) or id(c) not in holders and is_marked(c, weight[id(c)]))]
         todo += [c for c in node.children if not isinstance(c, str)]
     return order
 
