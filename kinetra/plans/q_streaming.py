@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,9 +44,19 @@ def live(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lateness(spark: SparkSession, sf: str) -> int:
-    """Milliseconds that cover the table: its files may overlap in time, so a row can be as late as the whole range."""
-    low, high = _rows(table(spark, sf, "events")).agg(F.unix_millis(F.min("ts")), F.unix_millis(F.max("ts"))).first()
-    return 1_000 if low is None else high - low + 1_000
+    """Milliseconds by which a row can be late: how far the files, which are read by the time they were written, reach back behind earlier ones.
+
+    Files written at the same time are read in any order, so each counts as after all others of that time. Rows of one file are never late.
+    """
+    rows = spark.read.parquet(f"{sf}/events.parquet")
+    files = rows.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("written"))
+    files = files.agg(F.unix_millis(F.min("ts").cast("timestamp")).alias("low"), F.unix_millis(F.max("ts").cast("timestamp")).alias("high"))
+    # a row for each time of writing: the highest time before it and, of its own files, the two highest
+    times = files.groupBy("written").agg(F.slice(F.sort_array(F.collect_list("high"), False), 1, 2).alias("top"))
+    times = times.withColumn("before", F.max(F.col("top")[0]).over(Window.orderBy("written").rowsBetween(Window.unboundedPreceding, -1)))
+    other = F.when(F.size("top") > 1, F.when(F.col("high") == F.col("top")[0], F.try_element_at("top", F.lit(2))).otherwise(F.col("top")[0]))
+    late = files.join(times, "written").agg(F.max(F.greatest(F.col("before"), other) - F.col("low"))).first()[0]
+    return max(late or 0, 0) + 1_000
 
 
 def closed(spark: SparkSession, sf: str, late_ms: int, base: str, past_ms: int = 0) -> tuple[DataFrame, Callable[[], None]]:
@@ -58,6 +69,18 @@ def closed(spark: SparkSession, sf: str, late_ms: int, base: str, past_ms: int =
     return rows.unionByName(ends), lambda: mark.where("ts IS NOT NULL").write.mode("append").parquet(ending)
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """The state store that lists and timers need, while a stream is started; the session's own setting comes back."""
+    key, provider = jobs.STATE_STORE
+    own = spark.conf.get(key, None)
+    spark.conf.set(key, provider)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if own is None else spark.conf.set(key, own)
+
+
 def finished(spark: SparkSession, out: DataFrame, mode: str, key: list[str], base: str | None = None, end: Callable[[], None] | None = None) -> DataFrame:
     """Run the stream to its end; of each key the row of the last micro-batch that changed it.
 
@@ -141,11 +164,41 @@ MEDIAN_SQL = _recursive(
   trunc(0.6 * e.v + (1 - 0.6::DOUBLE) * s.last), s.p1""",
     "last",
 )
+#: Ingest: times with their first and last point, spacing by recursion, then the last three points by recursion: a point comes as its time's first.
+INGEST_SQL = f"""WITH RECURSIVE {E_SQL}, q AS (
+  SELECT series_id, t, seq, CAST(least(100, greatest(0, round_even(v, 0))) AS BIGINT) AS pos, CAST(round_even(round_even(t * 0.5 / 1000, 0) / 0.5 * 1000, 0) AS BIGINT) AS tt FROM e
+), g AS (
+  SELECT series_id, tt, arg_max(seq, (t, seq)) AS seq, arg_max(pos, (t, seq)) AS pos, arg_min(pos, (t, seq)) AS came, row_number() OVER (PARTITION BY series_id ORDER BY tt) AS k FROM q GROUP BY series_id, tt
+), sp AS (
+  SELECT series_id, tt, seq, pos, came, k, tt AS kept FROM g WHERE k = 1
+  UNION ALL SELECT g.series_id, g.tt, g.seq, g.pos, g.came, g.k, CASE WHEN g.tt - sp.kept >= 3000 THEN g.tt ELSE sp.kept END FROM sp JOIN g ON g.series_id = sp.series_id AND g.k = sp.k + 1
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY tt) AS j FROM sp WHERE tt = kept
+), s AS (
+  SELECT series_id, j, tt, seq, pos, NULL::BIGINT AS a0, NULL::BIGINT AS p0, NULL::BIGINT AS oa, NULL::BIGINT AS os, NULL::BIGINT AS op FROM p WHERE j = 1
+  UNION ALL SELECT p.series_id, p.j, p.tt, p.seq, p.pos,
+    CASE WHEN d THEN s.a0 ELSE s.tt END, CASE WHEN d THEN s.p0 ELSE s.pos END, CASE WHEN d THEN NULL ELSE s.tt END, CASE WHEN d THEN NULL ELSE s.seq END, CASE WHEN d THEN NULL ELSE s.pos END
+  FROM (SELECT s.*, p.tt AS na, coalesce((s.pos - s.p0) * (s.pos - p.came) <= 0 AND
+      abs((s.tt - s.a0) * (p.came - s.p0) - (p.tt - s.a0) * (s.pos - s.p0)) <= 2 * (p.tt - s.a0), false) AS d FROM s JOIN p ON p.series_id = s.series_id AND p.j = s.j + 1) s
+  JOIN p ON p.series_id = s.series_id AND p.j = s.j + 1
+)
+SELECT series_id, oa AS t, os AS seq, op::DOUBLE AS out FROM s WHERE oa IS NOT NULL
+UNION ALL SELECT series_id, tt, seq, pos::DOUBLE FROM s QUALIFY j = max(j) OVER (PARTITION BY series_id)"""
+#: Runs of small moves as islands of rows.
+QUIET_SQL = f"""WITH {E_SQL}, m AS (
+  SELECT *, abs(lead(v) OVER w - v) < 40 AS small, lead(t) OVER w AS until FROM e WINDOW w AS (PARTITION BY series_id ORDER BY i)
+), r AS (
+  SELECT *, sum(CASE WHEN small THEN 0 ELSE 1 END) OVER (PARTITION BY series_id ORDER BY i) AS run FROM m WHERE until IS NOT NULL
+)
+SELECT series_id, min(t) AS t, arg_min(seq, i) AS seq, (max(until) - min(t))::DOUBLE AS out FROM r WHERE small GROUP BY series_id, run HAVING max(until) - min(t) >= 3000"""
 STEP_SQL = {
-    "ingest": _recursive(*_spaced(300), "least(100, greatest(0, v))", "hit"),
+    "ingest": INGEST_SQL,
+    "quiet_runs": QUIET_SQL,
     "rate_limit": _recursive(*_spaced(500), "least(100, greatest(0, round_even(v, 0)))", "hit"),
     "pose_ema": _recursive("v AS last", "0.3::DOUBLE * e.v + (1 - 0.3::DOUBLE) * s.last", "last"),
 }
+#: Time without rows after which a series ends; the tables span less, so none ends before its time.
+IDLE_MS = 400 * 86_400_000
 
 
 def _twin(name: str, step: str, **params: float) -> None:
@@ -155,20 +208,23 @@ def _twin(name: str, step: str, **params: float) -> None:
 
     @query(STEP_SQL.get(name), name=f"stream_{name}")
     def live_run(spark: SparkSession, sf: str) -> DataFrame:
-        """All rows: none is late, and the watermark passes them at the end of the input."""
+        """All rows: none is later than allowed, and the watermark passes them, and what ends a series, at the end of the input."""
         base, late = _shared(spark), lateness(spark, sf)
-        rows, end = closed(spark, sf, late, base)
-        out = jobs.stream(rows, step, late, **params)
-        return finished(spark, out, "append", ["series_id", "t", "seq"], base, end).withColumn("out", F.round("out", 6))
+        rows, end = closed(spark, sf, late, base, IDLE_MS)
+        with state_store(spark):
+            out = jobs.stream(rows, step, late, IDLE_MS, **params)
+            return finished(spark, out, "append", ["series_id", "t", "seq"], base, end).withColumn("out", F.round("out", 6))
 
 
 for _name, _step, _params in (
-    ("ingest", "spacing", {"gap": 300}),
+    ("ingest", "ingest", {"gap": 3000, "fps": 0.5}),
+    ("quiet_runs", "quiet_runs", {"min_move": 40, "min_ms": 3000}),
     ("rate_limit", "rate_limit", {"per_second": 2}),
     ("beats", "beats", {"sigma": 1.5}),
     ("amplify", "amplify", {}),
     ("flow_position", "flow_position", {}),
     ("pose_ema", "ema", {}),
+    ("metronome", "metronome", {"bpm": 40, "swing": 20}),
 ):
     _twin(_name, _step, **_params)
 

@@ -1,7 +1,9 @@
 """Structured Streaming jobs of the live operators, and their batch twins.
 
-Stateful jobs keep one step object for each series and a buffer of rows that the watermark has not passed
-yet: rows are fed in event-time order, and rows later than the watermark allows are dropped by Spark.
+Stateful jobs keep one small step for each series and, in a list state, the rows that the watermark has not passed yet: a row
+that comes late, but within the watermark, takes its place among them. New rows are appended to the list, which is not read for
+that. An event-time timer of the series' earliest row feeds those that are due in time order and keeps the rest. Rows later than
+the watermark allows are dropped by Spark.
 """
 
 from __future__ import annotations
@@ -14,10 +16,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from kinetra.operators.groups import grouped
-from kinetra.streaming.steps import STEPS
+from kinetra.streaming.steps import STEPS, rest_of, rows_of
 
 OUT = "series_id long, t long, seq long, out double"
 
@@ -27,39 +29,90 @@ def batch(rows: DataFrame, step: str, **params: float) -> DataFrame:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["t", "seq"], kind="stable")
-        state = STEPS[step](**params)
-        out = [state.feed(t, v) for t, v in zip(group["t"].tolist(), group["v"].tolist(), strict=True)]
-        return group.assign(out=pd.Series(out, index=group.index, dtype="float64")).dropna(subset=["out"])[["series_id", "t", "seq", "out"]]
+        state, out = STEPS[step](**params), []
+        for t, seq, v in zip(group["t"].tolist(), group["seq"].tolist(), group["v"].tolist(), strict=True):
+            out += rows_of(state, t, seq, v)
+        return _table(group["series_id"].iloc[0] if len(group) else None, out + rest_of(state))
 
     return grouped(rows.select("series_id", "t", "seq", F.col("v").cast("double").alias("v")), ("series_id",), run, OUT)
 
 
+def _table(series: object, rows: list[tuple[int, int, float]]) -> pd.DataFrame:
+    out = pd.DataFrame([(series, *r) for r in rows], columns=["series_id", "t", "seq", "out"])
+    return out.astype({"series_id": "int64", "t": "int64", "seq": "int64", "out": "float64"})
+
+
+class _Live(StatefulProcessor):
+    """A step on each series, fed in event-time order."""
+
+    def __init__(self, step: str, params: dict[str, float], idle_ms: int) -> None:
+        self.fresh, self.idle_ms = (step, params), idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts long, t long, seq long, v double")
+        self.step = handle.getValueState("step", "step binary, last long")
+
+    def _wake(self, at: int) -> None:
+        """One timer, at ``at`` or where it stands earlier."""
+        timers = list(self.handle.listTimers())
+        if not timers or min(timers) > at:
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for part in rows:
+            # a filter before the watermark would keep it from seeing all rows
+            part = part.dropna() if key[0] is not None else part[:0]
+            if not len(part):
+                continue
+            ts = (part["ts"].astype("int64") // 1_000_000).tolist()
+            self.waiting.appendList(list(zip(ts, part["t"].astype("int64").tolist(), part["seq"].astype("int64").tolist(), part["v"].tolist(), strict=True)))
+            first = min(ts) if first is None else min(first, *ts)
+        if first is not None:
+            self._wake(first)
+        yield _table(None, [])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(self.waiting.get(), key=lambda r: (r[1], r[2])) if self.waiting.exists() else []
+        due, rest, out = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed], []
+        name, params = self.fresh
+        kept, last = self.step.get() if self.step.exists() else (None, -1)
+        step = STEPS[name](**params) if kept is None else pickle.loads(kept)  # noqa: S301
+        for ts, t, seq, v in due:
+            out += rows_of(step, t, seq, v)
+            last = max(last, ts)
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        if not rest and passed >= last + self.idle_ms:
+            out += rest_of(step)
+            self.step.clear()
+        else:
+            self.step.update((pickle.dumps(step), last))
+            self.handle.registerTimer(min(r[0] for r in rest) if rest else last + self.idle_ms)
+        yield _table(key[0], out)
+
+    def close(self) -> None:
+        pass
+
+
 def stream(rows: DataFrame, step: str, late_ms: int = 60_000, idle_ms: int = 86_400_000, **params: float) -> DataFrame:
     """The same on a stream ``rows(series_id, t, seq, v, ts)`` with event time ``ts``, late rows of up to ``late_ms``.
 
-    The state of a series goes once the watermark is ``idle_ms`` past its last row; what comes later starts anew.
+    The state of a series goes once the watermark is ``idle_ms`` past its last row, with what that settles; what comes later starts
+    anew. Rows without a series, time or place are no points. The session needs ``STATE_STORE``.
     """
+    timed = rows.withWatermark("ts", f"{late_ms} milliseconds").select("series_id", "t", "seq", F.col("v").cast("double").alias("v"), "ts")
+    return timed.groupBy("series_id").transformWithStateInPandas(_Live(step, params, idle_ms), outputStructType=OUT, outputMode="append", timeMode="EventTime")
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        step_, waiting, last = pickle.loads(state.get[0]) if state.exists else (STEPS[step](**params), [], 0)
-        for part in parts:
-            waiting += zip((part["ts"].astype("int64") // 1_000_000).tolist(), part["t"].tolist(), part["seq"].tolist(), part["v"].tolist(), strict=True)
-        waiting.sort(key=lambda r: (r[1], r[2]))
-        passed = state.getCurrentWatermarkMs()
-        ready = [r for r in waiting if r[0] <= passed]
-        waiting = [r for r in waiting if r[0] > passed]
-        out = [(key[0], t, seq, step_.feed(t, v)) for _, t, seq, v in ready]
-        last = max([last, *(r[0] for r in ready)])
-        if not waiting and state.hasTimedOut and passed >= last + idle_ms:
-            state.remove()
-        else:
-            state.update((pickle.dumps((step_, waiting, last)),))
-            state.setTimeoutTimestamp(max(min(r[0] for r in waiting) if waiting else last + idle_ms, passed + 1))
-        kept = [r for r in out if r[3] is not None]
-        yield pd.DataFrame(kept, columns=["series_id", "t", "seq", "out"]).astype({"series_id": "int64", "t": "int64", "seq": "int64", "out": "float64"})
 
-    timed = rows.withWatermark("ts", f"{late_ms} milliseconds").select("series_id", "t", "seq", F.col("v").cast("double").alias("v"), "ts")
-    return timed.groupBy("series_id").applyInPandasWithState(run, OUT, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
+#: What keeps lists and timers: a setting of the session that runs such a stream.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def rate(rows: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

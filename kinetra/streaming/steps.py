@@ -1,7 +1,8 @@
 """Steps of the live operators: small states that take one value after another.
 
-A step's ``feed(t, v)`` returns the output of one value, or None. Batch and stream use the same steps, so
-their results agree for values that come in order within the watermark.
+A step's ``feed(t, v)`` returns the output of one value, or None. A step whose outputs come later than their values has
+``rows(t, seq, v)``, the output rows that a value settles, and ``rest()``, those that the end of the series does. Batch and stream use
+the same steps, so their results agree for values that come in order within the watermark.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from collections import deque
 
 import numpy as np
 
+from kinetra.operators.kernels import redundant
+
 
 class RateLimit:
     """Values at least ``1000 / per_second`` ms apart, their time corrected by ``delay`` ms."""
@@ -26,17 +29,66 @@ class RateLimit:
         return float(min(100, max(0, round(v))))
 
 
-class Spacing:
-    """A point is new if it comes ``gap`` ms after the last one; nearer ones go. Values are limited to 0 to 100."""
+class Ingest:
+    """Live points to a clean series: snapped to frames, limited to 0 to 100, spaced, and simplified as they come.
 
-    def __init__(self, gap: float = 10) -> None:
-        self.gap, self.last = gap, None
+    A point is new if it comes ``gap`` ms after the last one. One at the same time updates the last one in place; a nearer one
+    goes. Of three last points the middle one goes if it is no strict extremum and lies within ``tolerance`` of the line of the others.
+    A point is settled, and comes out, when its successor has been taken and has not displaced it.
+    """
+
+    def __init__(self, gap: float = 10, fps: float = 0, tolerance: float = 2) -> None:
+        self.gap, self.fps, self.tolerance = gap, fps, tolerance
+        self.before: tuple[int, int] | None = None
+        self.last: tuple[int, int, int] | None = None
+
+    def _snapped(self, t: int) -> int:
+        if self.fps <= 0:
+            return t
+        return round(round(t * self.fps / 1000) / self.fps * 1000) if t >= 0 else 0
+
+    def rows(self, t: int, seq: int, v: float) -> list[tuple[int, int, float]]:
+        at, pos, out = self._snapped(t), min(100, max(0, round(v))), []
+        if self.last is None:
+            self.last = (at, seq, pos)
+        elif at == self.last[0]:
+            self.last = (at, seq, pos)
+        elif at - self.last[0] >= self.gap:
+            middle = (self.last[0], self.last[2])
+            if self.before is None or not redundant(self.before, middle, (at, pos), self.tolerance):
+                out, self.before = [(self.last[0], self.last[1], float(self.last[2]))], middle
+            self.last = (at, seq, pos)
+        return out
+
+    def rest(self) -> list[tuple[int, int, float]]:
+        return [] if self.last is None else [(self.last[0], self.last[1], float(self.last[2]))]
 
-    def feed(self, t: float, v: float) -> float | None:
-        if self.last is not None and t - self.last < self.gap:
-            return None
-        self.last = t
-        return float(min(100, max(0, v)))
+
+class QuietRuns:
+    """Runs of moves under ``min_move`` that last ``min_ms`` or longer: a row at the start of each with its length in ms.
+
+    Only the run that is still open is kept; a larger move closes it.
+    """
+
+    def __init__(self, min_move: float = 5, min_ms: float = 5000) -> None:
+        self.min_move, self.min_ms = min_move, min_ms
+        self.last: tuple[int, int, float] | None = None
+        self.start: tuple[int, int] | None = None
+
+    def rows(self, t: int, seq: int, v: float) -> list[tuple[int, int, float]]:
+        out = []
+        if self.last is not None:
+            if abs(v - self.last[2]) < self.min_move:
+                self.start = self.start or self.last[:2]
+            else:
+                out = self.rest()
+        self.last = (t, seq, v)
+        return out
+
+    def rest(self) -> list[tuple[int, int, float]]:
+        start, self.start = self.start, None
+        long = start is not None and self.last[0] - start[0] >= self.min_ms
+        return [(*start, float(self.last[0] - start[0]))] if long else []
 
 
 class Beats:
@@ -192,6 +244,19 @@ class Lock:
 
 
 STEPS = {
-    "rate_limit": RateLimit, "spacing": Spacing, "beats": Beats, "metronome": Metronome, "amplify": Amplify, "flow_position": FlowPosition, "ema": Ema,
+    "rate_limit": RateLimit, "ingest": Ingest, "quiet_runs": QuietRuns, "beats": Beats, "metronome": Metronome, "amplify": Amplify, "flow_position": FlowPosition, "ema": Ema,
     "ema_median": EmaMedian, "adaptive_scale": AdaptiveScale, "lock": Lock,
 }
+
+
+def rows_of(step: object, t: int, seq: int, v: float) -> list[tuple[int, int, float]]:
+    """Output rows ``(t, seq, out)`` that a value settles."""
+    if hasattr(step, "rows"):
+        return step.rows(t, seq, v)
+    out = step.feed(t, v)
+    return [] if out is None else [(t, seq, out)]
+
+
+def rest_of(step: object) -> list[tuple[int, int, float]]:
+    """Output rows that the end of the series settles."""
+    return step.rest() if hasattr(step, "rest") else []

@@ -21,7 +21,7 @@ def overlapping(spark, tmp_path_factory):
     return str(out)
 
 
-@pytest.mark.parametrize("name", ["ingest", "rate_limit", "beats", "amplify", "flow_position", "pose_ema"])
+@pytest.mark.parametrize("name", ["ingest", "rate_limit", "beats", "amplify", "flow_position", "pose_ema", "quiet_runs", "metronome"])
 def test_stream_equals_batch(spark, overlapping, name):
     rows = lambda q: sorted(map(tuple, catalog.QUERIES[q](spark, overlapping).select("series_id", "t", "seq", "out").collect()))
     got = rows(f"stream_{name}")
@@ -65,6 +65,7 @@ def test_rolling_filter_against_plain_batches(spark):
 
 def test_idle_series_lose_their_state(spark, tmp_path):
     """A series that is silent for ``idle_ms`` starts anew; one that goes on keeps its state."""
+    from kinetra.plans.q_streaming import state_store
     from kinetra.streaming import jobs
 
     rows = [(1, t, t, 50.0, t) for t in (5, 100)] + [(2, t, t, 50.0, t) for t in range(10, 100_000, 5000)] + [(1, 100_000, 99, 50.0, 100_000), (3, 300_000, 1, 1.0, 300_000)]
@@ -73,7 +74,72 @@ def test_idle_series_lose_their_state(spark, tmp_path):
         if part:
             spark.createDataFrame(part, schema).selectExpr("*", "timestamp_millis(ms) ts").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     live = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    out = jobs.stream(live, "ema", 1000, 20_000)
-    jobs.run_to_table(out, f"{tmp_path}/out", "append", f"{tmp_path}/state")
+    with state_store(spark):
+        out = jobs.stream(live, "ema", 1000, 20_000)
+        jobs.run_to_table(out, f"{tmp_path}/out", "append", f"{tmp_path}/state")
     got = spark.read.parquet(f"{tmp_path}/out").where("series_id = 1").collect()
     assert {r.t for r in got} == {5, 100, 100_000}
+
+
+def plain_points(rows, gap, fps, tolerance):
+    """A list of points that arrivals in time order extend, update and thin, as a whole list."""
+    points = []
+    for t, v in rows:
+        at, pos = round(round(t * fps / 1000) / fps * 1000) if fps else t, min(100, max(0, round(v)))
+        if points and at == points[-1][0]:
+            points[-1] = (at, pos)
+        elif not points or at - points[-1][0] >= gap:
+            points.append((at, pos))
+            if len(points) > 2:
+                (t1, p1), (t2, p2), (t3, p3) = points[-3:]
+                peak = p1 < p2 > p3 or p1 > p2 < p3
+                if not peak and abs((t2 - t1) * (p3 - p1) - (t3 - t1) * (p2 - p1)) <= tolerance * (t3 - t1):
+                    del points[-2]
+    return points
+
+
+@pytest.mark.parametrize("params", [{}, {"gap": 300, "fps": 7}, {"gap": 1000, "fps": 0.5, "tolerance": 15}])
+def test_late_rows_take_their_place(spark, tmp_path, params):
+    """Files that overlap in time by less than the lateness; state keeps nothing that the watermark has passed."""
+    import random
+    import time
+
+    from kinetra.plans.q_streaming import state_store
+    from kinetra.streaming import jobs
+
+    r = random.Random(len(params))
+    rows = [(s, t, i, float(r.choice([r.randint(-20, 120), t // 100 % 100, 50])), t) for s in range(4) for i, t in enumerate(sorted(r.choices(range(60_000), k=300)))]
+    schema = "series_id long, t long, seq long, v double, ms long"
+    late = [min(6, (x[4] + r.choice([0, 4_000])) // 10_000) for x in rows]
+    parts = [[x for x, k in zip(rows, late, strict=True) if k == at] for at in range(7)]
+    for k, part in enumerate([p for p in parts if p]):
+        spark.createDataFrame(part, schema).selectExpr("*", "timestamp_millis(ms) ts").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)  # files are read in the order of their times, in seconds
+    every = sorted(rows)
+    live = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    with state_store(spark):
+        out = jobs.stream(live, "ingest", 20_000, 5_000_000, **params)
+        jobs.run_to_table(out, f"{tmp_path}/out", "append", f"{tmp_path}/state")
+        got = {}
+        for x in spark.read.parquet(f"{tmp_path}/out").collect():
+            got.setdefault(x.series_id, []).append((x.t, int(x.out)))
+        passed = max(x[4] for x in every) - 20_000
+        waiting = spark.read.format("statestore").option("path", f"{tmp_path}/state").option("stateVarName", "waiting").load().select("key.series_id", "list_element.ts").collect()
+    full = {"gap": 10, "fps": 0, "tolerance": 2, **params}
+    for s in range(4):
+        want = plain_points([(x[1], x[3]) for x in every if x[0] == s and x[4] <= passed], **full)
+        assert sorted(got[s]) == want[:-1]  # the last point may still change
+    assert sorted((x.series_id, x.ts) for x in waiting) == sorted((x[0], x[4]) for x in every if x[4] > passed)
+
+
+def test_lateness_is_what_files_reach_back(spark, tmp_path):
+    import os
+
+    from kinetra.plans.q_streaming import lateness
+
+    for k, (low, high) in enumerate([(0, 100), (90, 200), (150, 300), (120, 310)]):
+        df = spark.createDataFrame([(low,), (high,)], "s long").selectExpr("CAST(timestamp_seconds(s) AS TIMESTAMP_NTZ) AS ts").coalesce(1)
+        df.write.mode("append").parquet(f"{tmp_path}/events.parquet")
+        new = max((f for f in Path(f"{tmp_path}/events.parquet").glob("*.parquet")), key=lambda f: f.stat().st_ctime_ns)
+        os.utime(new, (1_000 + min(k, 2), 1_000 + min(k, 2)))
+    assert lateness(spark, str(tmp_path)) == 190_000 + 1_000  # the last two files have one time: 310 may come before 120
