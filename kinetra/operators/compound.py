@@ -202,8 +202,19 @@ def _rts(z: np.ndarray, t: np.ndarray, noise: float, drift: float) -> np.ndarray
     return xs[:, 0]
 
 
-def smooth_tracks(boxes: DataFrame, noise: float = 1.0, drift: float = 0.1, least: int = 5) -> DataFrame:
-    """Centres and sizes of every track smoothed forward and backward; tracks under ``least`` boxes stay as they are."""
+def _lagged(sizes: np.ndarray, frames: np.ndarray, lag: float) -> np.ndarray:
+    """Each size drawn to by its gap in frames against the gap and ``lag`` together, from the size before it."""
+    out, gaps = sizes.tolist(), np.maximum(np.diff(frames), 1).tolist()
+    for i, dt in enumerate(gaps, 1):
+        out[i] = out[i - 1] + dt / (lag + dt) * (out[i] - out[i - 1])
+    return np.array(out)
+
+
+def smooth_tracks(boxes: DataFrame, noise: float = 1.0, drift: float = 0.1, least: int = 5, lag: int = 30) -> DataFrame:
+    """Centres and sizes of every track smoothed forward and backward; sizes then follow slowly, over about ``lag`` frames (0: at once).
+
+    Tracks under ``least`` boxes stay as they are.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("frame_id", kind="stable")
@@ -212,7 +223,7 @@ def smooth_tracks(boxes: DataFrame, noise: float = 1.0, drift: float = 0.1, leas
         t = rows["frame_id"].to_numpy()
         x1, y1, x2, y2 = (rows[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2"))
         cx, cy, w, h = (_rts(z, t, noise, drift) for z in ((x1 + x2) / 2, (y1 + y2) / 2, x2 - x1, y2 - y1))
-        w, h = np.maximum(w, 1), np.maximum(h, 1)
+        w, h = (_lagged(np.maximum(z, 1), t, lag) for z in (w, h))
         return rows.assign(x1=cx - w / 2, y1=cy - h / 2, x2=cx + w / 2, y2=cy + h / 2)
 
     return grouped(boxes, ("series_id", "track_id"), run, boxes.schema)

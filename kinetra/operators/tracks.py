@@ -255,52 +255,3 @@ def signal_gate(rows: DataFrame, low: float = 15.0, high: float = 35.0, least: i
         return None, {"out": np.array(done, dtype=np.int64)}
 
     return change_series(r, smoothed, ("out",), ("series_id",), ("frame_id",))
-
-
-def _iou(a: tuple[float, ...], b: tuple[float, ...]) -> float:
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    if w <= 0 or h <= 0:
-        return 0.0
-    shared = w * h
-    return shared / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - shared)
-
-
-def track_boxes(boxes: DataFrame, least: float = 0.3, jump: float = 1.5, lost: int = 15, confirm: int = 2) -> DataFrame:
-    """``boxes`` with ``track_id`` and ``state``: greedy IoU per class from frame to frame, one series in a task.
-
-    A box continues the free track of its class of highest IoU over ``least``; else the nearest one whose
-    centre is within ``jump`` box sizes and whose size is within a factor of two; else it starts a track. A
-    track is lost after ``lost`` frames; it is tentative before its ``confirm``-th box, then active.
-    """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["frame_id", "confidence", "box_id", "x1"], ascending=[True, False, True, True], kind="stable")
-        live: dict[int, list] = {}
-        ids, states, n = [], [], 0
-        for frame, name, *box in rows[["frame_id", "class_name", "x1", "y1", "x2", "y2"]].itertuples(index=False):
-            box = tuple(box)
-            best, score = None, 0.0
-            for k, (other, last, seen, _) in list(live.items()):
-                if frame - seen > lost:
-                    del live[k]
-                    continue
-                if other != name or seen == frame:
-                    continue
-                value = _iou(box, last)
-                if value <= least:
-                    size = max(last[2] - last[0], last[3] - last[1], 1e-9)
-                    far = math.hypot((box[0] + box[2] - last[0] - last[2]) / 2, (box[1] + box[3] - last[1] - last[3]) / 2) / size
-                    grown = max(box[2] - box[0], box[3] - box[1]) / size
-                    value = least * (1 - far / jump) if far <= jump and 0.5 <= grown <= 2 else 0.0
-                if value > score:
-                    best, score = k, value
-            if best is None:
-                n += 1
-                best = n
-            live[best] = [name, box, frame, live[best][3] + 1 if best in live else 1]
-            ids.append(best)
-            states.append("active" if live[best][3] >= confirm else "tentative")
-        return rows.assign(track_id=ids, state=states)
-
-    schema = boxes.withColumns({"track_id": F.lit(0).cast("long"), "state": F.lit("")}).schema
-    return grouped(boxes, ("series_id",), run, schema)

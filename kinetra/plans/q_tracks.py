@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from kinetra.operators import editing as E
 from kinetra.operators import tracks as T
+from kinetra.operators.tracking import Gates
+from kinetra.operators.tracking import track_boxes as track_boxes_of
 from kinetra.plans.base import points, query, table
 from kinetra.plans.q_joins import BOXES, boxes, samples
 
@@ -270,7 +272,9 @@ def oscillation_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def track_boxes(spark: SparkSession, sf: str) -> DataFrame:
-    return T.track_boxes(boxes(spark, sf).withColumn("frame_id", F.floor(F.col("frame_id") / 100).cast("long")), lost=3)
+    """Boxes of wide frames, so that tracks are lost, found again and exclude each other."""
+    gates = Gates(iou=0.1, exclusive=frozenset("RA"), sizes=(0.3, 3.0), jump=3.0, patience=4, memory=25, reid=2.0, closed=3)
+    return track_boxes_of(boxes(spark, sf).withColumn("frame_id", F.floor(F.col("frame_id") / 100).cast("long")), gates)
 
 
 def moving(spark: SparkSession, sf: str) -> DataFrame:
