@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetra.operators.groups import grouped
 from kinetra.operators.joins import interpolated_pairs, intervals_of
-from kinetra.operators.windows import oscillation_runs, strict_extrema
+from kinetra.operators.kernels import find_peaks
+from kinetra.operators.windows import oscillation_runs
 from kinetra.schema import KEY, series, whole
 
 
@@ -161,20 +165,62 @@ def problem_sections(main: DataFrame, ref: DataFrame, window: int = 500, limit:
     return bad.groupBy(*KEY, "section").agg(F.min("from").alias("start_ms"), (F.max("from") + window).alias("end_ms"), F.avg("mae").alias("mae"))
 
 
-def signal_offset(main: DataFrame, ref: DataFrame, limit: int = 5000, least: int = 5) -> DataFrame:
-    """The lag (ms within ``limit``) at which most strict extrema of both series meet; ties to the smallest.
+#: Milliseconds of a block of impulses that is transformed at once.
+LAG_BLOCK = 1 << 20
 
-    Series with under ``least`` extrema on a side have no row.
+
+def _correlation_peak(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """The lag ``a - b`` (times in ms) that most pairs have, the least of equally common ones, and how many have it.
+
+    Both impulse trains are cut into blocks; blocks that lie equally far apart add up before they are transformed back, and
+    where the lags of two such sums overlap these are added. Correlations are counts, so rounding makes them exact.
     """
-    peaks = lambda df: strict_extrema(df).where("top or bottom").select(*KEY, "at", F.count("*").over(whole()).alias("n")).where(F.col("n") >= least)
-    m, r = peaks(main).withColumnRenamed("at", "_m").drop("n"), peaks(ref).withColumnRenamed("at", "_r").drop("n")
-    # only extrema of the same stretch of ``limit`` ms or of one beside it can be so near
-    stretch = lambda c: F.floor(F.col(c) / max(limit, 1))
-    m, r = m.withColumn("_b", stretch("_m")), r.withColumn("_b", F.explode(F.array(*[stretch("_r") + k for k in (-1, 0, 1)])))
-    lags = m.join(r, [*KEY, "_b"]).withColumn("lag", F.col("_m") - F.col("_r")).where(F.col("lag").between(-limit, limit))
-    counted = lags.groupBy(*KEY, "lag").agg(F.count("*").alias("hits"))
-    best = F.max_by(F.struct("lag", "hits"), F.struct("hits", -F.col("lag")))
-    return counted.groupBy(*KEY).agg(best.alias("b")).select(*KEY, "b.lag", "b.hits")
+    size = LAG_BLOCK
+
+    def spectra(t: np.ndarray) -> dict[int, np.ndarray]:
+        out = {}
+        for k in np.unique(t // size).tolist():
+            train = np.bincount(t[t // size == k] - k * size, minlength=2 * size).astype(np.float32)
+            out[k] = np.fft.rfft(train)
+        return out
+
+    fa, fb = spectra(a), spectra(b)
+    best, tail = (0, 0), None
+    for d in range(min(fa) - max(fb), max(fa) - min(fb) + 2):
+        pairs = [fa[k] * fb[k - d].conj() for k in fa if k - d in fb]
+        # lags from -size to size around d blocks; the lower half meets the upper half of the sum before
+        both = np.rint(np.fft.irfft(sum(pairs), 2 * size)) if pairs else np.zeros(2 * size)
+        lower = both[size:] + (0 if tail is None else tail)
+        tail = both[:size]
+        at = int(lower.argmax())
+        if lower[at] > best[1]:
+            best = ((d - 1) * size + at, int(lower[at]))
+    return best
+
+
+def signal_offset(main: DataFrame, ref: DataFrame, least: int = 5, prominence: float = 5) -> DataFrame:
+    """The lag (ms, any) at which most prominent extrema of both series meet, ties to the smallest, and their number.
+
+    Series with under ``least`` extrema on a side have no row. A series is correlated in one task, in blocks; it needs 16 bytes for each
+    millisecond of its blocks that hold extrema.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["at", "seq"], kind="stable")
+        times = []
+        for side in (0, 1):
+            own = rows[rows["side"] == side]
+            y = own["pos"].to_numpy(dtype=float)
+            found = np.union1d(find_peaks(y, prominence=prominence), find_peaks(-y, prominence=prominence)).astype(int)
+            times.append(own["at"].to_numpy()[found])
+        if min(map(len, times)) < least:
+            return pd.DataFrame({c: pd.Series(dtype="object") for c in (*KEY, "lag", "hits")}).astype({"lag": "int64", "hits": "int64"})
+        lag, hits = _correlation_peak(*times)
+        return pd.DataFrame({**{c: [rows[c].iloc[0]] for c in KEY}, "lag": [lag], "hits": [hits]})
+
+    both = main.select(*KEY, "at", "seq", "pos", F.lit(0).alias("side")).unionByName(ref.select(*KEY, "at", "seq", "pos", F.lit(1).alias("side")))
+    kind = {f.name: f.dataType.simpleString() for f in main.schema}
+    return grouped(both, KEY, run, ", ".join(f"{c} {kind[c]}" for c in KEY) + ", lag long, hits long")
 
 
 def heatmap_buckets(points: DataFrame, width: int, duration: int) -> DataFrame:

@@ -182,14 +182,23 @@ def problem_sections(spark: SparkSession, sf: str) -> DataFrame:
     return A.problem_sections(*_pair(spark, sf), 6000, 30).withColumn("mae", F.round("mae", 6))
 
 
+def _prominent(rows: str) -> str:
+    """Extrema of prominence 5: the middles of level runs, held against the lowest point on either side up to a higher one."""
+    key = "b.series_id = a.series_id AND b.axis = a.axis"
+    side = lambda way, last: f"(SELECT min(b.v) FROM f b WHERE {key} AND b.sign = a.sign AND b.k {way} a.k AND NOT EXISTS (SELECT 1 FROM f c WHERE c.series_id = a.series_id AND c.axis = a.axis AND c.sign = a.sign AND c.v > a.v AND c.k {way} a.k AND c.k {last} b.k))"
+    return f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY series_id, axis ORDER BY at, seq) AS i FROM {rows}),
+  o AS (SELECT *, i - row_number() OVER (PARTITION BY series_id, axis, pos ORDER BY i) AS g FROM n),
+  u AS (SELECT series_id, axis, pos, min(i) AS lo, max(i) AS hi FROM o GROUP BY series_id, axis, pos, g),
+  f AS (SELECT series_id, axis, sign, pos * sign AS v, lo, hi, row_number() OVER (PARTITION BY series_id, axis, sign ORDER BY lo) AS k FROM u, (VALUES (1), (-1)) s(sign)),
+  e AS (SELECT * FROM f QUALIFY v > lag(v) OVER (PARTITION BY series_id, axis, sign ORDER BY k) AND v > lead(v) OVER (PARTITION BY series_id, axis, sign ORDER BY k)),
+  p AS (SELECT DISTINCT a.series_id, a.axis, (a.lo + a.hi) // 2 AS i FROM e a WHERE a.v - greatest({side('<', '>')}, {side('>', '<')}) >= 5)
+SELECT n.series_id, n.axis, n.at, count(*) OVER (PARTITION BY n.series_id, n.axis) AS c FROM p JOIN n ON n.series_id = p.series_id AND n.axis = p.axis AND n.i = p.i"""
+
+
 @query(
     on_pairs(f"""SELECT series_id, axis, lag, hits FROM (
-  SELECT series_id, axis, a.at - b.at AS lag, count(*) AS hits FROM (SELECT *, count(*) OVER {G} AS c FROM (
-      SELECT series_id, axis, at FROM (SELECT *, lag(pos) OVER {S} AS b, lead(pos) OVER {S} AS n FROM m) WHERE (pos > b AND pos > n) OR (pos < b AND pos < n))) a
-    JOIN (SELECT *, count(*) OVER {G} AS c FROM (
-      SELECT series_id, axis, at FROM (SELECT *, lag(pos) OVER {S} AS b, lead(pos) OVER {S} AS n FROM r) WHERE (pos > b AND pos > n) OR (pos < b AND pos < n))) b
-    USING (series_id, axis)
-  WHERE a.c >= 5 AND b.c >= 5 AND a.at - b.at BETWEEN -5000 AND 5000 GROUP BY ALL)
+  SELECT a.series_id, a.axis, a.at - b.at AS lag, count(*) AS hits FROM ({_prominent('m')}) a JOIN ({_prominent('r')}) b ON a.series_id = b.series_id AND a.axis = b.axis
+  WHERE a.c >= 5 AND b.c >= 5 GROUP BY ALL)
 QUALIFY row_number() OVER (PARTITION BY series_id, axis ORDER BY hits DESC, lag) = 1""")
 )
 def signal_offset(spark: SparkSession, sf: str) -> DataFrame:
