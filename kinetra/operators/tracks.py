@@ -200,28 +200,43 @@ def stable_class(rows: DataFrame, priority: dict[str, int], window: int = 5) ->
     return out.withColumn("stable", best).drop(*[f"_c{i}" for i in range(len(names))])
 
 
-def oscillation_cells(cells: DataFrame, window: int = 12, share: float = 0.6) -> DataFrame:
-    """Motion of each frame from its grid cells ``(series_id, frame_id, row, col, dy)``.
-
-    Motion common to the frame (its median) is taken out. A cell's score is its spread over the last
-    ``window`` frames times its zero crossings, half as much again for each active neighbour; cells over
-    ``share`` of the frame's best count, one or two by the strongest, more by the weighted mean.
+def oscillation_cells(
+    cells: DataFrame, persist: int = 5, history: int = 60, seconds: float = 2.0, least: float = 0.2, enough: float = 0.5, share: float = 0.6, boost: float = 0.2
+) -> DataFrame:
+    """Motion ``(series_id, frame_id, cells, dx, motion)`` of each frame from its grid cells ``(series_id, frame_id, row, col, dx, dy, hit)``.
+
+    Motion common to the frame (its medians) is taken out. A cell is active from a hit on for ``persist`` - 1 frames; only
+    active frames count for its history, the last ``history`` of them, which stand for ``seconds``. With more than ten of
+    them and motion over ``least`` now, its score is its mean magnitude, seven parts of it raised by zero crossings and spread, three
+    parts by its frequency (crossings of the mean of five, 0.5 to 7 Hz) under a bell around 2.5 Hz. Of the cells over ``enough`` each gains
+    ``boost`` for each neighbour that is one; those over ``share`` of the frame's best count, one or two by the strongest
+    motion, more by the mean weighted with the scores. Frames without such a cell have no row. Sums are told from zero at nine places.
     """
     frame = Window.partitionBy(*FRAME)
     cell = Window.partitionBy("series_id", "row", "col").orderBy("frame_id")
-    rows = cells.withColumn("v", F.col("dy") - F.percentile("dy", 0.5).over(frame))
-    rows = rows.withColumn("_x", F.coalesce((F.signum("v") * F.signum(F.lag("v").over(cell)) < 0).cast("int"), F.lit(0)))
-    last = cell.rowsBetween(-(window - 1), 0)
-    rows = rows.withColumn("_s", F.stddev_pop("v").over(last) * F.sum("_x").over(last))
-    # every active cell tells its eight neighbours
+    rows = cells.withColumns({c: F.col(c) - F.percentile(c, 0.5).over(frame) for c in ("dx", "dy")})
+    since = F.max(F.when(F.col("hit"), F.col("frame_id"))).over(cell.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_since", F.col("frame_id") - since).where(F.col("_since") <= persist - 2).drop("_since")
+    over = lambda n: cell.rowsBetween(-(n - 1), 0)
+    sign = lambda c: F.signum(F.round(F.col(c), 9))
+    turned = lambda c: F.coalesce((sign(c) != F.lag(sign(c)).over(cell)).cast("int"), F.lit(0))
+    rows = rows.withColumns({"mag": F.hypot("dx", "dy"), "_five": F.when(F.count("*").over(over(5)) == 5, F.sum("dy").over(over(5)))})
+    rows = rows.withColumns({"_n": F.count("*").over(over(history)), "_turn": turned("dy"), "_slow": F.when(F.lag("_five").over(cell).isNotNull(), turned("_five")).otherwise(F.lit(0))})
+    mean, spread = F.avg("mag").over(over(history)), F.stddev_pop("dy").over(over(history))
+    # pairs of rows, and pairs of means of five, that lie within the history
+    rows = rows.withColumns({"_mean": mean, "_spread": spread, "_turns": F.sum("_turn").over(over(history - 1)), "_hz": F.sum("_slow").over(over(max(history - 5, 1))) / 2 / seconds})
+    bell = F.exp(-((F.col("_hz") - 2.5) ** 2) / (2 * 1.5**2))
+    score = F.col("_mean") * (0.7 * (1 + 10 * F.col("_turns") / F.col("_n")) * (1 + F.col("_spread")) + 0.3 * F.col("_hz") * bell)
+    rows = rows.withColumn("score", score).where((F.col("_n") > 10) & (F.col("mag") > least) & F.col("_hz").between(0.5, 7) & (F.col("score") > enough))
+    # every such cell tells its eight neighbours
     ways = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
-    told = rows.where("_s > 0").select(*FRAME, "row", "col", F.explode(ways).alias("w"))
+    told = rows.select(*FRAME, "row", "col", F.explode(ways).alias("w"))
     beside = told.groupBy(*FRAME, (F.col("row") + F.col("w.a")).alias("row"), (F.col("col") + F.col("w.b")).alias("col")).agg(F.count("*").alias("beside"))
-    rows = rows.join(beside, [*FRAME, "row", "col"], "left").withColumn("score", F.col("_s") * (1 + 0.5 * F.coalesce("beside", F.lit(0))))
-    kept = rows.withColumn("_b", F.max("score").over(frame)).where((F.col("score") > 0) & (F.col("score") > share * F.col("_b")))
-    mean = F.sum(F.col("v") * F.col("score")) / F.sum("score")
-    strongest = F.max_by("v", F.struct("score", (-F.col("row")).alias("a"), (-F.col("col")).alias("b")))
-    return kept.groupBy(*FRAME).agg(F.count("*").alias("cells"), F.when(F.count("*") <= 2, strongest).otherwise(mean).alias("motion"))
+    rows = rows.join(beside, [*FRAME, "row", "col"], "left").withColumn("score", F.col("score") * (1 + boost * F.coalesce("beside", F.lit(0))))
+    kept = rows.withColumn("_b", F.max("score").over(frame)).where(F.col("score") > share * F.col("_b"))
+    strongest = F.struct("mag", (-F.col("row")).alias("a"), (-F.col("col")).alias("b"))
+    motion = lambda c: F.when(F.count("*") <= 2, F.max_by(c, strongest)).otherwise(F.sum(F.col(c) * F.col("score")) / F.sum("score"))
+    return kept.groupBy(*FRAME).agg(F.count("*").alias("cells"), motion("dx").alias("dx"), motion("dy").alias("motion"))
 
 
 def signal_gate(rows: DataFrame, low: float = 15.0, high: float = 35.0, least: int = 8, window: int = 10, strength: float = 0.3) -> DataFrame:

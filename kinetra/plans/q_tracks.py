@@ -252,22 +252,30 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
     day = F.datediff(F.col("l_shipdate"), F.lit("1992-01-01"))
     return b.select(
         (F.col("l_suppkey") % 5).alias("series_id"), F.floor(day / 7).cast("long").alias("frame_id"), F.floor(F.col("l_quantity") / 13).cast("int").alias("row"), F.floor(F.round(F.col("l_tax") * 100) / 2).cast("int").alias("col"),
-        (F.col("l_discount") * 100 - 5).alias("d"),
-    ).groupBy("series_id", "frame_id", "row", "col").agg(F.round(F.avg("d"), 6).alias("dy"))
+        (F.col("l_discount") * 100 - 5).alias("d"), (F.col("l_linenumber") - 3).alias("e"),
+    ).groupBy("series_id", "frame_id", "row", "col").agg(F.round(F.avg("d"), 6).alias("dy"), F.round(F.avg("e"), 6).alias("dx"), (F.max("e") >= 4).alias("hit"))
 
 
 @query(
     """WITH c AS (SELECT l_suppkey % 5 AS series_id, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) // 7 AS frame_id, CAST(floor(l_quantity / 13) AS INTEGER) AS row_, CAST(floor(round(l_tax * 100) / 2) AS INTEGER) AS col_,
-  round(avg(l_discount * 100 - 5), 6) AS dy FROM lineitem GROUP BY ALL),
-v AS (SELECT *, dy - median(dy) OVER (PARTITION BY series_id, frame_id) AS v FROM c),
-x AS (SELECT *, CASE WHEN sign(v) * sign(lag(v) OVER (PARTITION BY series_id, row_, col_ ORDER BY frame_id)) < 0 THEN 1 ELSE 0 END AS x FROM v),
-s AS (SELECT *, stddev_pop(v) OVER w * sum(x) OVER w AS s FROM x WINDOW w AS (PARTITION BY series_id, row_, col_ ORDER BY frame_id ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
-n AS (SELECT s.*, s * (1 + 0.5 * (SELECT count(*) FROM s o WHERE o.series_id = s.series_id AND o.frame_id = s.frame_id AND o.s > 0 AND abs(o.row_ - s.row_) <= 1 AND abs(o.col_ - s.col_) <= 1 AND (o.row_ <> s.row_ OR o.col_ <> s.col_))) AS score FROM s)
-SELECT series_id, frame_id, count(*) AS cells, round(CASE WHEN count(*) <= 2 THEN arg_max(v, (score, -row_, -col_)) ELSE sum(v * score) / sum(score) END, 4) AS motion
-FROM (SELECT *, max(score) OVER (PARTITION BY series_id, frame_id) AS b FROM n) WHERE score > 0 AND score > 0.6 * b GROUP BY ALL"""
+  round(avg(l_discount * 100 - 5), 6) AS dy, round(avg(l_linenumber - 3), 6) AS dx, max(l_linenumber - 3) >= 4 AS hit FROM lineitem GROUP BY ALL),
+v AS (SELECT * EXCLUDE (dx, dy), dy - median(dy) OVER (PARTITION BY series_id, frame_id) AS v, dx - median(dx) OVER (PARTITION BY series_id, frame_id) AS u FROM c),
+-- active: a hit of the cell within the last frames, as an equality of sets of frames rather than a running maximum
+a AS (SELECT v.*, row_number() OVER (PARTITION BY series_id, row_, col_ ORDER BY frame_id) AS k, sqrt(u * u + v * v) AS mag FROM v
+  WHERE EXISTS (SELECT 1 FROM c WHERE c.hit AND c.series_id = v.series_id AND c.row_ = v.row_ AND c.col_ = v.col_ AND c.frame_id BETWEEN v.frame_id - 6 AND v.frame_id)),
+-- the history of each active row as lists, oldest first
+h AS (SELECT *, list(v) OVER w AS vs, list(mag) OVER w AS ms FROM a WINDOW w AS (PARTITION BY series_id, row_, col_ ORDER BY k ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
+g AS (SELECT *, list_transform(range(1, len(vs) - 3), lambda i: sign(round(vs[i] + vs[i + 1] + vs[i + 2] + vs[i + 3] + vs[i + 4], 9))) AS five, list_transform(vs, lambda x: sign(round(x, 9))) AS one FROM h WHERE len(vs) > 10 AND mag > 0.2),
+f AS (SELECT *, len(list_filter(range(2, len(five) + 1), lambda i: five[i] <> five[i - 1])) / 2 / 2.0::DOUBLE AS hz, len(list_filter(range(2, len(one) + 1), lambda i: one[i] <> one[i - 1])) AS turns FROM g),
+s AS (SELECT *, list_avg(ms) * (0.7 * (1 + 10 * turns / len(vs)) * (1 + list_stddev_pop(vs)) + 0.3 * hz * exp(-((hz - 2.5) * (hz - 2.5)) / 4.5)) AS s FROM f WHERE hz BETWEEN 0.5 AND 7),
+n AS (SELECT s.*, s * (1 + 0.2 * (SELECT count(*) FROM s o WHERE o.series_id = s.series_id AND o.frame_id = s.frame_id AND o.s > 0.5 AND abs(o.row_ - s.row_) <= 1 AND abs(o.col_ - s.col_) <= 1 AND (o.row_ <> s.row_ OR o.col_ <> s.col_))) AS score FROM s WHERE s > 0.5)
+SELECT series_id, frame_id, count(*) AS cells, round(CASE WHEN count(*) <= 2 THEN arg_max(v, (mag, -row_, -col_)) ELSE sum(v * score) / sum(score) END, 4) AS motion,
+  round(CASE WHEN count(*) <= 2 THEN arg_max(u, (mag, -row_, -col_)) ELSE sum(u * score) / sum(score) END, 4) AS dx
+FROM (SELECT *, max(score) OVER (PARTITION BY series_id, frame_id) AS b FROM n) WHERE score > 0.6 * b GROUP BY ALL"""
 )
 def oscillation_cells(spark: SparkSession, sf: str) -> DataFrame:
-    return T.oscillation_cells(cells(spark, sf)).withColumn("motion", F.round("motion", 4))
+    out = T.oscillation_cells(cells(spark, sf), persist=8, history=24)
+    return out.withColumns({c: F.round(c, 4) for c in ("dx", "motion")})
 
 
 @query()

@@ -225,6 +225,51 @@ def test_offset_against_all_differences(spark, monkeypatch, block):
     assert got == want and len(want) >= 5
 
 
+@pytest.mark.parametrize(("persist", "history"), [(5, 20), (3, 12), (2, 60)])
+def test_cells_frame_by_frame(spark, persist, history):
+    """Countdowns and histories of cells that go from frame to frame."""
+    from collections import deque
+
+    r = random.Random(history)
+    speed = {(y, x): r.choice([0.3, 0.7, 1.1]) for y in range(4) for x in range(5)}
+    frames = {f: {c: (round(r.gauss(0, 1), 3), round(3 * math.sin(f * w + c[0]) + r.gauss(0, 0.5), 3), r.random() < 0.25) for c, w in speed.items()} for f in range(90)}
+    timers, past, want = {}, {}, {}
+    for f, own in frames.items():
+        gx, gy = (median(v[k] for v in own.values()) for k in (0, 1))
+        for c, v in own.items():
+            if v[2]:
+                timers[c] = persist
+        timers = {c: n - 1 for c, n in timers.items() if n > 1}
+        scored = {}
+        for c in timers:
+            dx, dy = own[c][0] - gx, own[c][1] - gy
+            mine = past.setdefault(c, deque(maxlen=history))
+            mine.append((dx, dy, math.hypot(dx, dy)))
+            if len(mine) <= 10 or mine[-1][2] <= 0.2:
+                continue
+            ys = [m[1] for m in mine]
+            sign = lambda v: (round(v, 9) > 0) - (round(v, 9) < 0)
+            turns = sum(sign(a) != sign(b) for a, b in zip(ys, ys[1:]))
+            five = [sum(ys[i : i + 5]) for i in range(len(ys) - 4)]
+            hz = sum(sign(a) != sign(b) for a, b in zip(five, five[1:])) / 2 / 2.0
+            mean = sum(m[2] for m in mine) / len(mine)
+            if 0.5 <= hz <= 7:
+                score = 0.7 * mean * (1 + turns / len(ys) * 10) * (1 + float(np.std(ys))) + 0.3 * mean * hz * math.exp(-((hz - 2.5) ** 2) / 4.5)
+                if score > 0.5:
+                    scored[c] = (score, dx, dy, mine[-1][2])
+        near = lambda c: sum(o != c and abs(o[0] - c[0]) <= 1 and abs(o[1] - c[1]) <= 1 for o in scored)
+        scored = {c: (v[0] * (1 + 0.2 * near(c)), *v[1:]) for c, v in scored.items()}
+        kept = [v for v in scored.values() if v[0] > 0.6 * max(x[0] for x in scored.values())]
+        if kept:
+            lead, total = max(kept, key=lambda v: v[3]), sum(v[0] for v in kept)
+            want[f] = (len(kept), *((lead[1], lead[2]) if len(kept) <= 2 else (sum(v[k] * v[0] for v in kept) / total for k in (1, 2))))
+    rows = [(1, f, y, x, *v) for f, own in frames.items() for (y, x), v in own.items()]
+    df = spark.createDataFrame(rows, "series_id long, frame_id long, row int, col int, dx double, dy double, hit boolean")
+    got = {x.frame_id: (x.cells, x.dx, x.motion) for x in tracks.oscillation_cells(df, persist, history).collect()}
+    assert set(got) == set(want) and len(want) > 20
+    assert all(got[f] == pytest.approx(want[f]) for f in want)
+
+
 def test_add_batch_keeps_the_gap(spark):
     r = random.Random(6)
     points = [(1, "stroke", r.randrange(2000), r.randrange(100), i) for i in range(60)]
