@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -90,7 +91,7 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, most: str = "8m") -> None:
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
     """For jobs, not operators: Arrow batches of at most ``most`` bytes in this session, unless its user has set a size."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if key not in spark.conf.getAll:
@@ -102,9 +103,20 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
 
     Spark itself bounds the bytes of a batch (``spark.sql.execution.arrow.maxBytesPerBatch``).
     """
-    for b in batches:
-        for i in range(0, max(b.num_rows, 1), rows):
-            yield b.slice(i, rows)
+    try:
+        for b in batches:
+            for i in range(0, max(b.num_rows, 1), rows):
+                yield b.slice(i, rows)
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: workers live on, and would hold the most that any task has needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
