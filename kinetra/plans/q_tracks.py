@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from kinetra.operators import editing as E
 from kinetra.operators import tracks as T
+from kinetra.operators.locks import Rules
+from kinetra.operators.locks import anchor_lock as anchor_lock_of
+from kinetra.operators.locks import contact_lock as contact_lock_of
 from kinetra.operators.tracking import Gates
 from kinetra.operators.tracking import track_boxes as track_boxes_of
 from kinetra.plans.base import points, query, table
@@ -285,6 +288,31 @@ def track_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return track_boxes_of(boxes(spark, sf).withColumn("frame_id", F.floor(F.col("frame_id") / 100).cast("long")), gates)
 
 
+def _anchors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Frames with a pose that is steady now and then, boxes with tracks, and the anchors among them."""
+    b = boxes(spark, sf).withColumn("frame_id", F.floor(F.col("frame_id") / 200).cast("long"))
+    b = b.withColumn("box_id", F.row_number().over(Window.partitionBy("series_id", "frame_id").orderBy("box_id", "x1", "confidence")).cast("long"))
+    b = b.withColumn("track_id", (F.floor(F.col("x1") / 150) * 10 + F.ascii("class_name") % 10).cast("long"))
+    frames = b.select("series_id", "frame_id").distinct().withColumn("steady", F.col("frame_id") % 3 == 0)
+    best = F.row_number().over(Window.partitionBy("series_id", "frame_id").orderBy(F.desc("confidence"), "box_id")) == 1
+    return frames, b, b.where("class_name = 'R'").withColumn("preferred", best)
+
+
+@query()
+def anchor_lock(spark: SparkSession, sf: str) -> DataFrame:
+    frames, _, anchors = _anchors(spark, sf)
+    return R6(anchor_lock_of(frames, anchors, fps=10), "x1", "y1", "x2", "y2")
+
+
+@query()
+def contact_lock(spark: SparkSession, sf: str) -> DataFrame:
+    frames, b, anchors = _anchors(spark, sf)
+    locked = anchor_lock_of(frames, anchors, fps=10).withColumns({"y1": F.col("y2") - 200, "reach": F.lit(200.0), "person": F.array(*map(F.lit, (0.0, 0.0, 640.0, 480.0)))})
+    touching = b.where("class_name <> 'R'").withColumn("contact", F.col("confidence") > 0.4)
+    rules = Rules(primary=("N",), fallback=("A",), height={"N": 0.9}, weight={"A": 0.8}, patience=4, fallback_patience=3, contact=0.001)
+    return contact_lock_of(locked, touching, rules).select("series_id", "frame_id", "track_id", "is_occluded", "contributors", "value")
+
+
 def moving(spark: SparkSession, sf: str) -> DataFrame:
     """A signal with the motion of its frames, made of the points."""
     seq = F.col("seq")
