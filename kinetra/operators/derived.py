@@ -260,6 +260,43 @@ def chapters_build(frames: DataFrame, labels: list[str], idle: list[str], fps: f
     return by.select("series_id", F.when(cut, a).otherwise(F.col("start_frame")).alias("start_frame"), F.when(cut, z).otherwise(F.col("end_frame")).alias("end_frame"), "label")
 
 
+def chapters_relabel(chapters: DataFrame, labels: DataFrame, idle: list[str]) -> DataFrame:
+    """Chapters with the labels ``(series_id, start_frame, end_frame, label)``, where these are not null and the chapter is not idle;
+    neighbours that now share a label become one, from the first start to the last end."""
+    new = labels.select("series_id", "start_frame", "end_frame", F.col("label").alias("_new"))
+    named = F.when(~F.col("label").isin(*idle), F.col("_new"))
+    rows = chapters.join(new, ["series_id", "start_frame", "end_frame"], "left").withColumn("label", F.coalesce(named, F.col("label")))
+    order = Window.partitionBy("series_id").orderBy("start_frame", "end_frame")
+    other = F.coalesce((~F.col("label").eqNullSafe(F.lag("label").over(order))).cast("int"), F.lit(1))
+    rows = rows.withColumn("_o", F.when(F.row_number().over(order) == 1, 1).otherwise(other))
+    rows = rows.withColumn("_run", F.sum("_o").over(order))
+    out = rows.groupBy("series_id", "_run").agg(F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"), F.first("label").alias("label"))
+    return out.select("series_id", "start_frame", "end_frame", "label")
+
+
+def chapters_consume(chapters: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Join each pair ``(series_id, first_id, second_id)`` over the gap between them, under the earlier one's id and label, and drop
+    the chapters that lie wholly within the joined range; those that reach out of it stay.
+
+    A series' pairs are few; a pair without both chapters changes nothing.
+    """
+    c = chapters.select("series_id", "chapter_id", "label", "start_frame", "end_frame")
+    side = lambda n, p: c.select("series_id", F.col("chapter_id").alias(n), F.struct("start_frame", "chapter_id", "label", "end_frame").alias(p))
+    both = pairs.join(side("first_id", "a"), ["series_id", "first_id"]).join(side("second_id", "b"), ["series_id", "second_id"]).where("first_id <> second_id")
+    swap = F.col("a.start_frame") > F.col("b.start_frame")
+    early, late = F.when(swap, F.col("b")).otherwise(F.col("a")), F.when(swap, F.col("a")).otherwise(F.col("b"))
+    done = both.select("series_id", "first_id", "second_id", early["chapter_id"].alias("chapter_id"), early["label"].alias("label"), early["start_frame"].alias("start_frame"), late["end_frame"].alias("end_frame"))
+    span = done.select(F.col("series_id").alias("_s"), "first_id", "second_id", F.col("start_frame").alias("_a"), F.col("end_frame").alias("_z"))
+    inside = (F.col("series_id") == F.col("_s")) & (F.col("chapter_id").isin(F.col("first_id"), F.col("second_id")) | ((F.col("start_frame") >= F.col("_a")) & (F.col("end_frame") <= F.col("_z"))))
+    return c.join(span, inside, "left_anti").unionByName(done.select(c.columns))
+
+
+def first_of_times(points: DataFrame) -> DataFrame:
+    """Of the points of one time the first."""
+    order = Window.partitionBy(*KEY, "at").orderBy("seq", "pos")
+    return points.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
 def chapters_join(chapters: DataFrame, pairs: DataFrame) -> DataFrame:
     """Join the chapters of each pair ``(series_id, first_id, second_id)`` under the earlier one's id and label, unless the
     joined range meets a third chapter; a pair that can't be joined changes nothing."""

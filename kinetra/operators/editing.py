@@ -127,9 +127,11 @@ def chapters_repair(chapters: DataFrame) -> DataFrame:
     return chapters.withColumn("_next", F.lead("start_frame").over(order)).withColumn("end_frame", F.coalesce(F.least("end_frame", F.col("_next") - 1), F.col("end_frame"))).drop("_next")
 
 
-def clip_to_range(chapters: DataFrame, start: int, end: int) -> DataFrame:
-    """Chapters that share a frame with the range."""
-    return chapters.where((F.col("start_frame") <= end) & (F.col("end_frame") >= start))
+def clip_to_range(rows: DataFrame, start: int, end: int | None = None) -> DataFrame:
+    """Chapters that share a frame with the range, or points ``frame_id`` in it; without ``end``, or with -1, it has no end."""
+    points = "frame_id" in rows.columns
+    first, last = ("frame_id", "frame_id") if points else ("start_frame", "end_frame")
+    return rows.where((F.col(last) >= start) & (F.lit(end is None or end == -1) | (F.col(first) <= (end or 0))))
 
 
 def chapter_place(chapters: DataFrame, start: int, end: int) -> DataFrame:

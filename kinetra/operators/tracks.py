@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -78,6 +79,55 @@ def spatial_vote(boxes: DataFrame, segments: DataFrame) -> DataFrame:
     return by.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("series_id", "start_frame", "end_frame")))
 
 
+@dataclass(frozen=True)
+class When:
+    """A test of a segment's class: ``stat`` (share, mean_y, mean_area) over or under a number or the same of another class."""
+
+    name: str
+    stat: str
+    over: bool
+    than: float | str
+
+
+@dataclass(frozen=True)
+class LabelRule:
+    """``label`` for segments that have all classes ``has``, none of ``lacks``, pass all tests ``every`` and, if there are any, one of ``some``."""
+
+    label: str
+    has: tuple[str, ...] = ()
+    lacks: tuple[str, ...] = ()
+    every: tuple[When, ...] = ()
+    some: tuple[When, ...] = ()
+
+
+def spatial_label(boxes: DataFrame, segments: DataFrame, rules: list[LabelRule], names: dict[str, str], least: int = 3) -> DataFrame:
+    """``(series_id, start_frame, end_frame, label)`` of each segment by the first rule that holds, else by the commonest class (ties to the
+    first of ``names``), null under ``least`` boxes. Only classes of ``names`` count."""
+    span = ("series_id", "start_frame", "end_frame")
+    by = spatial_vote(boxes.where(F.col("class_name").isin(*names)), segments)
+    stat = lambda name, c: F.max(F.when(F.col("class_name") == name, F.col(c)))
+    asked = {(t.name, t.stat) for r in rules for t in (*r.every, *r.some)} | {(t.than, t.stat) for r in rules for t in (*r.every, *r.some) if isinstance(t.than, str)}
+    asked |= {(n, "n") for n in names} | {(n, "n") for r in rules for n in (*r.has, *r.lacks)}
+    columns = {k: f"_{i}" for i, k in enumerate(sorted(asked))}
+    wide = by.groupBy(*span).agg(F.sum("n").alias("_all"), *[stat(*k).alias(c) for k, c in columns.items()])
+    got = lambda name, c: F.col(columns[name, c])
+
+    def holds(t: When) -> Column:
+        a, b = got(t.name, t.stat), got(t.than, t.stat) if isinstance(t.than, str) else F.lit(float(t.than))
+        return F.coalesce(a > b if t.over else a < b, F.lit(False))
+
+    label = F.lit(None).cast("string")
+    order = list(names)
+    best = F.greatest(*[F.struct(F.coalesce(got(n, "n"), F.lit(0)).alias("n"), F.lit(-i).alias("i")) for i, n in enumerate(order)], F.struct(F.lit(-1).cast("long").alias("n"), F.lit(0).alias("i")))
+    label = F.element_at(F.array(*[F.lit(names[n]) for n in order]), (1 - best["i"]).cast("int"))
+    for r in reversed(rules):
+        tests = [got(n, "n").isNotNull() for n in r.has] + [got(n, "n").isNull() for n in r.lacks] + [holds(t) for t in r.every]
+        tests += [reduce(Column.__or__, [holds(t) for t in r.some])] if r.some else []
+        label = F.when(reduce(Column.__and__, tests, F.lit(True)), F.lit(r.label)).otherwise(label)
+    found = wide.select(*span, F.when(F.col("_all") >= least, label).alias("label"))
+    return segments.select(*span).distinct().join(found, list(span), "left")
+
+
 def interpolate_tracks(boxes: DataFrame, fps: int = 30) -> DataFrame:
     """Boxes between two of a track at most ``fps`` frames apart, on the line; none if the centre moved too far.
 

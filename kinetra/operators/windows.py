@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetra.operators.groups import Change, change_series
+from kinetra.operators.kernels import sliding_percentile
 from kinetra.schema import KEY, clip, rint, series, to_pos, whole
 
 
@@ -249,10 +251,11 @@ def adjust_timing(df: DataFrame, cursor: int) -> DataFrame:
     return rows.withColumn("at", F.when(F.col("_c") >= 2, value).otherwise(at)).select(df.columns)
 
 
-def snap_nearest(df: DataFrame, t: int) -> DataFrame:
-    """The point nearest to ``t`` moves there, at most to 1 ms from its neighbours."""
+def snap_nearest(df: DataFrame, t: int, selected: Column | None = None) -> DataFrame:
+    """The (selected) point nearest to ``t`` moves there, at most to 1 ms from its neighbours, selected or not."""
     before, after = around("at")
-    near = F.min_by(F.struct("at", "seq"), F.struct(F.abs(F.col("at") - t), F.col("at"), F.col("seq"))).over(whole())
+    order = F.struct(F.abs(F.col("at") - t), F.col("at"), F.col("seq"))
+    near = F.min_by(F.struct("at", "seq"), order if selected is None else F.when(selected, order)).over(whole())
     rows = df.withColumns({"_b": before, "_n": after, "_t": near})
     value = F.greatest(F.coalesce(F.col("_b") + 1, F.lit(0)), F.coalesce(F.least(F.col("_n") - 1, F.lit(t)), F.lit(t)))
     hit = F.struct("at", "seq") == F.col("_t")
@@ -269,10 +272,20 @@ def oscillation_runs(df: DataFrame, min_move: int = 5, min_ms: int = 5000) -> Da
     return runs.where(F.col("end") - F.col("start") >= min_ms).drop("_run")
 
 
-def rolling_percentile(df: DataFrame, window_ms: int = 30_000, p: float = 0.95, value: str = "pos") -> DataFrame:
-    """``ref``: percentile of the values of the last ``window_ms`` up to each point."""
-    w = Window.partitionBy(*KEY).orderBy("at").rangeBetween(-window_ms, 0)
-    return df.withColumn("ref", F.percentile(value, p).over(w))
+def rolling_percentile(df: DataFrame, window_ms: int = 30_000, p: float = 0.95, value: str = "pos", otherwise: Column | None = None, size: float | None = None) -> DataFrame:
+    """``ref``: percentile of the values of the last ``window_ms`` up to each point, equal times included.
+
+    Where these hold no value it is ``otherwise`` (of the point's segment), if that is over zero, else three tenths of ``size``. The
+    window's values are kept in order while it slides, so a point costs a look-up, however many the window holds.
+    """
+    back = F.lit(None if size is None else 0.3 * size).cast("double")
+    back = back if otherwise is None else F.when(otherwise > 0, otherwise.cast("double")).otherwise(back)
+    rows = df.withColumns({"ref": F.lit(None).cast("double"), "_v": F.col(value).cast("double"), "_back": back})
+
+    def run(x: dict[str, np.ndarray]) -> Change:
+        return None, {"ref": sliding_percentile(x["at"], x["_v"].astype(float), x["_back"].astype(float), window_ms, p)}
+
+    return change_series(rows, run, ("at", "_v", "_back")).drop("_v", "_back")
 
 
 def rolling_height(df: DataFrame, rows: int = 5, value: str = "pos") -> DataFrame:

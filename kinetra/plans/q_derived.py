@@ -82,6 +82,25 @@ def chapter_merge2(spark: SparkSession, sf: str) -> DataFrame:
     return D.chapters_join(c, pairs)
 
 
+@query(
+    on_fc("""SELECT c.series_id, c.chapter_id, c.label, c.start_frame, c.end_frame FROM fc c WHERE NOT EXISTS (
+  SELECT 1 FROM fc a JOIN fc b ON a.series_id = b.series_id AND a.chapter_id = a.series_id || '-0' AND b.chapter_id = b.series_id || '-3'
+  WHERE a.series_id = c.series_id AND (c.chapter_id IN (a.chapter_id, b.chapter_id) OR (c.start_frame >= least(a.start_frame, b.start_frame) AND c.end_frame <= CASE WHEN a.start_frame > b.start_frame THEN a.end_frame ELSE b.end_frame END)))
+UNION ALL SELECT a.series_id, CASE WHEN a.start_frame > b.start_frame THEN b.chapter_id ELSE a.chapter_id END, CASE WHEN a.start_frame > b.start_frame THEN b.label ELSE a.label END,
+  least(a.start_frame, b.start_frame), CASE WHEN a.start_frame > b.start_frame THEN a.end_frame ELSE b.end_frame END
+FROM fc a JOIN fc b ON a.series_id = b.series_id AND a.chapter_id = a.series_id || '-0' AND b.chapter_id = b.series_id || '-3'""")
+)
+def chapter_consume(spark: SparkSession, sf: str) -> DataFrame:
+    c = frame_chapters(spark, sf)
+    pairs = c.select("series_id").distinct().select("series_id", F.concat_ws("-", "series_id", F.lit(3)).alias("first_id"), F.concat_ws("-", "series_id", F.lit(0)).alias("second_id"))
+    return D.chapters_consume(c, pairs)
+
+
+@query(on_points("SELECT series_id, axis, at // 500 * 500 AS at, arg_min(pos, seq) AS pos, min(seq) AS seq FROM points GROUP BY ALL"))
+def first_of_times(spark: SparkSession, sf: str) -> DataFrame:
+    return D.first_of_times(points(spark, sf).withColumn("at", (F.floor(F.col("at") / 500) * 500).cast("long")))
+
+
 @query(on_points("SELECT series_id, axis, at, pos, seq FROM (SELECT *, max(at) OVER (PARTITION BY series_id, axis) AS z FROM points) WHERE at >= z - 8000"))
 def last_window(spark: SparkSession, sf: str) -> DataFrame:
     return D.last_window(points(spark, sf), 8000)

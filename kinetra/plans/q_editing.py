@@ -149,6 +149,12 @@ def clip_to_range(spark: SparkSession, sf: str) -> DataFrame:
     return E.clip_to_range(frame_chapters(spark, sf), 400, 700)
 
 
+@query(on_points("SELECT series_id, axis, at // 40 AS frame_id, pos FROM points WHERE at // 40 >= 400"))
+def clip_points_to_range(spark: SparkSession, sf: str) -> DataFrame:
+    rows = points(spark, sf).select("series_id", "axis", F.floor(F.col("at") / 40).cast("long").alias("frame_id"), "pos")
+    return E.clip_to_range(rows, 400, -1)
+
+
 @query(
     on_fc("""SELECT series_id, s AS start_frame, CASE WHEN f IS NULL THEN 650 ELSE s + 99 END AS end_frame FROM (
   SELECT series_id, f, CASE WHEN f IS NULL THEN 550 WHEN f >= 100 THEN f - 100

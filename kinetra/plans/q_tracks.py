@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinetra.operators import editing as E
 from kinetra.operators import tracks as T
+from kinetra.operators.derived import chapters_relabel as chapters_relabel_of
 from kinetra.operators.locks import Rules
 from kinetra.operators.locks import anchor_lock as anchor_lock_of
 from kinetra.operators.locks import contact_lock as contact_lock_of
@@ -96,6 +97,39 @@ def segment_spatial_vote(spark: SparkSession, sf: str) -> DataFrame:
     return R6(out.withColumns({"mean_y": F.round("mean_y", 4), "mean_area": F.round("mean_area", 4)}), "share")
 
 
+#: Rules of the kinds there are: a class alone, a share or an area, two classes against each other, a class without others.
+RULES = [
+    T.LabelRule("first", has=("A",), some=(T.When("A", "share", True, 0.4), T.When("A", "mean_area", True, 12_000))),
+    T.LabelRule("second", has=("N", "R"), every=(T.When("N", "mean_y", False, "R"),)),
+    T.LabelRule("third", has=("R",), lacks=("A",), every=(T.When("R", "mean_y", True, 200), T.When("R", "mean_area", True, 5_000))),
+]
+NAMES = {"R": "by R", "A": "by A", "N": "by N"}
+VOTE = f"""{BOXES}, {SEGMENTS}, t AS (SELECT s.series_id, s.start_frame, s.end_frame, s.label AS old, count(b.class_name) AS n, count(*) FILTER (WHERE class_name = 'A') AS a, count(*) FILTER (WHERE class_name = 'N') AS nn, count(*) FILTER (WHERE class_name = 'R') AS r,
+  avg((x2 - x1) * (y2 - y1)) FILTER (WHERE class_name = 'A') AS aa, avg((x2 - x1) * (y2 - y1)) FILTER (WHERE class_name = 'R') AS ra, avg((y1 + y2) / 2) FILTER (WHERE class_name = 'N') AS ny, avg((y1 + y2) / 2) FILTER (WHERE class_name = 'R') AS ry
+  FROM segs s LEFT JOIN boxes b ON b.series_id = s.series_id AND b.frame_id BETWEEN s.start_frame AND s.end_frame AND class_name IN ('A', 'N', 'R') GROUP BY ALL),
+l AS (SELECT series_id, start_frame, end_frame, old, CASE WHEN n < 3 THEN NULL WHEN a > 0 AND (a / n > 0.4 OR aa > 12000) THEN 'first' WHEN nn > 0 AND r > 0 AND ny < ry THEN 'second'
+  WHEN r > 0 AND a = 0 AND ry > 200 AND ra > 5000 THEN 'third' WHEN r >= a AND r >= nn THEN 'by R' WHEN a >= nn THEN 'by A' ELSE 'by N' END AS label FROM t)"""
+
+
+@query(f"WITH {VOTE} SELECT series_id, start_frame, end_frame, label FROM l")
+def segment_spatial_label(spark: SparkSession, sf: str) -> DataFrame:
+    return T.spatial_label(boxes(spark, sf), segments(spark, sf), RULES, NAMES)
+
+
+@query(
+    f"""WITH {VOTE}, m AS (SELECT series_id, start_frame, end_frame, coalesce(CASE WHEN old <> 'idle' OR series_id % 3 = 0 THEN label END, old) AS label FROM l),
+r AS (SELECT *, sum(CASE WHEN b IS NOT DISTINCT FROM label THEN 0 ELSE 1 END) OVER (PARTITION BY series_id ORDER BY start_frame) AS run FROM (SELECT *, lag(label) OVER (PARTITION BY series_id ORDER BY start_frame) AS b FROM m))
+SELECT series_id, min(start_frame) AS start_frame, max(end_frame) AS end_frame, any_value(label) AS label FROM r GROUP BY series_id, run"""
+)
+def chapters_relabel(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments relabelled by the rules and joined again; every third series has no idle ones."""
+    s = segments(spark, sf)
+    idle = F.when((F.col("series_id") % 3 == 0) & (F.col("label") == "idle"), "busy").otherwise(F.col("label"))
+    labels = T.spatial_label(boxes(spark, sf), s, RULES, NAMES)
+    out = chapters_relabel_of(s.withColumn("_old", F.col("label")).withColumn("label", idle).drop("_old"), labels, ["idle"])
+    return out
+
+
 @query(
     f"""WITH {BOXES}, {SEGMENTS}, h AS (
   SELECT s.series_id, s.start_frame, s.end_frame, s.label, quantile_cont(b.y2 - b.y1, 0.95) AS p FROM segs s LEFT JOIN boxes b ON b.series_id = s.series_id AND b.frame_id BETWEEN s.start_frame AND s.end_frame

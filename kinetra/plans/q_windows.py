@@ -242,6 +242,15 @@ def snap_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return X.snap_nearest(points(spark, sf), 30000)
 
 
+@query(
+    on_points(f"""SELECT series_id, axis, CAST(CASE WHEN r = 1 AND c THEN greatest(coalesce(b + 1, 0), least(coalesce(n - 1, 30000), 30000)) ELSE at END AS BIGINT) AS at, pos, seq
+FROM (SELECT *, row_number() OVER (PARTITION BY series_id, axis, c ORDER BY abs(at - 30000), at, seq) AS r FROM (
+  SELECT *, seq % 3 = 0 AS c, lag(at) OVER {S} AS b, lead(at) OVER {S} AS n FROM points))""")
+)
+def snap_nearest_selected(spark: SparkSession, sf: str) -> DataFrame:
+    return X.snap_nearest(points(spark, sf), 30000, F.col("seq") % 3 == 0)
+
+
 @query(
     on_points(f"""SELECT series_id, axis, min(at) AS start, max(e) AS end, count(*) AS moves FROM (
   SELECT *, sum(CASE WHEN s0 IS NULL OR s0 <> s THEN 1 ELSE 0 END) OVER {S} AS run FROM (
@@ -253,10 +262,18 @@ def oscillation_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    on_points("""SELECT series_id, axis, at, pos, seq, round(quantile_cont(pos, 0.95) OVER (PARTITION BY series_id, axis ORDER BY at RANGE BETWEEN 30000 PRECEDING AND CURRENT ROW), 6) AS ref FROM points""")
+    on_points("""SELECT p.series_id, p.axis, p.at, p.pos, p.seq, round(coalesce(p.q, CASE WHEN g.height > 0 THEN g.height ELSE 0.3 * 640 END), 6) AS ref
+FROM (SELECT *, quantile_cont(CASE WHEN at // 9000 % 3 = 0 AND seq % 4 <> 1 THEN pos END, 0.95) OVER (PARTITION BY series_id, axis ORDER BY at RANGE BETWEEN 3000 PRECEDING AND CURRENT ROW) AS q FROM points) p
+LEFT JOIN (SELECT DISTINCT series_id, at // 9000 AS segment, at // 9000 % 2 * 40 AS height FROM points WHERE series_id % 2 = 0) g ON g.series_id = p.series_id AND g.segment = p.at // 9000""")
 )
 def rolling_percentile_ref(spark: SparkSession, sf: str) -> DataFrame:
-    return X.rolling_percentile(points(spark, sf)).withColumn("ref", F.round("ref", 6))
+    """Heights that are missing for stretches; segments of even series have a height or none."""
+    p = points(spark, sf)
+    segment = F.floor(F.col("at") / 9000)
+    heights = p.where("series_id % 2 = 0").select("series_id", segment.alias("segment"), (segment % 2 * 40).alias("height")).distinct()
+    rows = p.withColumns({"segment": segment, "seen": F.when((segment % 3 == 0) & (F.col("seq") % 4 != 1), F.col("pos"))}).join(heights, ["series_id", "segment"], "left")
+    out = X.rolling_percentile(rows, 3000, value="seen", otherwise=F.col("height"), size=640)
+    return out.select("series_id", "axis", "at", "pos", "seq", F.round("ref", 6).alias("ref"))
 
 
 @query(
