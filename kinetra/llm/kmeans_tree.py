@@ -32,11 +32,11 @@ from kinetra.llm.common import batch, dropped, materialize, scratch
 
 CHUNK_ROWS = 8192
 #: Leaves (neighbours in the tree) that make a group, and queries that a group handles at once.
-GROUP_LEAVES, QUERY_BLOCK = 16, 256
+GROUP_LEAVES, QUERY_BLOCK = 128, 256
 #: Queries whose distances to all centres are computed at once.
 WALK_BLOCK = 32
-#: Rows of a leaf that its subtree is fitted on, at most.
-FIT_ROWS = 4096
+#: Rows of a leaf that its subtree is fitted on, about; how finely a hash cuts a leaf.
+FIT_ROWS, HASHES = 4096, 1 << 30
 #: The tree is broadcast: about 40 MB at this bound with 64 components. Beyond, leaves grow with the table.
 MAX_LEAVES = 65_536
 
@@ -194,7 +194,7 @@ def _fitting(sizes: dict[int, int], branches: int, leaf_rows: int):
 def grow(vectors: DataFrame, fitted: DataFrame, branches: int, leaf_rows: int, fit_rows: int = FIT_ROWS, max_leaves: int = MAX_LEAVES) -> tuple[Tree, DataFrame]:
     """A tree for ``vectors(vec_id, v)`` with leaves of ``leaf_rows`` rows or little more, and the vectors in its leaves.
 
-    Leaves are split on at most ``fit_rows`` rows of ``fitted``, those of smallest id hash, until no leaf is
+    Leaves are split on about ``fit_rows`` rows of ``fitted``, those of smallest hash, until no leaf is
     too large, none of the too large ones can be cut (equal vectors, or no row to fit on) or there are ``max_leaves``.
     """
     tree, done = Tree(), set()
@@ -204,9 +204,10 @@ def grow(vectors: DataFrame, fitted: DataFrame, branches: int, leaf_rows: int, f
         large = [k for k, n in sizes.items() if n > 2 * leaf_rows and k not in done]
         if not large or tree.n_leaves >= max_leaves:
             return tree, placed
-        rows = _placed(fitted, tree).join(F.broadcast(placed.sparkSession.createDataFrame([(k,) for k in large], "leaf int")), "leaf", "left_semi")
-        rank = F.row_number().over(Window.partitionBy("leaf").orderBy(F.xxhash64("vec_id"), "vec_id"))
-        rows = rows.withColumn("r", rank).where(F.col("r") <= fit_rows).drop("r")
+        # sizes are known, so a hash tells what is in a leaf's sample, and no leaf is gathered or ranked
+        bounds = [(k, int(HASHES * min(1.0, fit_rows / sizes[k]))) for k in large]
+        bounds = F.broadcast(placed.sparkSession.createDataFrame(bounds, "leaf int, below long"))
+        rows = _placed(fitted, tree).join(bounds, "leaf").where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(HASHES)) < F.col("below")).drop("below")
 
         fit = _fitting({k: sizes[k] for k in large}, branches, leaf_rows)
 
@@ -283,14 +284,14 @@ def search(
     target: float = 0.94,
     checked: int = 200,
     branches: int = 8,
-    leaf_rows: int = 256,
+    leaf_rows: int = 32,
     fit_rows: int = FIT_ROWS,
     visits: int | None = None,
 ) -> DataFrame:
     """Rows ``(query_id, rank, vec_id, score)``: the ``k`` nearest found of every query, nearest first, ties to smaller ids.
 
     Queries are the rows whose vec_id is divisible by ``every``, candidates all rows of another id. The tree
-    is fitted on samples of at most ``fit_rows`` rows a leaf, without queries as far as there are other rows.
+    is fitted on samples of about ``fit_rows`` rows a leaf, without queries as far as there are other rows.
     ``visits`` leaves are searched; if it is None it is calibrated to recall ``target`` on the ``checked`` queries
     of smallest id hash. A query goes on as long as its leaves hold ``k`` rows or fewer. Vectors that are null, zero, of odd length, or hold null or non-finite components
     take no part, nor do rows without an id; rows that repeat an id count once, with their nearest vector. Where there are fewer than
