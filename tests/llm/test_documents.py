@@ -544,6 +544,50 @@ def test_network_completes_partly_covered_keys(spark):
     assert found >= 32
 
 
+def test_long_texts_of_many_secrets_take_seconds(spark):
+    import time
+
+    net = secret_scan.fit(frame(spark, list(enumerate(secret_docs(3, 40)))))
+    text = "".join(f"token = abcdef{i:08d}xyz then key0123456789ABC{i:08d} and " for i in range(40_000))
+    began = time.monotonic()
+    spans = secret_scan.scan(text, net)
+    assert sum(k == "assign" for k, _, _ in spans) == 40_000 and time.monotonic() - began < 60
+    r = random.Random(5)
+    own = [("x", a, a + r.randint(1, 30)) for a in r.choices(range(300), k=40)]
+    reach = secret_scan.Reach(own)
+    for a in range(300):
+        for b in (a + 1, a + 7, a + 40):
+            assert reach.holds(a, b) == any(s <= a and b <= e for _, s, e in own) and reach.meets(a, b) == any(s < b and a < e for _, s, e in own)
+
+
+def plain_digest(text):
+    """The digest from its description, a byte at a time: (length, low ratio, middle ratio, 128 quartiles)."""
+    data, count = text.encode(), [0] * 128
+    for i in range(len(data) - 2):
+        mixed = (data[i] * 2654435761 + data[i + 1] * 2246822507 + data[i + 2] * 3266489902) % 2**32
+        count[(mixed * 668265263) % 2**32 // 2**25] += 1
+    q1, q2, q3 = (sorted(count)[k] for k in (31, 63, 95))
+    quartile = [0 if n <= q1 else 1 if n <= q2 else 2 if n <= q3 else 3 for n in count]
+    return min(255, int(np.log1p(len(data)) * 10)), q1 * 15 // q3 if q3 else 0, q2 * 15 // q3 if q3 else 0, quartile
+
+
+def plain_likeness(a, b):
+    (la, xa, ya, qa), (lb, xb, yb, qb) = plain_digest(a), plain_digest(b)
+    far = min(64, abs(la - lb)) + 4 * (abs(xa - xb) + abs(ya - yb)) + sum({0: 0, 1: 1, 2: 2, 3: 6}[abs(p - q)] for p, q in zip(qa, qb, strict=True))
+    return 1 - far / (64 + 2 * 4 * 15 + 6 * 128)
+
+
+def test_digest_against_a_plain_one():
+    r = random.Random(4)
+    pool = ["", "a", "ab", "abc", "é" * 40, *("".join(r.choice("abcde \n\u00e9\U0001d51e") for _ in range(r.randint(1, 900))) for _ in range(40))]
+    for t in pool:
+        size, low, mid, quartile = plain_digest(t)
+        want = f"{size:02x}{low:x}{mid:x}" + "".join(f"{quartile[i] * 4 + quartile[i + 1]:x}" for i in range(0, 128, 2))
+        assert digest.fingerprint(t) == want
+    for a, b in itertools.product(pool[:12], pool):
+        assert digest.likeness(digest.fingerprint(a), digest.fingerprint(b)) == pytest.approx(plain_likeness(a, b))
+
+
 def test_candidates():
     text = "pwd: abcdefgh12 say \"longword\" x=abcdefgh abcdefghi 'short' k=ABCDEFGHIJKLMNOPQR"
     assert [text[a:b] for a, b in secret_scan.runs(text)] == ["abcdefgh12", "longword", "abcdefgh", "k=ABCDEFGHIJKLMNOPQR"]
