@@ -564,7 +564,7 @@ def plain_digest(text):
     """The digest from its description, a byte at a time: (length, low ratio, middle ratio, 128 quartiles)."""
     data, count = text.encode(), [0] * 128
     for i in range(len(data) - 2):
-        mixed = (data[i] * 2654435761 + data[i + 1] * 2246822507 + data[i + 2] * 3266489902) % 2**32
+        mixed = (data[i] * 2654435761 + data[i + 1] * 2246822519 + data[i + 2] * 3266489917) % 2**32
         count[(mixed * 668265263) % 2**32 // 2**25] += 1
     q1, q2, q3 = (sorted(count)[k] for k in (31, 63, 95))
     quartile = [0 if n <= q1 else 1 if n <= q2 else 2 if n <= q3 else 3 for n in count]
