@@ -247,12 +247,15 @@ def chapters_build(frames: DataFrame, labels: list[str], idle: list[str], fps: f
     out = grouped(runs, ("series_id",), run, "series_id long, start_frame long, end_frame long, label string")
     if confirmed is None:
         return out
-    seen = frames.select(F.col("series_id").alias("_s"), F.col("frame_id").alias("_f")).join(
-        confirmed.select(F.col("series_id").alias("_s"), F.col("frame_id").alias("_f"), F.lit(True).alias("_ok")), ["_s", "_f"], "left"
-    )
-    inside = (F.col("series_id") == F.col("_s")) & F.col("_f").between(F.col("start_frame"), F.col("end_frame"))
+    ok = confirmed.select("series_id", "frame_id", F.lit(True).alias("_ok")).distinct()
+    seen = frames.select("series_id", "frame_id").join(ok, ["series_id", "frame_id"], "left").withColumn("_k", F.lit(1))
+    # chapters do not meet, so a frame belongs to the last one that begins before it or to none
+    starts = out.select("series_id", F.col("start_frame").alias("frame_id"), F.lit(0).alias("_k"), F.struct("start_frame", "end_frame", "label").alias("_c"))
+    order = Window.partitionBy("series_id").orderBy("frame_id", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    held = starts.unionByName(seen, allowMissingColumns=True).withColumn("_c", F.last("_c", ignorenulls=True).over(order))
+    held = held.where("_k = 0 or frame_id <= _c.end_frame").withColumn("_f", F.when(F.col("_k") == 1, F.col("frame_id")))
     hit = F.when(F.col("_ok"), F.col("_f"))
-    by = out.join(seen, inside, "left").groupBy("series_id", "start_frame", "end_frame", "label").agg(
+    by = held.groupBy("series_id", F.col("_c.start_frame").alias("start_frame"), F.col("_c.end_frame").alias("end_frame"), F.col("_c.label").alias("label")).agg(
         F.count("_f").alias("n"), F.count(hit).alias("k"), F.min(hit).alias("first"), F.max(hit).alias("last")
     )
     a, z = F.greatest("start_frame", F.col("first") - trim), F.least("end_frame", F.col("last") + trim)

@@ -73,8 +73,12 @@ def merge_chapter_results(points: DataFrame, chapters: DataFrame, held: Column)
 
     Of equal times the last wins: points before ends, later chapters (``ord``) before earlier ones.
     """
-    p = points.select(F.col("series_id").alias("_s"), F.col("at").alias("_t"))
-    bare = chapters.join(p, (F.col("series_id") == F.col("_s")) & F.col("_t").between(F.col("start_ms"), F.col("end_ms")), "left_anti")
+    # the next point from a chapter's start on, by one pass back in time
+    c = chapters.select("series_id", F.col("start_ms").alias("_t"), F.lit(1).alias("_k"), F.struct(*chapters.columns).alias("_c"))
+    p = points.select("series_id", F.col("at").alias("_t"), F.lit(0).alias("_k"), F.col("at").alias("_next"))
+    back = Window.partitionBy("series_id").orderBy(F.desc("_t"), "_k").rowsBetween(Window.unboundedPreceding, 0)
+    both = c.unionByName(p, allowMissingColumns=True).withColumn("_next", F.last("_next", ignorenulls=True).over(back)).where("_k = 1")
+    bare = both.where("_next is null or _next > _c.end_ms").select("_c.*")
     ends = bare.select(
         "series_id", F.lit("stroke").alias("axis"), F.explode(F.array("start_ms", "end_ms")).alias("at"), held.cast("int").alias("pos"), (F.col("ord") - 1000).cast("long").alias("seq")
     )

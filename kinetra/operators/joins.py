@@ -6,10 +6,14 @@ series first. A window or a group holds one series.
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetra.functions.numbers import ms_to_frame
+from kinetra.operators.groups import grouped
 from kinetra.schema import KEY, clip, rint, series, whole
 
 DEFAULT_POS = 50
@@ -63,19 +67,43 @@ def next_prev_point(points: DataFrame, frame: int, fps: float) -> DataFrame:
     return points.groupBy(*KEY).agg(F.min(F.when(f > frame, at)).alias("next_at"), F.max(F.when(f < frame, at)).alias("prev_at"))
 
 
+def _pieces(chapters: DataFrame) -> DataFrame:
+    """``(series_id, _t, hit, chapter_id, label)``: from each time ``_t`` at which a chapter starts or has ended, the first one (by ``ord``) that holds.
+
+    A sweep over the series' chapters: the open ones wait in a heap, and those that have ended leave it when they come up.
+    """
+    named = chapters.where("series_id is not null").select("series_id", "start_ms", "end_ms", "ord", "chapter_id", "label")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        opens = rows.sort_values("start_ms", kind="stable")
+        starts, ends = opens["start_ms"].tolist(), opens["end_ms"].tolist()
+        order = [(pd.isna(o), o if not pd.isna(o) else 0, str(c)) for o, c in zip(opens["ord"], opens["chapter_id"], strict=True)]
+        times = sorted({t for a, z in zip(starts, ends, strict=True) for t in (a, z + 1)})
+        heap: list[tuple] = []
+        found, n = [], 0
+        for t in times:
+            while n < len(starts) and starts[n] <= t:
+                heapq.heappush(heap, (*order[n], n))
+                n += 1
+            while heap and ends[heap[0][-1]] < t:
+                heapq.heappop(heap)
+            found.append(heap[0][-1] if heap else None)
+        hit = [None if i is None else 1 for i in found]
+        of = lambda c: [None if i is None else opens[c].iloc[i] for i in found]
+        out = pd.DataFrame({"series_id": rows["series_id"].iloc[0], "_t": times, "hit": pd.array(hit, dtype="Int32"), "chapter_id": of("chapter_id"), "label": of("label")})
+        return out
+
+    kind = {f.name: f.dataType.simpleString() for f in named.schema}
+    return grouped(named, ("series_id",), run, f"series_id {kind['series_id']}, _t long, hit int, chapter_id {kind['chapter_id']}, label {kind['label']}")
+
+
 def _covered(points: DataFrame, chapters: DataFrame) -> DataFrame:
     """``(_row, _c)``: every point with the first chapter (by ``ord``) that holds its time; ``_c.hit`` is null without one.
 
     A series' time is cut where a chapter starts or has ended; a point takes the piece that began last before it. Rows
     that are repeated stay, and a point meets one piece, however many chapters there are.
     """
-    c = chapters.where("series_id is not null").select("series_id", "start_ms", "end_ms", "ord", "chapter_id", "label")
-    cuts = c.select("series_id", F.explode(F.array("start_ms", F.col("end_ms") + 1)).alias("_t")).distinct()
-    held = F.col("_t").between(F.col("start_ms"), F.col("end_ms"))
-    pieces = cuts.join(c.withColumnRenamed("series_id", "_series"), (F.col("series_id") == F.col("_series")) & held, "left")
-    found = F.struct(F.lit(1).alias("hit"), "chapter_id", "label")
-    pieces = pieces.groupBy("series_id", "_t").agg(F.min_by(found, F.when(F.col("_series").isNotNull(), F.struct("ord", "chapter_id"))).alias("_f"))
-    pieces = pieces.select("series_id", "_t", F.lit(0).alias("_k"), F.struct(F.col("_f.hit").alias("hit"), F.col("_f.chapter_id").alias("chapter_id"), F.col("_f.label").alias("label")).alias("_p"))
+    pieces = _pieces(chapters).select("series_id", "_t", F.lit(0).alias("_k"), F.struct("hit", "chapter_id", "label").alias("_p"))
     rows = points.select("series_id", F.col("at").alias("_t"), F.lit(1).alias("_k"), F.struct(*points.columns).alias("_row"))
     order = Window.partitionBy("series_id").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
     both = rows.unionByName(pieces, allowMissingColumns=True)
@@ -85,16 +113,19 @@ def _covered(points: DataFrame, chapters: DataFrame) -> DataFrame:
 def within(rows: DataFrame, spans: DataFrame, at: str = "at", start: str = "start_ms", end: str = "end_ms") -> DataFrame:
     """``rows`` once for each span of their series that holds their ``at`` (both bounds inclusive), with the span's columns.
 
-    Both sides are cut into stretches of the longest span of the series, so a row meets the spans of two stretches only.
+    A span goes to the class of its length, the next power of two, and there into the two stretches of this size that it can reach.
+    A row looks into one stretch of each class that its series has, so a long span does not make short ones meet all rows.
     """
     own = [c for c in spans.columns if c != "series_id"]
-    size = spans.groupBy(F.col("series_id").alias("_series")).agg(F.greatest(F.max(F.col(end) - F.col(start)) + 1, F.lit(1)).alias("_size"))
-    s = spans.select(F.col("series_id").alias("_own"), F.struct(*own).alias("_span")).join(size, F.col("_own") == F.col("_series"))
-    s = s.withColumn("_b", F.floor(F.col(f"_span.{start}") / F.col("_size"))).select("_own", "_span", F.explode(F.array("_b", F.col("_b") + 1)).alias("_b"))
-    r = rows.select(F.struct(*rows.columns).alias("_row")).join(size, F.col("_row.series_id") == F.col("_series"))
-    r = r.select("_row", F.floor(F.col(f"_row.{at}") / F.col("_size")).alias("_at"))
-    same = (F.col("_row.series_id") == F.col("_own")) & (F.col("_at") == F.col("_b")) & F.col(f"_row.{at}").between(F.col(f"_span.{start}"), F.col(f"_span.{end}"))
-    return r.join(s, same).select("_row.*", *[F.col(f"_span.{c}").alias(c) for c in own])
+    size = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col(end) - F.col(start) + 1, F.lit(1))))).cast("long")
+    s = spans.where(F.col(end) >= F.col(start)).select(F.col("series_id").alias("_own"), F.struct(*own).alias("_span"), size.alias("_size"))
+    classes = s.groupBy(F.col("_own").alias("_series")).agg(F.collect_set("_size").alias("_sizes"))  # 64 at most
+    first = F.floor(F.col(f"_span.{start}") / F.col("_size"))
+    s = s.select("_own", "_span", "_size", F.explode(F.array(first, first + 1)).alias("_b"))
+    r = rows.select(F.struct(*rows.columns).alias("_row")).join(classes, F.col("_row.series_id") == F.col("_series"))
+    r = r.select("_row", F.explode("_sizes").alias("_class")).withColumn("_at", F.floor(F.col(f"_row.{at}") / F.col("_class")))
+    same = (F.col("_row.series_id") == F.col("_own")) & (F.col("_class") == F.col("_size")) & (F.col("_at") == F.col("_b"))
+    return r.join(s, same & F.col(f"_row.{at}").between(F.col(f"_span.{start}"), F.col(f"_span.{end}"))).select("_row.*", *[F.col(f"_span.{c}").alias(c) for c in own])
 
 
 def intervals_of(rows: DataFrame, chapters: DataFrame) -> DataFrame:

@@ -128,7 +128,11 @@ def recover_strokes(kept: DataFrame, original: DataFrame, factor: float = 1.8) -
     seg = seg.where(F.col("_e") > F.col("at")).withColumn("_d", F.col("_e") - F.col("at"))
     usual = seg.groupBy(*KEY).agg(F.percentile("_d", 0.5).alias("_m"), F.count("*").alias("_n")).where("_n >= 2")
     wide = seg.join(usual, list(KEY)).where(F.col("_d") > F.col("_m") * factor).select(*KEY, F.col("at").alias("_a"), "_e", F.col("pos").alias("_p"), "_q")
-    inside = original.join(wide, list(KEY)).where((F.col("at") > F.col("_a")) & (F.col("at") < F.col("_e")))
+    # gaps do not meet, so a point lies in the last one that begins before it or in none
+    gaps = wide.select(*KEY, F.col("_a").alias("at"), F.lit(1).alias("_k"), F.struct("_a", "_e", "_p", "_q").alias("_g"))
+    rows = original.select(*KEY, "at", "pos", "seq", F.lit(0).alias("_k")).unionByName(gaps, allowMissingColumns=True)
+    order = Window.partitionBy(*KEY).orderBy("at", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumn("_g", F.last("_g", ignorenulls=True).over(order)).where("_k = 0 and at < _g._e").select(*KEY, "at", "pos", "seq", "_g.*")
     line = F.col("_p") + (F.col("at") - F.col("_a")) / (F.col("_e") - F.col("_a")) * (F.col("_q") - F.col("_p"))
     far = F.struct(F.round(F.abs(F.col("pos") - line), 9), -F.col("at"), -F.col("seq"))
     best = inside.groupBy(*KEY, "_a").agg(F.max_by(F.struct("at", "pos", "seq"), far).alias("b"))
