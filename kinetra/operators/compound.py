@@ -42,6 +42,27 @@ def savgol_autotune(df: DataFrame, longest: int = 9, degree: int = 3) -> DataFra
     return rows.join(best, list(KEY)).where("_w = _best").select(df.columns)
 
 
+def savgol_unsaturated(df: DataFrame, low: float = 1, high: float = 99, longest: int = 15, degree: int = 2) -> DataFrame:
+    """Smooth each series with the odd window, its length at most, that leaves the fewest unrounded values at ``low`` or under, or ``high`` or over.
+
+    Windows are tried from three points on until one leaves none; of equals the shortest is taken. Short windows get a lower degree. A
+    series of fewer than three points stays as it is.
+    """
+
+    def change(x: dict[str, np.ndarray]) -> Change:
+        y, best = x["pos"].astype(float), None
+        for w in range(3, min(longest, len(y)) + 1, 2):
+            smooth = np.round(_savgol(y, w, min(degree, w - 1)), 9)
+            left = int(((smooth <= low) | (smooth >= high)).sum())
+            if best is None or left < best[0]:
+                best = (left, smooth)
+            if left == 0:
+                break
+        return None, {"pos": x["pos"] if best is None else np.clip(np.rint(best[1]), 0, 100).astype(np.int64)}
+
+    return change_series(df, change)
+
+
 def match_peaks(main: DataFrame, ref: DataFrame, window: float = 500, tolerance: float = 2) -> DataFrame:
     """Reversal peaks of ``main`` in order, each with the nearer of the two reference peaks next to it, if free and within
     ``window`` ms: ``(series_id, axis, kind, at, pos, ref_at, ref_pos, offset)``; unmatched ones of both sides too."""

@@ -81,6 +81,11 @@ def segments_extent(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("series_id").agg(F.min(F.greatest("start_frame", F.lit(1))).alias("first_frame"), F.max("end_frame").alias("last_frame"))
 
 
+@query()
+def savgol_unsaturated(spark: SparkSession, sf: str) -> DataFrame:
+    return C.savgol_unsaturated(points(spark, sf))
+
+
 @query()
 def smooth_tracks(spark: SparkSession, sf: str) -> DataFrame:
     out = C.smooth_tracks(tracks(spark, sf))

@@ -154,6 +154,7 @@ add(
 )
 add("online_simplify", sequential.online_simplify, tolerance=N(2, 0, 50))
 add("visvalingam_simplify", sequential.visvalingam_simplify, area=N(2, 0, 10_000))
+add("savgol_unsaturated", compound.savgol_unsaturated, low=N(1, 0, 100), high=N(99, 0, 100), longest=I(15, 3, 99), degree=I(2, 0, 5))
 add("savgol_autotune", compound.savgol_autotune, longest=I(9, 3, 99), degree=I(3, 0, 5))
 
 PRESETS: dict[str, list[Step]] = {

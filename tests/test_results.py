@@ -270,6 +270,39 @@ def test_cells_frame_by_frame(spark, persist, history):
     assert all(got[f] == pytest.approx(want[f]) for f in want)
 
 
+def fitted(y, w, degree):
+    """Least-squares values of windows of ``w`` points, those at the ends from the first and last window."""
+    out = []
+    for i in range(len(y)):
+        a = min(max(i - w // 2, 0), len(y) - w)
+        x = np.arange(w) - (i - a)
+        out.append(np.polyval(np.polyfit(x, y[a : a + w], degree), 0))
+    return np.round(out, 9)
+
+
+def test_savgol_windows_against_fits(spark):
+    r = random.Random(11)
+    rows = []
+    for s in range(12):
+        n = [2, 3, 4, 9, 40][s % 5]
+        rows += [(s, "stroke", t * 100, int(min(100, max(0, r.choice([0, 100, 50 + r.gauss(0, 40)])))), t) for t in range(n)]
+    df = spark.createDataFrame(rows, "series_id long, axis string, at long, pos int, seq long")
+    got = {(x.series_id, x.seq): x.pos for x in compound.savgol_unsaturated(df).collect()}
+    other = {(x.series_id, x.seq): x.pos for x in compound.savgol_autotune(df, 9, 2).where("series_id % 5 = 4").collect()}
+    for s in range(12):
+        y = np.array([x[3] for x in rows if x[0] == s], dtype=float)
+        tried = [(w, fitted(y, w, min(2, w - 1))) for w in range(3, min(15, len(y)) + 1, 2)]
+        counts = [int(((v <= 1) | (v >= 99)).sum()) for _, v in tried]
+        best = tried[counts.index(min(counts))][1] if tried else y
+        want = np.clip(np.rint(best), 0, 100)
+        assert [got[s, i] for i in range(len(y))] == want.tolist()
+        if s % 5 == 4:
+            whole = [np.clip(np.rint(fitted(y, w, 2)), 0, 100) for w in range(3, 10, 2)]
+            ends = [int(((v <= 1) | (v >= 99)).sum()) for v in whole]
+            inside = slice(4, len(y) - 4)
+            assert [other[s, i] for i in range(len(y))][inside] in [v.tolist()[inside] for v in whole] and min(ends) >= 0
+
+
 def test_add_batch_keeps_the_gap(spark):
     r = random.Random(6)
     points = [(1, "stroke", r.randrange(2000), r.randrange(100), i) for i in range(60)]
