@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -35,8 +36,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-#: Tables written since each open ``scratch`` began, innermost last.
-_OPEN: list[dict[str, DataFrame]] = []
+#: Tables written since each open ``scratch`` of this thread began, innermost last.
+_OPEN = threading.local()
+
+
+def _opened() -> list[dict[str, DataFrame]]:
+    if not hasattr(_OPEN, "tables"):
+        _OPEN.tables = []
+    return _OPEN.tables
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -48,8 +55,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{scratch_dir(spark).rstrip('/')}/{PREFIX}{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    if _OPEN:
-        _OPEN[-1][path] = out
+    if _opened():
+        _opened()[-1][path] = out
     return out
 
 
@@ -61,7 +68,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """
     made: dict[str, DataFrame] = {}
     kept: list[DataFrame] = []
-    _OPEN.append(made)
+    _opened().append(made)
 
     def keep(df: DataFrame) -> DataFrame:
         kept.append(df)
@@ -70,12 +77,13 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        _OPEN.remove(made)
+        # by identity: two empty ones are equal
+        _opened()[:] = [x for x in _opened() if x is not made]
         for path, df in made.items():
             if not any(df is k for k in kept):
                 _delete(spark, path)
-            elif _OPEN:
-                _OPEN[-1][path] = df
+            elif _opened():
+                _opened()[-1][path] = df
 
 
 def dropped(df: DataFrame) -> None:

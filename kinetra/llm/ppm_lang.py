@@ -6,10 +6,10 @@ longest known context, a byte not seen there pays the escape and goes one byte s
 code over all 256 bytes. A text's language is the one with the shortest code.
 
 Frozen statistics make a byte's code length a function of the last ``order`` bytes and the byte. Bytes
-that no sample holds are alike in every tree, so they share one symbol; the states (known contexts) and
-symbols are few, and the code lengths of all languages stand in one table of states x symbols x languages
-that is built on the driver and broadcast. Its size is bounded by the sample (``docs_per_language`` documents
-or stretches of at most ``max_chars`` characters in each language): about ten megabytes a language at most. A text is then scored whole with array look-ups.
+that no sample holds are alike in every tree, so they share one symbol. Each language has a table of its own: the state (its longest
+known context) of any three symbols, and the code lengths of its states x symbols. They are built on the driver and broadcast; a
+language's table is bounded by its sample (``docs_per_language`` documents or stretches of at most ``max_chars`` characters), so all
+grow as the languages do. A text is scored whole with two array look-ups a byte and language.
 """
 
 from __future__ import annotations
@@ -33,23 +33,23 @@ BLOCK = 1 << 20
 
 @dataclass
 class Model:
-    """Frozen trees. ``state``: of three symbols (oldest first) in base ``n``; ``bits``: states x symbols x languages."""
+    """Frozen trees. ``states``: for each language the state of three symbols (oldest first) in base ``n``; ``bits``: its states x symbols."""
 
     languages: list[str]
     symbol: np.ndarray
-    state: np.ndarray
-    bits: np.ndarray
+    states: list[np.ndarray]
+    bits: list[np.ndarray]
 
     def code_lengths(self, text: bytes) -> np.ndarray:
         """Bits of the whole text for each language."""
         n = int(self.symbol.max()) + 1
         total = np.zeros(len(self.languages))
-        flat = self.bits.reshape(-1, self.bits.shape[2])
         for i in range(0, len(text), BLOCK):
             head = b"\n\n\n" if i == 0 else text[i - 3 : i]
-            s = self.symbol[np.frombuffer(head + text[i : i + BLOCK], dtype=np.uint8)].astype(np.int64)
-            at = self.state[(s[:-3] * n + s[1:-2]) * n + s[2:-1]]
-            total += flat[at.astype(np.int64) * n + s[3:]].sum(axis=0, dtype=np.float64)
+            s = self.symbol[np.frombuffer(head + text[i : i + BLOCK], dtype=np.uint8)].astype(np.int32)
+            before = (s[:-3] * n + s[1:-2]) * n + s[2:-1]
+            for k, (state, bits) in enumerate(zip(self.states, self.bits, strict=True)):
+                total[k] += bits.ravel()[state[before].astype(np.int64) * n + s[3:]].sum(dtype=np.float64)
         return total
 
     def predict(self, text: bytes) -> tuple[str, float]:
@@ -84,18 +84,16 @@ def build(samples: dict[str, list[bytes]], order: int = 3) -> Model:
             for k in range(order + 1):
                 tree[context[3 - k :]][x] += count
         trees.append(tree)
-    states = sorted({c for t in trees for c in t} | {()}, key=lambda c: (len(c), c))
-    number = {c: i for i, c in enumerate(states)}
-    # the state of three symbols is their longest suffix that any tree knows: shorter ones first, longer ones over them
-    state = np.zeros(n**3, dtype=np.int32)
-    cube = state.reshape(n, n, n)
-    for c, i in number.items():
-        cube[(slice(None),) * (3 - len(c)) + c] = i
-    bits = np.zeros((len(states), n, len(languages)), dtype=np.float32)
-    for k, tree in enumerate(trees):
-        for c, i in number.items():
-            bits[i, :, k] = _code_lengths(tree, c, n)
-    return Model(languages, symbol, state, bits)
+    states, bits = [], []
+    for tree in trees:
+        known = sorted({*tree, ()}, key=lambda c: (len(c), c))
+        # the state of three symbols is their longest suffix that the tree knows: shorter ones first, longer ones over them
+        cube = np.zeros((n, n, n), dtype=np.int32)
+        for i, c in enumerate(known):
+            cube[(slice(None),) * (3 - len(c)) + c] = i
+        states.append(cube.ravel())
+        bits.append(np.stack([_code_lengths(tree, c, n) for c in known]).astype(np.float32))
+    return Model(languages, symbol, states, bits)
 
 
 def _code_lengths(tree: dict, context: tuple[int, ...], n: int) -> np.ndarray:
