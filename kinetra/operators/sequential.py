@@ -51,10 +51,13 @@ def recording_simplify(df: DataFrame, tolerance: float = 2) -> DataFrame:
 
 
 def visvalingam_simplify(df: DataFrame, area: float = 2) -> DataFrame:
-    """Extrema first, then the smallest triangles."""
+    """Both ends and the extrema of prominence 1 first, then the smallest triangles; under three points all stay."""
 
     def mask(at: np.ndarray, pos: np.ndarray) -> np.ndarray:
-        keep = K.extrema(pos) if len(pos) > 2 else np.ones(len(pos), dtype=bool)
+        keep = np.ones(len(pos), dtype=bool)
+        if len(pos) > 2:
+            keep[1:-1] = False
+            keep[np.concatenate([K.find_peaks(pos, prominence=1), K.find_peaks(-pos.astype(float), prominence=1)]).astype(int)] = True
         place = np.flatnonzero(keep)
         keep[place[~K.visvalingam(at[place], pos[place], area)]] = False
         return keep

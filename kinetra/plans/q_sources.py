@@ -35,10 +35,20 @@ def read_embedded_axes(spark: SparkSession, sf: str) -> DataFrame:
     return R.read_embedded_axes(R.parse(docs), ["series_id"]).select("series_id", "axis", "at", "pos")
 
 
-@query(f"WITH {AXES_SQL}\nSELECT series_id, count(*) FILTER (WHERE axis = 'click') AS primary_points, count(DISTINCT axis) FILTER (WHERE axis <> 'click') AS axes FROM points GROUP BY 1")
+@query(f"""WITH {AXES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY series_id, axis ORDER BY at, seq, pos) - 1 AS i FROM points),
+n AS (SELECT series_id, axis, row_number() OVER (PARTITION BY series_id ORDER BY axis) - 1 AS place FROM (SELECT DISTINCT series_id, axis FROM points WHERE axis <> 'click'))
+SELECT r.series_id, coalesce(n.place, -1) AS place, CASE WHEN r.axis = 'click' THEN '' ELSE r.axis || ' ' || r.axis END AS name, CAST(r.i AS INTEGER) AS i, r.at, r.pos
+FROM r LEFT JOIN n ON r.series_id = n.series_id AND r.axis = n.axis""")
 def write_scripts_unified(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = R.parse(R.unified_documents(points(spark, sf, None), primary="click"))
-    return parsed.select("series_id", F.size("script.actions").cast("long").alias("primary_points"), F.size("script.axes").cast("long").alias("axes"))
+    """All points of the documents with their places: those at the root, and those of each axis with its codes and name."""
+    text = R.unified_documents(points(spark, sf, None), primary="click")
+    kind = "actions ARRAY<STRUCT<at: BIGINT, pos: INT>>"
+    doc = text.select("series_id", F.from_json("value", f"{kind}, axes ARRAY<STRUCT<axes: ARRAY<STRING>, name: STRING, {kind.replace(' ', ': ', 1)}>>").alias("d"))
+    axes = doc.select("series_id", F.posexplode("d.axes").alias("place", "x"))
+    axes = axes.select("series_id", F.col("place").cast("long").alias("place"), F.concat_ws(" ", "x.axes", "x.name").alias("name"), F.col("x.actions").alias("actions"))
+    root = doc.select("series_id", F.lit(-1).cast("long").alias("place"), F.lit("").alias("name"), F.col("d.actions").alias("actions"))
+    rows = root.unionByName(axes).select("series_id", "place", "name", F.posexplode("actions").alias("i", "p"))
+    return rows.select("series_id", "place", "name", "i", "p.at", "p.pos")
 
 
 @query(
