@@ -73,22 +73,61 @@ def speed_limit_selected(spark: SparkSession, sf: str) -> DataFrame:
     return Q.speed_limit_selected(points(spark, sf), F.col("pos") > 20, 30)
 
 
-@query()
+#: n with the neighbours' times and positions.
+NEAR = f"m AS (SELECT *, lead(at) OVER {S} AS nt, lead(pos) OVER {S} AS np, lag(at) OVER {S} AS pt FROM n)"
+NEXT = "r JOIN m n ON n.series_id = r.series_id AND n.axis = r.axis AND n.i = r.i + 1"
+
+
+def _nearer(p: str, q: str, reach: str) -> str:
+    """Of a point out of reach of another the place in reach, if it is the one that gives way."""
+    return f"CASE WHEN abs({p} - {q}) > {reach} AND sign({p} - {q}) * ({p} + {q} - 100) <= 0 THEN {q} + sign({p} - {q}) * floor({reach}) ELSE {p} END"
+
+
+@query(
+    _recursive(f"""{NEAR}, r AS (
+  SELECT series_id, axis, i, at, pos::DOUBLE AS pos, seq FROM m WHERE i = 1
+  UNION ALL SELECT series_id, axis, i, at, CASE WHEN i = c THEN pos ELSE {_nearer('p1', 'q', '0.04::DOUBLE * (at - pt)')} END, seq
+  FROM (SELECT n.*, r.pos AS q, {_nearer('n.pos', 'n.np', '0.04::DOUBLE * (n.nt - n.at)')} AS p1 FROM {NEXT}))
+SELECT series_id, axis, at, CAST(pos AS INTEGER) AS pos, seq FROM r""")
+)
 def directional_speed_limit(spark: SparkSession, sf: str) -> DataFrame:
     return Q.directional_speed_limit(points(spark, sf), 40)
 
 
-@query()
+@query(
+    _recursive(f"""{NEAR}, b AS (SELECT series_id, axis, min(pos) AS lo, max(pos) AS hi FROM (
+    SELECT *, min(CASE WHEN at > 20000 THEN i END) OVER {G} AS f, count(*) FILTER (WHERE at > 20000) OVER {G} AS k FROM n) WHERE k > 1 AND i BETWEEN f - 4 AND f - 1 GROUP BY ALL),
+  r AS (
+  SELECT series_id, axis, i, at, pos, seq FROM m WHERE i = 1
+  UNION ALL SELECT n.series_id, n.axis, n.i, n.at, CASE WHEN n.at <= 20000 OR b.lo IS NULL THEN n.pos WHEN n.pos > r.pos AND (n.i = n.c OR n.pos > n.np) THEN b.hi
+    WHEN n.pos < r.pos AND (n.i = n.c OR n.pos < n.np) THEN b.lo ELSE n.pos END, n.seq
+  FROM {NEXT} LEFT JOIN b ON b.series_id = n.series_id AND b.axis = n.axis)
+SELECT series_id, axis, at, pos, seq FROM r""")
+)
 def continue_minmax(spark: SparkSession, sf: str) -> DataFrame:
     return Q.continue_minmax(points(spark, sf), F.col("at") > 20000)
 
 
-@query()
+@query(
+    _recursive(f"""{NEAR}, r AS (
+  SELECT series_id, axis, i, CASE WHEN pos > 40 THEN greatest(coalesce(pt + 1, 0), at + 700) ELSE at END AS at, pos, seq FROM m WHERE i = c
+  UNION ALL SELECT n.series_id, n.axis, n.i, CASE WHEN n.pos > 40 THEN least(r.at - 1, greatest(coalesce(n.pt + 1, 0), n.at + 700)) ELSE n.at END, n.pos, n.seq
+  FROM r JOIN m n ON n.series_id = r.series_id AND n.axis = r.axis AND n.i = r.i - 1)
+SELECT series_id, axis, at, pos, seq FROM r""")
+)
 def nudge_time_selected(spark: SparkSession, sf: str) -> DataFrame:
     return Q.nudge_time_selected(points(spark, sf), F.col("pos") > 40, 700)
 
 
-@query()
+@query(
+    _recursive("""r AS (
+  SELECT series_id, axis, i, at, pos, seq, NULL::BIGINT AS a0, NULL::INTEGER AS p0, NULL::BIGINT AS oa, NULL::INTEGER AS op, NULL::BIGINT AS os FROM n WHERE i = 1
+  UNION ALL SELECT series_id, axis, ni, na, np, ns, CASE WHEN d THEN a0 ELSE at END, CASE WHEN d THEN p0 ELSE pos END, CASE WHEN d THEN NULL ELSE at END, CASE WHEN d THEN NULL ELSE pos END, CASE WHEN d THEN NULL ELSE seq END
+  FROM (SELECT r.*, n.i AS ni, n.at AS na, n.pos AS np, n.seq AS ns, coalesce((r.pos - r.p0) * (r.pos - n.pos) <= 0 AND abs((r.at - r.a0) * (n.pos - r.p0) - (n.at - r.a0) * (r.pos - r.p0)) <= 2 * (n.at - r.a0), false) AS d
+    FROM r JOIN n ON n.series_id = r.series_id AND n.axis = r.axis AND n.i = r.i + 1))
+SELECT series_id, axis, oa AS at, op AS pos, os AS seq FROM r WHERE oa IS NOT NULL
+UNION ALL SELECT series_id, axis, at, pos, seq FROM r QUALIFY i = max(i) OVER (PARTITION BY series_id, axis)""")
+)
 def online_simplify(spark: SparkSession, sf: str) -> DataFrame:
     return Q.online_simplify(points(spark, sf), 2)
 
