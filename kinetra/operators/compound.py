@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kinetra.operators import kernels as K
 from kinetra.operators.groups import Change, change_series, grouped
+from kinetra.operators.joins import iou
 from kinetra.operators.windows import reversal_peaks, savgol, savgol_weights
 from kinetra.schema import KEY, series
 
@@ -92,6 +93,16 @@ def match_peaks(main: DataFrame, ref: DataFrame, window: float = 500, tolerance:
     return grouped(side(main, 0).unionByName(side(ref, 1)), KEY, run, schema)
 
 
+def overlay_pairs(boxes: DataFrame, least: float = 0.1) -> DataFrame:
+    """``(series_id, frame_id, a_id, b_id, iou)``: boxes of one class in a stored frame and the next one, with an IoU of ``least`` or more."""
+    place = F.dense_rank().over(Window.partitionBy("series_id").orderBy("frame_id"))
+    rows = boxes.where("class_name is not null").withColumn("_place", place)
+    side = lambda df, p: df.select("series_id", "_place", "class_name", F.col("frame_id").alias(f"{p}frame"), *[F.col(c).alias(f"{p}{c}") for c in ("x1", "y1", "x2", "y2", "box_id")])
+    met = side(rows, "a_").join(side(rows.withColumn("_place", F.col("_place") - 1), "b_"), ["series_id", "_place", "class_name"])
+    found = met.select("series_id", F.col("a_frame").alias("frame_id"), F.col("a_box_id").alias("a_id"), F.col("b_box_id").alias("b_id"), F.round(iou("a_", "b_"), 9).alias("iou"))
+    return found.where(F.col("iou") >= least)
+
+
 def overlay_match(pairs: DataFrame) -> DataFrame:
     """Greedy best pairs of candidate rows ``(series_id, frame_id, a_id, b_id, iou)``: highest first, each box once."""
 

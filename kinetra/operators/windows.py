@@ -73,11 +73,12 @@ def reversal_peaks(df: DataFrame, tolerance: float = 2) -> DataFrame:
 def plateau_anchors(df: DataFrame) -> DataFrame:
     """Ends, strict extrema, and the middle point (the left one of two) of a flat run that is an extremum."""
     rows = df.withColumn("_new", F.coalesce((F.col("pos") != F.lag("pos").over(series())).cast("int"), F.lit(1)))
-    rows = rows.withColumns({"_run": F.sum("_new").over(series()), "_i": F.row_number().over(series())})
+    before, after = around()
+    rows = rows.withColumns({"_run": F.sum("_new").over(series()), "_i": F.row_number().over(series()), "_before": before, "_after": after})
+    # the points beside a run are those beside its first and last point, told to all of it without another exchange
     run = Window.partitionBy(*KEY, "_run")
     rows = rows.withColumns({"_f": F.min("_i").over(run), "_l": F.max("_i").over(run), "_m": F.max("_i").over(whole())})
-    runs = rows.where("_i = _f").select(*KEY, "_run", F.lag("pos").over(series()).alias("_b"), F.lead("pos").over(series()).alias("_n"))
-    rows = rows.join(runs, [*KEY, "_run"])
+    rows = rows.withColumns({"_b": F.max(F.when(F.col("_i") == F.col("_f"), F.col("_before"))).over(run), "_n": F.max(F.when(F.col("_i") == F.col("_l"), F.col("_after"))).over(run)})
     p, b, n = F.col("pos"), F.col("_b"), F.col("_n")
     turn = F.coalesce(((p > b) & (p > n)) | ((p < b) & (p < n)), F.lit(False))
     end = (F.col("_i") == 1) | (F.col("_i") == F.col("_m"))

@@ -9,7 +9,6 @@ from kinetra.operators import beats as B
 from kinetra.operators import comparison as Z
 from kinetra.operators import compound as C
 from kinetra.operators import editing as E
-from kinetra.operators import joins as J
 from kinetra.plans.base import on_points, points, query
 from kinetra.plans.q_editing import FRAMES, RUNS, frame_chapters, frames, on_fc
 from kinetra.plans.q_joins import boxes, chapters, samples
@@ -49,13 +48,10 @@ def match_peaks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def overlay_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Boxes of one class in frames one after the other."""
+    """Boxes of one class in stored frames one after the other."""
     b = boxes(spark, sf)
     b = b.withColumn("box_id", F.xxhash64("box_id", "x1", "y1", "frame_id")).withColumn("frame_id", F.floor(F.col("frame_id") / 100).cast("long"))
-    side = lambda df, p: df.select("series_id", "frame_id", *[F.col(c).alias(f"{p}{c}") for c in ("x1", "y1", "x2", "y2", "class_name", "box_id")])
-    pairs = side(b, "a_").join(side(b.withColumn("frame_id", F.col("frame_id") - 1), "b_"), ["series_id", "frame_id"]).where("a_class_name = b_class_name")
-    pairs = pairs.select("series_id", "frame_id", F.col("a_box_id").alias("a_id"), F.col("b_box_id").alias("b_id"), F.round(J.iou("a_", "b_"), 9).alias("iou"))
-    return C.overlay_match(pairs.where("iou >= 0.1"))
+    return C.overlay_match(C.overlay_pairs(b))
 
 
 @query(

@@ -24,6 +24,23 @@ def test_chapters_merge_adds_in_order(spark):
     assert sorted(map(tuple, got)) == sorted(kept) and len(kept) > len(old)
 
 
+def test_overlay_pairs_of_stored_frames(spark):
+    """Frames that are stored one after the other, whatever their numbers, boxes of one class only."""
+    r = random.Random(8)
+    rows = [(s, f, k, r.choice("AB"), r.uniform(0, 60), r.uniform(0, 60)) for s in range(3) for f in (1, 2, 5, 9, 10) for k in range(8)]
+    df = spark.createDataFrame([(*x, x[4] + 30, x[5] + 30) for x in rows], "series_id long, frame_id long, box_id long, class_name string, x1 double, y1 double, x2 double, y2 double")
+    got = {(x.series_id, x.frame_id, x.a_id, x.b_id): x.iou for x in compound.overlay_pairs(df, 0.1).collect()}
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[3] == b[3] and {1: 2, 2: 5, 5: 9, 9: 10}.get(a[1]) == b[1]:
+                w, h = 30 - abs(a[4] - b[4]), 30 - abs(a[5] - b[5])
+                v = w * h / (1800 - w * h) if w > 0 and h > 0 else 0
+                if v >= 0.1:
+                    want[a[0], a[1], a[2], b[2]] = v
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want) and want
+
+
 def test_overlay_match_takes_the_best_pairs(spark):
     r = random.Random(4)
     rows = [(1, f, a, 10 + b, round(r.random(), 6)) for f in range(8) for a in range(5) for b in range(5) if r.random() < 0.7]
