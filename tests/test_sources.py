@@ -94,3 +94,43 @@ def test_label_persistence(spark):
     df = spark.createDataFrame(rows, "series_id long, frame_id long, label string, pose array<struct<x: double, y: double, conf: double>>, area double")
     got = [r.label for r in D.label_persistence(df, "idle", {"a": [0, 1, 2]}).orderBy("series_id", "frame_id").collect()]
     assert got == ["a", "a", "a", "idle", "idle", "b", "idle", "a", "idle"]
+
+
+def plain_axis(at, pos, axis, smoothing):
+    """A derived axis from its description, a point at a time."""
+    n = len(at)
+    v = [(pos[i + 1] - pos[i]) / ((at[i + 1] - at[i]) or 1) for i in range(n - 1)]
+    v.append(v[-1])
+
+    def mean(x, i, size):
+        places = range(i - size // 2, i + size - size // 2)
+        mirror = lambda k: (k % (2 * n)) if k % (2 * n) < n else 2 * n - 1 - k % (2 * n)
+        return sum(x[mirror(k)] for k in places) / size
+
+    def around(x, k):
+        return [mean(x, i, max(3, int(smoothing * k))) for i in range(n)]
+
+    if axis == "roll":
+        return [50 + 40 * y for y in around([(s > 0) - (s < 0) for s in v], 2)]
+    if axis == "pitch":
+        a = [v[i + 1] - v[i] for i in range(n - 1)]
+        a = around([*a, a[-1]], 3)
+        spread = 3 * (sum((x - sum(a) / n) ** 2 for x in a) / n) ** 0.5
+        return [50 + 40 * min(1, max(-1, x / spread if spread > 0 else x)) for x in a]
+    if axis == "sway":
+        x = around(pos, 5)
+        x = [y - sum(x) / n for y in x]
+        most = max(map(abs, x))
+        return [50 + 30 * (y / most if most > 0 else y) for y in x]
+    reach = max(3, int(smoothing * 3))
+    top = around([max(abs(s) for s in v[max(0, i - reach) : i + 1]) for i in range(n)], 2)
+    return [50 + 60 * ((y / max(top) if max(top) > 0 else y) - 0.5) for y in top]
+
+
+@pytest.mark.parametrize("axis", ["roll", "pitch", "sway", "surge"])
+def test_generated_axes_point_by_point(axis):
+    r = np.random.default_rng(7)
+    for n, smoothing in ((4, 5), (9, 1), (60, 3.5), (150, 5)):
+        at, pos = np.cumsum(r.integers(0, 200, n)), r.integers(0, 101, n)
+        assert D.generated_axis(at, pos, axis, smoothing=smoothing).tolist() == pytest.approx(plain_axis(at.tolist(), pos.tolist(), axis, smoothing))
+    assert D.generated_axis(np.arange(5) * 100, np.full(5, 40), axis).tolist() == pytest.approx(plain_axis([0, 100, 200, 300, 400], [40] * 5, axis, 5))
