@@ -165,7 +165,7 @@ def problem_sections(main: DataFrame, ref: DataFrame, window: int = 500, limit:
     return bad.groupBy(*KEY, "section").agg(F.min("from").alias("start_ms"), (F.max("from") + window).alias("end_ms"), F.avg("mae").alias("mae"))
 
 
-#: Milliseconds of a block of impulses that is transformed at once.
+#: Milliseconds of a block of impulses that is transformed at once; up to as many pairs are counted one by one.
 LAG_BLOCK = 1 << 20
 
 
@@ -173,9 +173,12 @@ def _correlation_peak(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """The lag ``a - b`` (times in ms) that most pairs have, the least of equally common ones, and how many have it.
 
     Both impulse trains are cut into blocks; blocks that lie equally far apart add up before they are transformed back, and
-    where the lags of two such sums overlap these are added. Correlations are counts, so rounding makes them exact.
+    where the lags of two such sums overlap these are added. Correlations are counts, so rounding makes them exact. Few pairs need no blocks.
     """
     size = LAG_BLOCK
+    if len(a) * len(b) <= size:
+        lags, hits = np.unique(np.subtract.outer(a, b), return_counts=True)
+        return int(lags[hits.argmax()]), int(hits.max())
 
     def spectra(t: np.ndarray) -> dict[int, np.ndarray]:
         out = {}
@@ -201,8 +204,8 @@ def _correlation_peak(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 def signal_offset(main: DataFrame, ref: DataFrame, least: int = 5, prominence: float = 5) -> DataFrame:
     """The lag (ms, any) at which most prominent extrema of both series meet, ties to the smallest, and their number.
 
-    Series with under ``least`` extrema on a side have no row. A series is correlated in one task, in blocks; it needs 16 bytes for each
-    millisecond of its blocks that hold extrema.
+    Series with under ``least`` extrema on a side have no row. A series is correlated in one task, by its pairs if they are few, else in
+    blocks, which need 16 bytes for each millisecond of those that hold extrema.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

@@ -389,3 +389,14 @@ def test_steps_by_hand():
         a, z = min(low, -0.2), max(high, 0.2)
         part = min(1, max(-1, 2 * (m - a) / (z - a) - 1))
         assert scale.feed(0, v) == int(min(100, max(0, 50 + part * 40)))
+
+
+def test_signal_offset_counts_few_pairs_without_blocks(monkeypatch):
+    """Few pairs are counted one by one; both ways give the same lag."""
+    r = random.Random(2)
+    cases = [(np.array(sorted(r.sample(range(9_000), n))), np.array(sorted(r.sample(range(9_000), m)))) for n, m in ((5, 7), (40, 30), (90, 80))]
+    monkeypatch.setattr(stats.np.fft, "rfft", None)
+    few = [stats._correlation_peak(a, b) for a, b in cases]
+    monkeypatch.undo()
+    monkeypatch.setattr(stats, "LAG_BLOCK", 16)
+    assert few == [stats._correlation_peak(a, b) for a, b in cases]
