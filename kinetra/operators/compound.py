@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetra.operators import kernels as K
-from kinetra.operators.groups import Change, change_series, grouped
+from kinetra.operators.groups import Change, change_series, dealt, grouped
 from kinetra.operators.joins import iou
 from kinetra.operators.windows import reversal_peaks, savgol, savgol_weights
 from kinetra.schema import KEY, series
@@ -106,17 +108,21 @@ def overlay_pairs(boxes: DataFrame, least: float = 0.1) -> DataFrame:
 def overlay_match(pairs: DataFrame) -> DataFrame:
     """Greedy best pairs of candidate rows ``(series_id, frame_id, a_id, b_id, iou)``: highest first, each box once."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["iou", "a_id", "b_id"], ascending=[False, True, True], kind="stable")
-        a, b, keep = set(), set(), []
-        for i, j in zip(rows["a_id"].tolist(), rows["b_id"].tolist(), strict=True):
-            keep.append(i not in a and j not in b)
-            if keep[-1]:
-                a.add(i)
-                b.add(j)
-        return rows[keep]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frame, a, b = None, set(), set()
+        for rows in batches:
+            keep = []
+            for *own, i, j in zip(*(rows.column(c).to_pylist() for c in ("series_id", "frame_id", "a_id", "b_id")), strict=True):
+                if own != frame:
+                    frame, a, b = own, set(), set()
+                keep.append(i not in a and j not in b)
+                if keep[-1]:
+                    a.add(i)
+                    b.add(j)
+            yield rows.filter(pa.array(keep, pa.bool_()))
 
-    return grouped(pairs, ("series_id", "frame_id"), run, pairs.schema)
+    best = F.desc_nulls_last(F.when(~F.isnan("iou"), F.col("iou")))
+    return dealt(pairs, ("series_id", "frame_id"), (best, F.asc_nulls_last("a_id"), F.asc_nulls_last("b_id"))).mapInArrow(run, pairs.schema)
 
 
 def chapters_merge(existing: DataFrame, incoming: DataFrame, mode: str = "merge") -> DataFrame:
@@ -216,22 +222,45 @@ def segments_stabilise(runs: DataFrame, fps: float, idle: str, merge: tuple[str,
     return grouped(runs, ("series_id",), run, "series_id long, start_frame long, end_frame long, label string")
 
 
-def _rts(z: np.ndarray, t: np.ndarray, noise: float, drift: float) -> np.ndarray:
-    """Constant-velocity Kalman filter and the backward pass over it."""
-    n = len(z)
-    x, p = np.array([z[0], 0.0]), np.diag([noise, 1.0])
-    xs, ps, xp, pp, fs = np.zeros((n, 2)), np.zeros((n, 2, 2)), np.zeros((n, 2)), np.zeros((n, 2, 2)), np.zeros((n, 2, 2))
-    for i in range(n):
-        dt = float(t[i] - t[i - 1]) if i else 0.0
-        f = np.array([[1, dt], [0, 1]])
-        x, p = f @ x, f @ p @ f.T + drift * np.array([[dt**3 / 3, dt**2 / 2], [dt**2 / 2, dt]])
-        xp[i], pp[i], fs[i] = x, p, f
-        gain = p[:, 0] / (p[0, 0] + noise)
-        x, p = x + gain * (z[i] - x[0]), p - np.outer(gain, p[0])
-        xs[i], ps[i] = x, p
-    for i in range(n - 2, -1, -1):
-        xs[i] = xs[i] + ps[i] @ fs[i + 1].T @ np.linalg.pinv(pp[i + 1]) @ (xs[i + 1] - xp[i + 1])
-    return xs[:, 0]
+def _rts(signals: np.ndarray, t: np.ndarray, noise: float, drift: float) -> np.ndarray:
+    """Constant-velocity Kalman filter and the backward pass over it, for each row of ``signals``.
+
+    Covariances and gains depend on the times alone, so all signals of a track share them; 2 x 2 matrices are written out.
+    """
+    gaps = [0.0, *np.diff(t).astype(float).tolist()]
+    a, b, c = float(noise), 0.0, 1.0  # the covariance (a, b; b, c)
+    gains, back = [], []
+    for i, dt in enumerate(gaps):
+        # a, b, c of the step before, then predicted
+        pa, pb, pc = a + 2 * dt * b + dt * dt * c + drift * dt**3 / 3, b + dt * c + drift * dt**2 / 2, c + drift * dt
+        if i:
+            det = pa * pc - pb * pb
+            if det > 1e-14 * pa * pc:
+                inv = pc / det, -pb / det, pa / det
+            else:
+                inv = tuple(np.linalg.pinv(np.array([[pa, pb], [pb, pc]])).ravel()[[0, 1, 3]].tolist())
+            u, v = a + dt * b, b + dt * c
+            back.append((u * inv[0] + b * inv[1], u * inv[1] + b * inv[2], v * inv[0] + c * inv[1], v * inv[1] + c * inv[2]))
+        g, h = pa / (pa + noise), pb / (pa + noise)
+        gains.append((g, h))
+        a, b, c = pa - g * pa, pb - g * pb, pc - h * pb
+    out = []
+    for z in signals.tolist():
+        x, s = z[0], 0.0
+        seen, told = [], []
+        for value, dt, (g, h) in zip(z, gaps, gains, strict=True):
+            x += dt * s
+            told.append((x, s))
+            off = value - x
+            x, s = x + g * off, s + h * off
+            seen.append((x, s))
+        done = [x]
+        for (x0, s0), (x1, s1), (k, m, n, o) in zip(reversed(seen[:-1]), reversed(told[1:]), reversed(back), strict=True):
+            e, f = x - x1, s - s1
+            x, s = x0 + k * e + m * f, s0 + n * e + o * f
+            done.append(x)
+        out.append(done[::-1])
+    return np.array(out)
 
 
 def _lagged(sizes: np.ndarray, frames: np.ndarray, lag: float) -> np.ndarray:
@@ -248,17 +277,17 @@ def smooth_tracks(boxes: DataFrame, noise: float = 1.0, drift: float = 0.1, leas
     Tracks under ``least`` boxes stay as they are.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame_id", kind="stable")
-        if len(rows) < least:
-            return rows
-        t = rows["frame_id"].to_numpy()
-        x1, y1, x2, y2 = (rows[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2"))
-        cx, cy, w, h = (_rts(z, t, noise, drift) for z in ((x1 + x2) / 2, (y1 + y2) / 2, x2 - x1, y2 - y1))
+    def change(rows: dict[str, np.ndarray]) -> Change:
+        t = rows["frame_id"]
+        if len(t) < least:
+            return None, {c: rows[c] for c in corners}
+        x1, y1, x2, y2 = (rows[c].astype(float) for c in corners)
+        cx, cy, w, h = _rts(np.stack([(x1 + x2) / 2, (y1 + y2) / 2, x2 - x1, y2 - y1]), t, noise, drift)
         w, h = (_lagged(np.maximum(z, 1), t, lag) for z in (w, h))
-        return rows.assign(x1=cx - w / 2, y1=cy - h / 2, x2=cx + w / 2, y2=cy + h / 2)
+        return None, {"x1": cx - w / 2, "y1": cy - h / 2, "x2": cx + w / 2, "y2": cy + h / 2}
 
-    return grouped(boxes, ("series_id", "track_id"), run, boxes.schema)
+    corners = ("x1", "y1", "x2", "y2")
+    return change_series(boxes, change, ("frame_id", *corners), ("series_id", "track_id"), ("frame_id",))
 
 
 def _savgol(y: np.ndarray, window: int, degree: int) -> np.ndarray:

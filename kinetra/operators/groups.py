@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 from kinetra.schema import KEY
@@ -56,7 +56,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> It
         yield pa.Table.from_batches(held), np.zeros(1, dtype=np.int64)
 
 
-def dealt(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+def dealt(df: DataFrame, keys: tuple[str, ...], order: tuple[str | Column, ...]) -> DataFrame:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
 
@@ -79,7 +79,7 @@ def change_series(df: DataFrame, step: Step, columns: tuple[str, ...] = ("at", "
             out = table.take(pa.array(np.concatenate(kept)))
             for c, v in new.items():
                 at = names.index(c)
-                out = out.set_column(at, table.schema.field(at), pa.array(np.concatenate(v)).cast(table.schema.field(at).type))
+                out = out.set_column(at, table.schema.field(at), pa.array(np.concatenate(v), from_pandas=True).cast(table.schema.field(at).type))
             yield from out.to_batches()
 
     return dealt(df, keys, order).mapInArrow(run, df.schema)

@@ -400,3 +400,36 @@ def test_signal_offset_counts_few_pairs_without_blocks(monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(stats, "LAG_BLOCK", 16)
     assert few == [stats._correlation_peak(a, b) for a, b in cases]
+
+
+def test_smoothing_shares_gains_between_signals():
+    """One pass for all signals of a track, as the matrices have it."""
+    r = np.random.default_rng(5)
+    t, z = np.cumsum(r.integers(0, 9, 40)), r.normal(50, 9, (4, 40))
+    got = compound._rts(z, t, 1.0, 0.1)
+    for own, y in zip(z, got, strict=True):
+        x, p, told, seen = np.array([own[0], 0.0]), np.diag([1.0, 1.0]), [], []
+        for i, v in enumerate(own):
+            dt = float(t[i] - t[i - 1]) if i else 0.0
+            f = np.array([[1, dt], [0, 1]])
+            x, p = f @ x, f @ p @ f.T + 0.1 * np.array([[dt**3 / 3, dt**2 / 2], [dt**2 / 2, dt]])
+            told.append((x, p, f))
+            gain = p[:, 0] / (p[0, 0] + 1.0)
+            x, p = x + gain * (v - x[0]), p - np.outer(gain, p[0])
+            seen.append((x, p))
+        want = [x]
+        for (x, p), (x1, p1, f) in zip(seen[-2::-1], told[:0:-1], strict=True):
+            want.append(x + p @ f.T @ np.linalg.inv(p1) @ (want[-1] - x1))
+        assert np.allclose(y, [w[0] for w in want[::-1]], atol=1e-9)
+
+
+def test_overlay_match_makes_no_frame_for_a_group(spark, monkeypatch):
+    """One pass over sorted rows; a frame may go over the end of a batch, and a pair without an IoU comes last."""
+    monkeypatch.setattr(compound, "grouped", None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        rows = [(1, 1, 1, 1, 0.5), (1, 1, 1, 2, 0.9), (1, 1, 2, 2, 0.8), (1, 1, 2, 1, 0.3), (1, 2, 1, 1, 0.2), (1, 2, 1, 2, float("nan"))]
+        got = compound.overlay_match(spark.createDataFrame(rows, "series_id long, frame_id long, a_id long, b_id long, iou double")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(tuple(x)[1:4] for x in got) == [(1, 1, 2), (1, 2, 1), (2, 1, 1)]
