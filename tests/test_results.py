@@ -391,6 +391,16 @@ def test_steps_by_hand():
         assert scale.feed(0, v) == int(min(100, max(0, 50 + part * 40)))
 
 
+def test_densify_shuffles_the_given_frames_only(spark):
+    """Every frame of wide gaps, made behind the one exchange; null values and a second row of a frame."""
+    rows = [(1, 0, 1, "a"), (1, 0, 2, "b"), (1, 10_000, 3, None), (1, 10_003, 4, "c"), (2, 5, 1, None)]
+    out = tracks.densify(spark.createDataFrame(rows, "series_id long, frame_id long, seq long, pose string"), "pose")
+    got = {(x.series_id, x.frame_id): x.pose for x in out.collect()}
+    assert got == {(1, f): "a" for f in range(10_003)} | {(1, 10_003): "c", (2, 5): None}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.index("Generate") < plan.index("Exchange")  # the plan prints the last step first
+
+
 def test_signal_offset_counts_few_pairs_without_blocks(monkeypatch):
     """Few pairs are counted one by one; both ways give the same lag."""
     r = random.Random(2)
@@ -433,3 +443,21 @@ def test_overlay_match_makes_no_frame_for_a_group(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(tuple(x)[1:4] for x in got) == [(1, 1, 2), (1, 2, 1), (2, 1, 1)]
+
+
+def test_segment_normalize_weighs_equal_neighbours_as_sql_does(spark):
+    """The quantile of two equal values can lie just beside them, which decides which values are the middle."""
+    import duckdb
+
+    from kinetra.plans.q_tracks import segment_normalize  # noqa: F401 registers the SQL
+    from kinetra.plans.base import ORACLES
+
+    r = random.Random(7)
+    groups = [[13, 13, 16, 18, 21, 28, 38, 42, 55, 100]] + [[r.choice([15, r.randint(0, 100)]) for _ in range(r.randint(1, 25))] for _ in range(200)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (user_id BIGINT, event_id BIGINT, ts BIGINT, value DOUBLE)")
+    con.executemany("INSERT INTO events VALUES (?, ?, ?, ?)", [(u, i, i, v) for u, own in enumerate(groups) for i, v in enumerate(own)])
+    want = {x[:2]: x[2] for x in con.execute(f"SELECT series_id, frame_id, out FROM ({ORACLES['segment_normalize']})").fetchall()}
+    rows = [(u, i, 0, "busy", v) for u, own in enumerate(groups) for i, v in enumerate(own)]
+    got = tracks.segment_normalize(spark.createDataFrame(rows, "series_id long, frame_id long, segment long, label string, value int"), ["idle"]).collect()
+    assert {(x.series_id, x.frame_id): x.out for x in got} == want
