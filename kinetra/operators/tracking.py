@@ -1,4 +1,4 @@
-"""Boxes to tracks, frame by frame, one series in a task.
+"""Boxes to tracks, frame by frame, one series in a task; of its boxes only those of a batch are held.
 
 A track is tentative until it was seen often enough, then active; unseen for a while it is lost and may be identified again where it
 was lost; the place of a loss is closed to new tracks for a moment. A track keeps the frame since which it counts as unseen, so what
@@ -7,14 +7,16 @@ becomes of it follows from the frame's number, and frames without boxes cost not
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetra.operators.groups import grouped
+from kinetra.operators.groups import dealt, whole_groups
 
 
 @dataclass(frozen=True)
@@ -55,6 +57,20 @@ def iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(shared, union, out=np.zeros(np.shape(shared)), where=(shared > 0) & (union > 0))
 
 
+def overlap(a: tuple[float, ...], b: tuple[float, ...]) -> float:
+    """``iou`` of two boxes: for the few boxes of a frame plain numbers are faster than arrays."""
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    if not (w > 0 and h > 0):
+        return 0.0
+    shared = w * h
+    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - shared
+    return shared / union if shared > 0 and union > 0 else 0.0
+
+
+def _far(a: tuple[float, ...], b: tuple[float, ...]) -> float:
+    return float(np.hypot((a[0] + a[2]) / 2 - (b[0] + b[2]) / 2, (a[1] + a[3]) / 2 - (b[1] + b[3]) / 2))
+
+
 class Pools:
     """The tracks of one series by id: tentative, active and lost ones, each in the order in which they are served."""
 
@@ -65,60 +81,66 @@ class Pools:
         self.lost: dict[int, dict] = {}
         self.closed: list[tuple[int, str, np.ndarray]] = []
 
-    def step(self, frame: int, names: list[str], boxes: np.ndarray, confidence: np.ndarray) -> list[tuple[int, str] | None]:
+    def step(self, frame: int, names: list[str], boxes: list[tuple[float, ...]], confidence: list[float]) -> list[tuple[int, str] | None]:
         """Track and state of each box of the frame, None for a box of no track."""
-        g, names = self.gates, np.array(names, dtype=object)
+        g = self.gates
         out: list[tuple[int, str] | None] = [None] * len(names)
-        free = np.ones(len(names), dtype=bool)
+        free: dict[str, dict[int, tuple[float, ...]]] = {}
+        for i, name in enumerate(names):
+            free.setdefault(name, {})[i] = boxes[i]
         self._age(frame)
-        centre = (boxes[:, :2] + boxes[:, 2:]) / 2
-        side = boxes[:, 2:] - boxes[:, :2]
-
-        def alike(track: dict) -> tuple[np.ndarray, np.ndarray]:
-            """Free boxes of the class and size of the track, and the distances of their centres."""
-            last = track["box"]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                grown = (side / (last[2:] - last[:2])).min(axis=1)
-            fits = free & (names == track["class"]) & (grown >= g.sizes[0]) & (grown <= g.sizes[1])
-            return fits, np.hypot(*(centre - (last[:2] + last[2:]) / 2).T)
 
         def take(i: int, key: int, track: dict, state: str) -> None:
             track |= {"box": boxes[i], "confidence": confidence[i]}
-            out[i], free[i] = (key, state), False
+            del free[names[i]][i]
+            out[i] = (key, state)
 
         for key, track in self.active.items():
-            fits, far = alike(track)
-            shared = iou(boxes, track["box"])
-            fits &= (far <= g.jump * (track["box"][2:] - track["box"][:2]).max()) & (shared > g.iou_by_class.get(track["class"], g.iou))
-            if fits.any():
-                take(int(np.where(fits, shared, -1).argmax()), key, track, "active")
+            last, least = track["box"], g.iou_by_class.get(track["class"], g.iou)
+            best, most = None, -1.0
+            for i, box in free.get(track["class"], {}).items():
+                shared = overlap(box, last)
+                if shared > least and shared > most and self._alike(box, last) and _far(box, last) <= g.jump * max(last[2] - last[0], last[3] - last[1]):
+                    best, most = i, shared
+            if best is not None:
+                take(best, key, track, "active")
                 track["since"] = frame
-        for i in np.flatnonzero(free).tolist():
+        for i in [i for i, name in enumerate(names) if i in free[name]]:
             near = {}
             for key, track in self.lost.items():
-                fits, far = alike(track)
-                if fits[i] and far[i] <= g.reid * (track["box"][2:] - track["box"][:2]).min():
-                    near[key] = far[i]
+                last = track["box"]
+                if track["class"] == names[i] and self._alike(boxes[i], last) and (far := _far(boxes[i], last)) <= g.reid * min(last[2] - last[0], last[3] - last[1]):
+                    near[key] = far
             if near:
                 key = min(near, key=near.get)
                 self.active[key] = self.lost.pop(key)
                 take(i, key, self.active[key], "active")
                 self.active[key]["since"] = frame
         for key, track in list(self.tentative.items()):
-            fits = free & (names == track["class"]) & (iou(boxes, track["box"]) > g.iou_by_class.get(track["class"], g.iou))
-            if fits.any():
+            least = g.iou_by_class.get(track["class"], g.iou)
+            i = next((i for i, box in free.get(track["class"], {}).items() if overlap(box, track["box"]) > least), None)
+            if i is not None:
                 track["seen"] += 1
                 track["since"] += 1
-                take(int(fits.argmax()), key, track, "tentative")
+                take(i, key, track, "tentative")
                 if track["seen"] >= g.confirm:
                     self.active[key] = self.tentative.pop(key)
-                    out[int(fits.argmax())] = (key, "active")
+                    out[i] = (key, "active")
             elif frame - track["since"] > g.fade:
                 del self.tentative[key]
         self._start(frame, names, boxes, confidence, free, out)
         self._exclude()
         return out
 
+    def _alike(self, box: tuple[float, ...], last: tuple[float, ...]) -> bool:
+        """Whether both sides grew by a factor within the limits; a track without a side matches nothing that has none."""
+        low, high = self.gates.sizes
+        grown = []
+        for k in (0, 1):
+            own, was = box[k + 2] - box[k], last[k + 2] - last[k]
+            grown.append(own / was if was else math.nan if own == 0 else math.copysign(math.inf, own))
+        return not any(map(math.isnan, grown)) and low <= min(grown) <= high
+
     def _age(self, frame: int) -> None:
         """What became of the tracks since the last frame: ``frame - since`` is how long each is unseen."""
         g = self.gates
@@ -130,11 +152,14 @@ class Pools:
         # frames before this one, which had no box for them
         self.tentative = {k: t for k, t in self.tentative.items() if frame - 1 - t["since"] <= g.fade}
 
-    def _start(self, frame: int, names: np.ndarray, boxes: np.ndarray, confidence: np.ndarray, free: np.ndarray, out: list) -> None:
+    def _start(self, frame: int, names: list[str], boxes: list[tuple[float, ...]], confidence: list[float], free: dict[str, dict[int, tuple[float, ...]]], out: list) -> None:
         g, left = self.gates, self.gates.new
-        for i in np.flatnonzero(free & (confidence >= g.confidence)).tolist():
-            shut = any(name == names[i] and iou(boxes[i], box) > g.closed_iou for _, name, box in self.closed)
-            if left and not shut:
+        for i in range(len(names)):
+            if not left:
+                return
+            if i not in free[names[i]] or confidence[i] < g.confidence:
+                continue
+            if not any(name == names[i] and overlap(boxes[i], box) > g.closed_iou for _, name, box in self.closed):
                 left, self.ids = left - 1, self.ids + 1
                 self.tentative[self.ids] = {"class": names[i], "box": boxes[i], "confidence": confidence[i], "seen": 1, "since": frame}
                 out[i] = (self.ids, "tentative")
@@ -142,10 +167,13 @@ class Pools:
     def _exclude(self) -> None:
         """Serve active tracks by confidence from now on, without those of exclusive classes that overlap a better one."""
         kept: dict[int, dict] = {}
+        rivals: list[tuple[float, ...]] = []
         for key, track in sorted(self.active.items(), key=lambda x: -x[1]["confidence"]):
-            rivals = [t["box"] for t in kept.values() if t["class"] in self.gates.exclusive]
-            if track["class"] not in self.gates.exclusive or not rivals or not (iou(np.array(rivals), track["box"]) > self.gates.overlap).any():
+            alone = track["class"] in self.gates.exclusive
+            if not alone or not any(overlap(x, track["box"]) > self.gates.overlap for x in rivals):
                 kept[key] = track
+                if alone:
+                    rivals.append(track["box"])
         self.active = kept
 
 
@@ -156,18 +184,24 @@ def track_boxes(boxes: DataFrame, gates: Gates = Gates()) -> DataFrame:
     track, and tentative tracks their first box. A box without a class or a number is of no track.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["frame_id", "box_id", "x1"], kind="stable").reset_index(drop=True)
-        pools, found = Pools(gates), [None] * len(rows)
-        xy = rows[["x1", "y1", "x2", "y2"]].to_numpy(dtype=float)
-        confidence = rows["confidence"].to_numpy(dtype=float)
-        fine = np.isfinite(xy).all(axis=1) & np.isfinite(confidence) & rows["class_name"].notna().to_numpy()
-        for frame, own in rows[fine].groupby("frame_id", sort=True):
-            at = own.index.to_numpy()
-            for i, x in zip(at.tolist(), pools.step(int(frame), own["class_name"].tolist(), xy[at], confidence[at]), strict=True):
-                found[i] = x
-        ids = pd.array([None if x is None else x[0] for x in found], dtype="Int64")
-        return rows.assign(track_id=ids, state=[None if x is None else x[1] for x in found])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        series, pools = None, Pools(gates)
+        for table, first in whole_groups(batches, ("series_id", "frame_id")):
+            found: list[tuple[int, str] | None] = [None] * table.num_rows
+            xy = np.stack([table.column(c).cast("double").to_numpy() for c in ("x1", "y1", "x2", "y2")], axis=1)
+            confidence = table.column("confidence").cast("double").to_numpy()
+            names, keys, frames = (table.column(c).to_pylist() for c in ("class_name", "series_id", "frame_id"))
+            fine = np.isfinite(xy).all(axis=1) & np.isfinite(confidence) & ~table.column("class_name").is_null().to_numpy()
+            fine, xy, confidence = fine.tolist(), list(map(tuple, xy.tolist())), confidence.tolist()
+            for a, z in zip(first.tolist(), [*first[1:].tolist(), table.num_rows], strict=True):
+                if (keys[a],) != series:
+                    series, pools = (keys[a],), Pools(gates)
+                at = [i for i in range(a, z) if fine[i]]
+                if at and frames[a] is not None:
+                    for i, x in zip(at, pools.step(frames[a], [names[i] for i in at], [xy[i] for i in at], [confidence[i] for i in at]), strict=True):
+                        found[i] = x
+            out = table.append_column("track_id", pa.array([None if x is None else x[0] for x in found], pa.int64()))
+            yield from out.append_column("state", pa.array([None if x is None else x[1] for x in found], pa.string())).to_batches()
 
     schema = boxes.withColumns({"track_id": F.lit(None).cast("long"), "state": F.lit(None).cast("string")}).schema
-    return grouped(boxes, ("series_id",), run, schema)
+    return dealt(boxes, ("series_id",), ("frame_id", F.asc_nulls_last("box_id"), F.asc_nulls_last("x1"))).mapInArrow(run, schema)
