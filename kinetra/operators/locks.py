@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import deque
 from dataclasses import dataclass, field
+from statistics import median
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetra.operators.groups import grouped
-from kinetra.operators.tracking import iou
+from kinetra.operators.tracking import overlap
 
 FRAME = ("series_id", "frame_id")
 
@@ -26,25 +27,27 @@ def _with_boxes(frames: DataFrame, boxes: DataFrame, columns: list[str]) -> Data
     return frames.join(listed, list(FRAME), "left")
 
 
-def _corners(box: dict) -> np.ndarray:
-    return np.array([box["x1"], box["y1"], box["x2"], box["y2"]], dtype=float)
+def _corners(box: dict) -> tuple[float, ...]:
+    return float(box["x1"]), float(box["y1"]), float(box["x2"]), float(box["y2"])
 
 
 class Height:
     """A height and its speed under a Kalman filter that sees heights."""
 
     def __init__(self, value: float, drift: float = 0.01, noise: float = 0.1) -> None:
-        self.x, self.p, self.drift, self.noise = np.array([value, 0.0]), np.eye(2), drift, noise
+        self.x, self.v, self.a, self.b, self.c = value, 0.0, 1.0, 0.0, 1.0  # a, b, c: the covariance (a, b; b, c)
+        self.drift, self.noise = drift, noise
 
     def see(self, value: float) -> None:
-        gain = self.p[:, 0] / (self.p[0, 0] + self.noise)
-        self.x, self.p = self.x + gain * (value - self.x[0]), self.p - np.outer(gain, self.p[0])
+        g, h, off = self.a / (self.a + self.noise), self.b / (self.a + self.noise), value - self.x
+        self.x, self.v = self.x + g * off, self.v + h * off
+        self.a, self.b, self.c = self.a - g * self.a, self.b - g * self.b, self.c - h * self.b
 
     def go_on(self) -> float:
         """The height of the next frame."""
-        step = np.array([[1.0, 1.0], [0.0, 1.0]])
-        self.x, self.p = step @ self.x, step @ self.p @ step.T + self.drift * np.eye(2)
-        return float(self.x[0])
+        self.x += self.v
+        self.a, self.b, self.c = self.a + 2 * self.b + self.c + self.drift, self.b + self.c, self.c + self.drift
+        return self.x
 
 
 def anchor_lock(frames: DataFrame, anchors: DataFrame, fps: float = 30, least: float = 0.1, hold: float = 0.5) -> DataFrame:
@@ -66,7 +69,7 @@ def anchor_lock(frames: DataFrame, anchors: DataFrame, fps: float = 30, least: f
             corners = [_corners(b) for b in found]
             chosen = None
             if held is not None:
-                shared = [float(iou(held, c)) for c in corners]
+                shared = [overlap(held, c) for c in corners]
                 if shared and max(shared) > least:
                     chosen = corners[int(np.argmax(shared))]
                 unseen = 0 if chosen is not None else unseen + 1
@@ -126,7 +129,7 @@ class Contacts:
         self.centres: dict[int, tuple[float, float]] = {}
         self.value = 50.0
 
-    def step(self, anchor: np.ndarray, reach: float, person: np.ndarray | None, boxes: list[dict]) -> tuple[int | None, bool, list[int], int]:
+    def step(self, anchor: tuple[float, ...], reach: float, person: tuple[float, ...] | None, boxes: list[dict]) -> tuple[int | None, bool, list[int], int]:
         """Track of the locked box, whether it is hidden, tracks of the stand-ins, and the distance of the frame."""
         touching = [b for b in boxes if b["contact"]]
         active, hidden = self._locked(anchor, touching)
@@ -148,12 +151,12 @@ class Contacts:
                 self.centres[b["track_id"]] = ((b["x1"] + b["x2"]) / 2, (b["y1"] + b["y2"]) / 2)
         return None if active is None else active["track_id"], hidden, [b["track_id"] for b in others if b["track_id"] is not None], self.value
 
-    def _locked(self, anchor: np.ndarray, touching: list[dict]) -> tuple[dict | None, bool]:
+    def _locked(self, anchor: tuple[float, ...], touching: list[dict]) -> tuple[dict | None, bool]:
         """The box that is locked on, if it still touches; a weak touch hides it, a long absence ends the lock."""
         if self.locked is None:
             return None, False
         own = next((b for b in touching if b["track_id"] == self.locked), None)
-        if own is not None and iou(anchor, _corners(own)) > self.rules.contact:
+        if own is not None and overlap(anchor, _corners(own)) > self.rules.contact:
             self.unseen = 0
             return own, False
         self.unseen += 1
@@ -161,13 +164,13 @@ class Contacts:
             self.locked = None
         return None, own is not None
 
-    def _best(self, anchor: np.ndarray, touching: list[dict]) -> tuple[dict | None, bool]:
+    def _best(self, anchor: tuple[float, ...], touching: list[dict]) -> tuple[dict | None, bool]:
         """The primary contact of best quality; a new one takes the lock and is not hidden."""
 
         def quality(b: dict) -> float:
             was = self.centres.get(b["track_id"])
             moved = was is None or max(abs((b["x1"] + b["x2"]) / 2 - was[0]), abs((b["y1"] + b["y2"]) / 2 - was[1])) >= 1
-            return 0.5 * float(iou(anchor, _corners(b))) + 0.3 * b["confidence"] + self.rules.moving * moved
+            return 0.5 * overlap(anchor, _corners(b)) + 0.3 * b["confidence"] + self.rules.moving * moved
 
         primary = [b for b in touching if b["class_name"] in self.rules.primary]
         best = max(primary, key=quality, default=None)
@@ -176,7 +179,7 @@ class Contacts:
         self.locked, self.unseen = best["track_id"], 0
         return best, False
 
-    def _stand_in(self, name: str, anchor: np.ndarray, person: np.ndarray | None, boxes: list[dict], active: dict | None) -> dict | None:
+    def _stand_in(self, name: str, anchor: tuple[float, ...], person: tuple[float, ...] | None, boxes: list[dict], active: dict | None) -> dict | None:
         """The stand-in of a class: the one that is held, or else the free aligned one, other than the locked box, nearest to the anchor's lower edge.
 
         One that is out of sight is held for a while and replaced meanwhile if another is there.
@@ -205,18 +208,18 @@ class Contacts:
         self.stand_ins[name] = [new["track_id"], 0]
         return new
 
-    def _distance(self, anchor: np.ndarray, reach: float, b: dict) -> float:
+    def _distance(self, anchor: tuple[float, ...], reach: float, b: dict) -> float:
         at = b["y1"] + (b["y2"] - b["y1"]) * self.rules.height.get(b["class_name"], 0.5)
         return min(100.0, max(0.0, (anchor[3] - at) / reach * 100)) if reach > 0 else 50.0
 
-    def _relative(self, anchor: np.ndarray, b: dict) -> float:
+    def _relative(self, anchor: tuple[float, ...], b: dict) -> float:
         """Where the median of the class's last distances lies between their least and largest, in per cent."""
         own = self.past[b["class_name"]]
         own.append(abs(anchor[3] - (b["y1"] + b["y2"]) / 2))
         if len(own) < 3:
             return min(100.0, own[-1] / 200 * 100)
         low, high = min(own), max(own)
-        return (float(np.median(own)) - low) / (high - low) * 100 if high > low else 50.0
+        return (median(own) - low) / (high - low) * 100 if high > low else 50.0
 
 
 def contact_lock(frames: DataFrame, boxes: DataFrame, rules: Rules) -> DataFrame:
@@ -234,8 +237,8 @@ def contact_lock(frames: DataFrame, boxes: DataFrame, rules: Rules) -> DataFrame
                 out.append((None, False, [], 100))
                 continue
             found = [] if r.boxes is None else list(r.boxes)
-            person = None if r.person is None else np.array(list(r.person), dtype=float)
-            out.append(state.step(np.array([r.x1, r.y1, r.x2, r.y2]), float(r.reach), person, found))
+            person = None if r.person is None else tuple(map(float, r.person))
+            out.append(state.step((r.x1, r.y1, r.x2, r.y2), float(r.reach), person, found))
         ids = pd.array([None if x[0] is None else int(x[0]) for x in out], dtype="Int64")
         done = rows.drop(columns="boxes").reset_index(drop=True)
         return done.assign(track_id=ids, is_occluded=[x[1] for x in out], contributors=[x[2] for x in out], value=[x[3] for x in out])
