@@ -461,3 +461,61 @@ def test_segment_normalize_weighs_equal_neighbours_as_sql_does(spark):
     rows = [(u, i, 0, "busy", v) for u, own in enumerate(groups) for i, v in enumerate(own)]
     got = tracks.segment_normalize(spark.createDataFrame(rows, "series_id long, frame_id long, segment long, label string, value int"), ["idle"]).collect()
     assert {(x.series_id, x.frame_id): x.out for x in got} == want
+
+
+def test_boxes_are_tracked_batch_by_batch(spark):
+    """A series that goes over many Arrow batches is tracked as in one, and no batch needs a pandas frame of the whole."""
+    assert not hasattr(tracking, "grouped")
+    r = random.Random(9)
+    rows = [(s, f, k, r.choice("RA"), r.uniform(0, 60), r.uniform(0, 60), r.random()) for s in range(3) for f in range(40) for k in range(r.randint(1, 5))]
+    df = spark.createDataFrame([(*x[:6], x[4] + 30, x[5] + 30, x[6]) for x in rows], "series_id long, frame_id long, box_id long, class_name string, x1 double, y1 double, x2 double, y2 double, confidence double")
+    once = sorted(map(str, tracking.track_boxes(df, tracking.Gates(iou=0.1)).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted(map(str, tracking.track_boxes(df, tracking.Gates(iou=0.1)).collect())) == once
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_locks_measure_with_plain_numbers(monkeypatch):
+    """The overlap of two boxes is that of the arrays, and a height's filter that of its matrices."""
+    from kinetra.operators import locks
+
+    r = random.Random(6)
+    for _ in range(200):
+        a, b = ([x, y, x + r.uniform(-1, 30), y + r.uniform(-1, 30)] for x, y in ((r.uniform(0, 40), r.uniform(0, 40)) for _ in range(2)))
+        assert locks.overlap(tuple(a), tuple(b)) == float(tracking.iou(np.array(a), np.array(b)))
+    own, x, p = locks.Height(100.0), np.array([100.0, 0.0]), np.eye(2)
+    step = np.array([[1.0, 1.0], [0.0, 1.0]])
+    for _ in range(50):
+        z = r.uniform(50, 150)
+        own.see(z)
+        gain = p[:, 0] / (p[0, 0] + 0.1)
+        x, p = x + gain * (z - x[0]), p - np.outer(gain, p[0])
+        x, p = step @ x, step @ p @ step.T + 0.01 * np.eye(2)
+        assert own.go_on() == pytest.approx(x[0], abs=1e-9)
+
+
+def test_steady_beats_do_not_cost_their_square():
+    """A section's median is kept while it grows: 40,000 steady beats are one section in a moment."""
+    import time
+
+    from kinetra.operators import beats
+
+    began = time.perf_counter()
+    assert beats.sections(np.full(40_000, 0.5)) == [(0, 40_000, 0.5)]
+    assert time.perf_counter() - began < 5
+    gaps = np.random.default_rng(4).choice([0.5, 0.55, 0.6, 1.2], 300)
+    for a, z, usual in beats.sections(gaps):
+        assert usual == float(np.median(gaps[a:z]))
+
+
+def test_equal_anchors_go_by_their_place(spark):
+    """Anchors that the order leaves equal: the one that stands first in the table, however the rows are dealt."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, 1, 3, "R", 8.0, 40.0, 8.0 + w, 110.0, 0.5, place) for place, w in enumerate((40, 60, 20, 80))]
+    schema = "series_id long, frame_id long, box_id long, class_name string, x1 double, y1 double, x2 double, y2 double, confidence double, place long"
+    for own in (rows, rows[::-1]):
+        got = tracks.detection_parse(spark.createDataFrame(own, schema).coalesce(1), "R", 480, F.col("place")).first()
+        assert got.anchor_area == 40 * 70 / 480**2
