@@ -7,7 +7,8 @@ tokens' merge trees. The stored last tokens are followed back from the end, whic
 time linear in the piece, however long.
 
 Pieces (the pre-tokenizer's) repeat, and so do runs between spaces, which hold whole pieces unless white
-space stands on both sides of the space. A worker keeps the ids of recent ones in bounded caches.
+space stands on both sides of the space. A worker keeps the ids of recent ones in two bounded caches: when the newer
+is full it becomes the older one, and what is still used moves over. A piece that begins with a space is a run too.
 """
 
 from __future__ import annotations
@@ -24,15 +25,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetra.llm.common import map_batches, texts_of
+from kinetra.llm.common import give_back, map_batches, texts_of
 
 #: The pre-tokenizer's pattern: a fixed value of the byte-level BPE format, white space by its Unicode property.
 PIECES = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-#: Pieces (and runs) that a worker's cache holds at most, and the longest one it holds.
-CACHE_PIECES, CACHE_LENGTH = 1 << 19, 48
+#: Pieces and runs that each of a worker's two caches holds at most, and the longest one it holds.
+CACHE_PIECES, CACHE_LENGTH = 1 << 17, 48
 #: A space with white space on either side: there a run's pieces depend on its neighbours.
 WIDE_SPACE = re.compile(r"\s (?:\s|$)")
 FOREVER = 1 << 60
@@ -59,17 +60,17 @@ class Tokenizer:
         raw = {t: bytes(letters[c] for c in t) for t in model["vocab"]}
         self.added = {t["content"]: t["id"] for t in added}
         self.token = {i: raw[t] for t, i in model["vocab"].items()} | {i: t.encode() for t, i in self.added.items()}
-        self.decimal = {i: str(i) for i in self.token}
-        self.rank: dict[tuple[int, int], int] = {}
-        made: dict[int, tuple[int, int, int]] = {}
+        self.rank: dict[int, int] = {}
+        # what a token is merged of and at which rank, by token: flat arrays, since a worker shares its executor's memory
+        size = max(model["vocab"].values(), default=-1) + 1
+        self.parts, self.made = (array("i", [-1]) * size, array("i", [-1]) * size), array("q", [FOREVER]) * size
         for r, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             a, b = model["vocab"][left], model["vocab"][right]
-            self.rank[a, b] = r
-            made.setdefault(model["vocab"][left + right], (a, b, r))
-        # the tokens that stand at a token's edge while it is being merged, each with the rank at which it is merged away
-        self.right = {t: self._edge(made, t, 1) for t in model["vocab"].values()}
-        self.left = {t: self._edge(made, t, 0) for t in model["vocab"].values()}
+            self.rank[a << 32 | b] = r
+            whole = model["vocab"][left + right]
+            if self.made[whole] == FOREVER:
+                self.parts[0][whole], self.parts[1][whole], self.made[whole] = a, b, r
         self.ends = ahocorasick.Automaton()
         for t, i in model["vocab"].items():
             if t not in self.added:
@@ -78,15 +79,16 @@ class Tokenizer:
         self.pieces = regex.compile(PIECES)
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.fits: dict[int, bool] = {}
-        self.cached_pieces: dict[str, bytes] = {}
-        self.cached_runs: dict[str, bytes] = {}
-
-    @staticmethod
-    def _edge(made: dict[int, tuple[int, int, int]], token: int, side: int) -> list[tuple[int, int]]:
-        out, until = [(token, FOREVER)], FOREVER
-        while token in made:
-            until = made[token][2]
-            token = made[token][side]
+        # ids by what follows a space, and of pieces without one
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The tokens at a token's edge while it is being merged, each with the rank at which it is merged away."""
+        out = [(token, FOREVER)]
+        while self.parts[side][token] >= 0:
+            until, token = self.made[token], self.parts[side][token]
             out.append((token, until))
         return out
 
@@ -98,9 +100,10 @@ class Tokenizer:
         of y's to the right (of equal ranks the leftmost goes first).
         """
         found = True
-        for x, x_until in self.right[a]:
-            for y, y_until in self.left[b]:
-                r = self.rank.get((x, y))
+        left = self._edge(b, 0)
+        for x, x_until in self._edge(a, 1):
+            for y, y_until in left:
+                r = self.rank.get(x << 32 | y)
                 if r is not None and r < x_until and r <= y_until:
                     found = False
         if len(self.fits) >= CACHE_PIECES:
@@ -136,31 +139,43 @@ class Tokenizer:
         return array("i", out[::-1]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        found = self.cached_pieces.get(piece)
+        if piece[0] == " ":
+            key = piece[1:]
+            return self.recent.get(key) or self._kept(key) or self._keep(key, self.encode_piece(piece))
+        found = self.bare.get(piece)
         if found is None:
             found = self.encode_piece(piece)
-            self._keep(self.cached_pieces, piece, found)
+            if len(piece) <= CACHE_LENGTH:
+                if len(self.bare) >= CACHE_PIECES // 4:
+                    self.bare.clear()
+                self.bare[piece] = found
         return found
 
     def _run(self, run: str) -> bytes:
         """Ids of a run between spaces, with the space before it."""
-        found = b"".join([self._piece(p) for p in self.pieces.findall(" " + run)])
-        self._keep(self.cached_runs, run, found)
+        found = self._kept(run)
+        if found is None:
+            pieces = self.pieces.findall(" " + run)
+            found = self._keep(run, self.encode_piece(pieces[0]) if len(pieces) == 1 else b"".join([self._piece(p) for p in pieces]))
         return found
 
-    @staticmethod
-    def _keep(cache: dict[str, bytes], key: str, value: bytes) -> None:
+    def _kept(self, key: str) -> bytes | None:
+        found = self.older.get(key)
+        return None if found is None else self._keep(key, found)
+
+    def _keep(self, key: str, value: bytes) -> bytes:
         if len(key) <= CACHE_LENGTH:
-            if len(cache) >= CACHE_PIECES:
-                cache.clear()
-            cache[key] = value
+            if len(self.recent) >= CACHE_PIECES:
+                self.recent, self.older = {}, self.recent
+            self.recent[key] = value
+        return value
 
     def _ordinary(self, text: str) -> bytes:
         if not text:
             return b""
         if WIDE_SPACE.search(text):
             return b"".join([self._piece(p) for p in self.pieces.findall(text)])
-        get, make = self.cached_runs.get, self._run
+        get, make = self.recent.get, self._run
         first, *runs = text.split(" ")
         return b"".join([self._piece(p) for p in self.pieces.findall(first)] + [get(r) or make(r) for r in runs])
 
@@ -193,6 +208,7 @@ def _tokenizer(content: str) -> Tokenizer:
     if key not in _LOADED:
         _LOADED.clear()
         _LOADED[key] = Tokenizer(content)
+        give_back()  # the parsed file is several times the tables made of it
     return _LOADED[key]
 
 
@@ -250,7 +266,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         for text in texts_of(rows):
             ids = t.encode(text).tolist()
             n.append(len(ids))
-            of_ids.append(hashlib.sha256(",".join([t.decimal[i] for i in ids]).encode()).hexdigest())
+            of_ids.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
             of_text.append(hashlib.sha256(t.decode(ids).encode()).hexdigest())
         return pa.RecordBatch.from_arrays(
             [rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())],

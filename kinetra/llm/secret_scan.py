@@ -141,7 +141,8 @@ class Network:
         return pooled @ self.weight + self.bias[0], (flat, top, pooled)
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        parts = [self._forward(x[i : i + 512])[0] for i in range(0, len(x), 512)]
+        # a window takes some 60 kB on its way
+        parts = [self._forward(x[i : i + 128])[0] for i in range(0, len(x), 128)]
         return np.concatenate(parts) if parts else np.zeros(0)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:

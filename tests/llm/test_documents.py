@@ -608,3 +608,31 @@ def test_very_common_variants_are_refined(spark):
     for limit in (4, 4096):
         found = components([(a % 2**64, b % 2**64) for a, b in map(tuple, simhash.links(df, bucket_limit=limit).collect())], fps)
         assert len(set(found.values())) == 1
+
+
+def test_a_tokenizer_and_its_caches_stay_small(monkeypatch):
+    """The tables of a worker's tokenizer are under 32 MB; caches turn over at their bound and the ids stay exact."""
+    import gc
+    import tracemalloc
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from kinetra.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    content = bpe._content(path)
+    tracemalloc.start()
+    own = bpe.Tokenizer(content)
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 32 << 20
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 100)
+    plain = Tokenizer.from_file(path)
+    for k in range(40):
+        text = " ".join(f"word{i * 7919 % 1000}x, und{i % 13} {chr(97 + i % 26) * (i % 9)}ing" for i in range(k, k + 30)) + "\n  end "
+        assert own.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+        own.encode(text + "  twice")
+    sizes = [len(x) for x in vars(own).values() if isinstance(x, dict) and x and isinstance(next(iter(x.values())), bytes) and isinstance(next(iter(x)), str)]
+    assert sum(sizes) <= 2 * 100 + 100
