@@ -199,6 +199,8 @@ STEP_SQL = {
 }
 #: Time without rows after which a series ends; the tables span less, so none ends before its time.
 IDLE_MS = 400 * 86_400_000
+#: Series that share a key of the state.
+SERIES_TOGETHER = 64
 
 
 def _twin(name: str, step: str, **params: float) -> None:
@@ -212,7 +214,7 @@ def _twin(name: str, step: str, **params: float) -> None:
         base, late = _shared(spark), lateness(spark, sf)
         rows, end = closed(spark, sf, late, base, IDLE_MS)
         with state_store(spark):
-            out = jobs.stream(rows, step, late, IDLE_MS, **params)
+            out = jobs.stream(rows, step, late, IDLE_MS, SERIES_TOGETHER, **params)
             return finished(spark, out, "append", ["series_id", "t", "seq"], base, end).withColumn("out", F.round("out", 6))
 
 

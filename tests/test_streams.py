@@ -143,3 +143,31 @@ def test_lateness_is_what_files_reach_back(spark, tmp_path):
         new = max((f for f in Path(f"{tmp_path}/events.parquet").glob("*.parquet")), key=lambda f: f.stat().st_ctime_ns)
         os.utime(new, (1_000 + min(k, 2), 1_000 + min(k, 2)))
     assert lateness(spark, str(tmp_path)) == 180_000 + 1_000  # the last two files have one time: 300 may come before 120
+
+
+def test_blocks_of_series_share_a_key(spark, tmp_path):
+    """Series that share a key of the state give what each gives alone, rows that come late and ends of series included."""
+    import random
+    import time
+
+    from kinetra.plans.q_streaming import state_store
+    from kinetra.streaming import jobs
+
+    r = random.Random(5)
+    rows = [(s, t, i, r.random() * 100, t) for s in range(-5, 35) for i, t in enumerate(sorted(r.choices(range(s * 500 + 2500, 60_000), k=30)))]
+    rows += [(1000, 10_000_000, 99, 7.0, 10_000_000)]  # lets the watermark pass all others
+    schema = "series_id long, t long, seq long, v double, ms long"
+    for part in ([x for x in rows if x[4] < 40_000 and x[2] % 7], [x for x in rows if x[4] < 60_000 and not (x[4] < 40_000 and x[2] % 7)], rows[-1:]):
+        spark.createDataFrame(part, schema).selectExpr("*", "timestamp_millis(ms) ts").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)
+    got = {}
+    for together in (1, 8):
+        live = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        with state_store(spark):
+            out = jobs.stream(live, "quiet_runs", 60_000, 5_000_000, together, min_move=60, min_ms=500)
+            jobs.run_to_table(out, f"{tmp_path}/out{together}", "append", f"{tmp_path}/state{together}")
+            left = spark.read.format("statestore").option("path", f"{tmp_path}/state{together}").option("stateVarName", "waiting").option("batchId", 1).load()
+            assert left.select("key").distinct().count() == {1: 40, 8: 6}[together]
+        got[together] = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out{together}").select("series_id", "t", "seq", "out").collect()))
+    plain = jobs.batch(spark.createDataFrame(rows[:-1], schema), "quiet_runs", min_move=60, min_ms=500)
+    assert got[8] and got[8] == got[1] == sorted(map(tuple, plain.select("series_id", "t", "seq", "out").collect()))
