@@ -115,12 +115,15 @@ def rolling_parts(spark: SparkSession, sf: str) -> list[DataFrame]:
 
 @query()
 def stream_rolling_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """A stream of point files; after each the last 20 s of the touched series are tuned again."""
+    """A stream of point files in three arrivals; after each the last 20 s of the touched series are tuned again.
+
+    An arrival is as many files as its tasks write, and one micro-batch: the stream goes on from its checkpoint.
+    """
     base = _shared(spark)
     parts = rolling_parts(spark, sf)
-    for part in parts:
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
-    rows = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     step = jobs.rolling_filter(f"{base}/out", C.ultimate_autotune, 20_000)
-    rows.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+    for part in parts:
+        part.write.mode("append").parquet(f"{base}/in")
+        rows = spark.readStream.schema(parts[0].schema).parquet(f"{base}/in")
+        rows.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
     return jobs.latest(spark, f"{base}/out", parts[0]).select("series_id", "axis", "at", "pos")

@@ -171,3 +171,17 @@ def test_blocks_of_series_share_a_key(spark, tmp_path):
         got[together] = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out{together}").select("series_id", "t", "seq", "out").collect()))
     plain = jobs.batch(spark.createDataFrame(rows[:-1], schema), "quiet_runs", min_move=60, min_ms=500)
     assert got[8] and got[8] == got[1] == sorted(map(tuple, plain.select("series_id", "t", "seq", "out").collect()))
+
+
+def test_rolling_filter_is_fed_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Each of the three arrivals is one micro-batch of several files, none written by a single task."""
+    from kinetra.plans import q_derived
+
+    monkeypatch.setattr(q_derived, "_shared", lambda spark: str(tmp_path / "job"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert catalog.QUERIES["stream_rolling_filter"](spark, SF).count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "job/in").glob("*.parquet"))) > 6
+    assert len(list((tmp_path / "job/out/open").glob("batch=*"))) == 3
