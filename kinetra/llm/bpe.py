@@ -9,6 +9,7 @@ time linear in the piece, however long.
 Pieces (the pre-tokenizer's) repeat, and so do runs between spaces, which hold whole pieces unless white
 space stands on both sides of the space. A worker keeps the ids of recent ones in two bounded caches: when the newer
 is full it becomes the older one, and what is still used moves over. A piece that begins with a space is a run too.
+Ids become digits and bytes again by Arrow's look-up in a table of the vocabulary.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ PIECES = (
 )
 #: Pieces and runs that each of a worker's two caches holds at most, and the longest one it holds.
 CACHE_PIECES, CACHE_LENGTH = 1 << 17, 48
+#: Pairs of tokens whose seam a worker knows. A job of its own holds so many times the pieces that one after other stages does.
+CACHE_SEAMS, ROOMY = 1 << 18, 4
 #: A space with white space on either side: there a run's pieces depend on its neighbours.
 WIDE_SPACE = re.compile(r"\s (?:\s|$)")
 FOREVER = 1 << 60
@@ -49,7 +52,8 @@ def byte_alphabet() -> dict[str, int]:
 class Tokenizer:
     """A byte-level BPE vocabulary, from the JSON text of a tokenizer file."""
 
-    def __init__(self, content: str) -> None:
+    def __init__(self, content: str, times: int = 1) -> None:
+        self.times = times
         data = json.loads(content)
         model, added = data["model"], data.get("added_tokens") or []
         pre = data.get("pre_tokenizer") or {}
@@ -59,7 +63,11 @@ class Tokenizer:
         letters = byte_alphabet()
         raw = {t: bytes(letters[c] for c in t) for t in model["vocab"]}
         self.added = {t["content"]: t["id"] for t in added}
-        self.token = {i: raw[t] for t, i in model["vocab"].items()} | {i: t.encode() for t, i in self.added.items()}
+        token = {i: raw[t] for t, i in model["vocab"].items()} | {i: t.encode() for t, i in self.added.items()}
+        # bytes and decimal digits by id; an id that no token has gives no bytes
+        ids = range(max(token, default=-1) + 1)
+        self.bytes = pa.array([token.get(i, b"") for i in ids], pa.large_binary())
+        self.digits = pa.array([b"%d," % i for i in ids], pa.large_binary())
         self.rank: dict[int, int] = {}
         # what a token is merged of and at which rank, by token: flat arrays, since a worker shares its executor's memory
         size = max(model["vocab"].values(), default=-1) + 1
@@ -106,7 +114,7 @@ class Tokenizer:
                 r = self.rank.get(x << 32 | y)
                 if r is not None and r < x_until and r <= y_until:
                     found = False
-        if len(self.fits) >= CACHE_PIECES:
+        if len(self.fits) >= CACHE_SEAMS:
             self.fits.clear()
         self.fits[a << 32 | b] = found
         return found
@@ -146,7 +154,7 @@ class Tokenizer:
         if found is None:
             found = self.encode_piece(piece)
             if len(piece) <= CACHE_LENGTH:
-                if len(self.bare) >= CACHE_PIECES // 4:
+                if len(self.bare) >= self.times * CACHE_PIECES // 4:
                     self.bare.clear()
                 self.bare[piece] = found
         return found
@@ -165,7 +173,7 @@ class Tokenizer:
 
     def _keep(self, key: str, value: bytes) -> bytes:
         if len(key) <= CACHE_LENGTH:
-            if len(self.recent) >= CACHE_PIECES:
+            if len(self.recent) >= self.times * CACHE_PIECES:
                 self.recent, self.older = {}, self.recent
             self.recent[key] = value
         return value
@@ -189,25 +197,31 @@ class Tokenizer:
         out.append(self._ordinary(text[at:]))
         return np.frombuffer(b"".join(out), np.int32)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """Text of the ids; unknown ids give nothing, broken UTF-8 the replacement character."""
-        token = self.token
-        try:
-            data = b"".join([token[i] for i in ids])
-        except KeyError:
-            data = b"".join([token.get(i, b"") for i in ids])
-        return data.decode("utf-8", "replace")
+        own = np.fromiter((-1 if i is None else i for i in ids), np.int64, len(ids)) if isinstance(ids, list) else ids
+        return str(_joined(self.bytes, own[(own >= 0) & (own < len(self.bytes))]), "utf-8", "replace")
 
+    def written(self, ids: np.ndarray) -> memoryview:
+        """The ids in decimal digits, joined by commas."""
+        return _joined(self.digits, ids)[:-1]
 
-_LOADED: dict[int, Tokenizer] = {}
 
+def _joined(table: pa.LargeBinaryArray, at: np.ndarray) -> memoryview:
+    """The table's entries at these places end to end, as Arrow lays them out."""
+    _, ends, data = table.take(pa.array(at)).buffers()
+    return memoryview(data)[: np.frombuffer(ends, np.int64)[len(at)]] if len(at) else memoryview(b"")
 
-def _tokenizer(content: str) -> Tokenizer:
+
+_LOADED: dict[tuple[int, int], Tokenizer] = {}
+
+
+def _tokenizer(content: str, times: int = 1) -> Tokenizer:
     """The worker's tokenizer of this content; one is kept, so tasks share its cache."""
-    key = hash(content)
+    key = hash(content), times
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Tokenizer(content)
+        _LOADED[key] = Tokenizer(content, times)
         give_back()  # the parsed file is several times the tables made of it
     return _LOADED[key]
 
@@ -261,12 +275,12 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_content(path))
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
-        t = _tokenizer(shared.value)
+        t = _tokenizer(shared.value, ROOMY)
         n, of_ids, of_text = [], [], []
         for text in texts_of(rows):
-            ids = t.encode(text).tolist()
+            ids = t.encode(text)
             n.append(len(ids))
-            of_ids.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+            of_ids.append(hashlib.sha256(t.written(ids)).hexdigest())
             of_text.append(hashlib.sha256(t.decode(ids).encode()).hexdigest())
         return pa.RecordBatch.from_arrays(
             [rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())],

@@ -228,6 +228,17 @@ def test_bpe_decode_broken_ids(spark, path):
     assert [t.decode(x) for x in rows] == [own.decode(x, skip_special_tokens=False) for x in rows]
 
 
+def test_bpe_of_a_job_of_its_own_holds_more_pieces(path, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 100)
+    t = bpe.Tokenizer(bpe._content(path), bpe.ROOMY)
+    text = "".join(f" w{chr(97 + i % 26)}{chr(97 + i // 26)}qz" for i in range(390))
+    ids = t.encode(text)
+    assert bytes(t.written(ids)).decode() == ",".join(map(str, ids.tolist())) and t.decode(ids) == text
+    assert bytes(t.written(ids[:0])) == b"" and t.decode([5, None, 1 << 30, 7]) == t.decode([5, 7])
+    monkeypatch.setattr(t, "encode_piece", None)  # what was met is not encoded again
+    assert t.encode(text).tolist() == ids.tolist()
+
+
 def test_digest_against_plain_order(spark, docs):
     rows = [(r.doc_id, r.text or "") for r in docs.collect()]
     spark.conf.set("spark.sql.shuffle.partitions", "6")
