@@ -8,8 +8,11 @@ the findings in other alphabets and foreign surroundings, so that the body count
 before it, and of the rest in capitals and as plain numbers. On findings held out from training its scores are calibrated (Platt) and the threshold is the
 highest that still finds ``min_recall`` of them.
 
-Scale: the training sample is bounded (``per_class`` windows of fixed size for each class, those of
-smallest hash). Weights are broadcast. Scanning is one pass without a shuffle; a text is scanned whole.
+Scale: the network learns from every different window of the table. The windows are dealt by hash into shards
+of about ``SHARD``; in each round every shard trains on from the same weights, and the means of the shards' weights
+begin the next round. Scores of all windows held out are counted on a fixed grid for calibration and threshold. The
+driver gets a row for each weight and each place of the grid. Weights are broadcast. Scanning is one pass without a
+shuffle; a text is scanned whole.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import bisect
 import itertools
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -148,9 +152,9 @@ class Network:
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.offset, -50, 50)))
 
-    def _gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    def _gradients(self, x: np.ndarray, y: np.ndarray, share: np.ndarray | float = 1.0) -> list[np.ndarray]:
         out, (flat, top, pooled) = self._forward(x)
-        d = (1 / (1 + np.exp(-np.clip(out, -50, 50))) - y) / len(y)
+        d = share * (1 / (1 + np.exp(-np.clip(out, -50, 50))) - y) / len(y)
         into = d[:, None] * self.weight * (pooled > 0)
         n = np.arange(len(x))[:, None]
         seen = flat[n, top]
@@ -160,9 +164,26 @@ class Network:
         np.add.at(of_embed, x[n[..., None], top[..., None] + np.arange(WIDTH)], back)
         return [of_embed, of_kernel, into.sum(axis=0), pooled.T @ d, np.array([d.sum()])]
 
+    def own(self) -> list[np.ndarray]:
+        return [self.embed, self.kernel, self.shift, self.weight, self.bias]
+
+    def flat(self) -> np.ndarray:
+        """All weights in one row."""
+        return np.concatenate([p.ravel() for p in self.own()])
+
+    @classmethod
+    def of(cls, flat: np.ndarray) -> Network:
+        net, at = cls.fresh(0), 0
+        for p in net.own():
+            p[...] = flat[at : at + p.size].reshape(p.shape)
+            at += p.size
+        return net
+
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int, seed: int, rate: float = 5e-3) -> None:
+        """Adam over batches of 128; either class has the same weight in all, however many windows it has."""
         r = np.random.default_rng(seed)
-        own = [self.embed, self.kernel, self.shift, self.weight, self.bias]
+        own = self.own()
+        share = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
         m, v = [np.zeros_like(p) for p in own], [np.zeros_like(p) for p in own]
         t = 0
         for _ in range(epochs):
@@ -170,25 +191,40 @@ class Network:
             for i in range(0, len(x), 128):
                 t += 1
                 pick = order[i : i + 128]
-                for k, g in enumerate(self._gradients(x[pick], y[pick])):
+                for k, g in enumerate(self._gradients(x[pick], y[pick], share[pick])):
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     own[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, min_recall: float) -> None:
-        """Platt's scale and offset by gradient descent, then the highest threshold with ``min_recall``."""
-        s = self.logits(x)
+    def calibrate(self, hits: np.ndarray, others: np.ndarray, min_recall: float) -> None:
+        """Platt's scale and offset by gradient descent, then the highest threshold with ``min_recall``.
+
+        ``hits`` and ``others`` count the logits that lie at or above each place of ``GRID``.
+        """
+        up, down = (hits.sum() + 1) / (hits.sum() + 2), 1 / (others.sum() + 2)
         # Platt's targets keep a separable sample from infinite slopes
-        up, down = (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2)
-        goal = np.where(y > 0, up, down)
+        s, n = np.concatenate([GRID, GRID]), np.concatenate([hits, others]) / (hits.sum() + others.sum())
+        goal = np.repeat([up, down], len(GRID))
+        s, n, goal = s[n > 0], n[n > 0], goal[n > 0]
         a, b = 1.0, 0.0
         for _ in range(500):
-            d = 1 / (1 + np.exp(-np.clip(a * s + b, -50, 50))) - goal
-            a -= 0.05 * float((d * s).mean())
-            b -= 0.05 * float(d.mean())
+            d = n * (1 / (1 + np.exp(-np.clip(a * s + b, -50, 50))) - goal)
+            a -= 0.05 * float((d * s).sum())
+            b -= 0.05 * float(d.sum())
         self.scale, self.offset = max(a, 1e-3), b
-        found = np.sort(self.probabilities(x[y > 0]))
-        self.threshold = float(found[int(np.floor((1 - min_recall) * len(found)))])
+        missed = int(np.floor((1 - min_recall) * hits.sum()))
+        least = GRID[np.searchsorted(np.cumsum(hits), missed, "right")]
+        self.threshold = float(1 / (1 + np.exp(-np.clip(self.scale * least + self.offset, -50, 50))))
+
+
+#: Places at which logits are counted for calibration.
+STEPS = 256
+GRID = np.arange(-64 * STEPS, 64 * STEPS) / STEPS
+
+
+def on_grid(logits: np.ndarray) -> np.ndarray:
+    """The number of the last place of the grid that is not above each logit."""
+    return np.clip(np.floor(logits * STEPS) + 64 * STEPS, 0, len(GRID) - 1).astype(np.int64)
 
 
 def _labelled(text: str) -> list[tuple[int, str]]:
@@ -227,45 +263,102 @@ def _harmless(others: list[str], seed: int) -> list[str]:
     return [w.translate(CAPITALS) for w in others] + [w[:LEFT] + digits(w[LEFT : LEFT + BODY]) + w[LEFT + BODY :] for w in others]
 
 
-def train(hits: list[str], others: list[str], min_recall: float = 0.99, epochs: int = 6, seed: int = 7) -> Network | None:
-    """A calibrated network, or None where a class has no window at all, so that there is nothing to learn.
+#: Windows that are trained on together, and those of either class that each shard has at least (or all).
+SHARD, LEAST_OF_CLASS = 4096, 256
+#: One window of so many is held out, by hash.
+HELD_OUT = 5
+#: Weights are summed as integers of this unit, so that the order of sums doesn't matter.
+UNIT = 2.0**-40
 
-    Every fifth window is held out for calibration and threshold; a single window serves for both.
-    """
-    if not hits or not others:
-        return None
-    hits, others = sorted(hits), sorted(others)
-    split = lambda rows, held: [w for i, w in enumerate(rows) if (i % 5 == 0) == held] or rows
-    parts = []
-    for held in (False, True):
-        h, o = split(hits, held), split(others, held)
-        # few findings get more variants, so that either class has about VARIANTS windows
-        times = lambda rows: range(max(1, -(-VARIANTS // len(rows))))
-        h, o = h + [w for k in times(h) for w in _varied(h, o, seed + k)], o + [w for k in times(o) for w in _harmless(o, seed + k)]
-        parts.append((symbols(h + o), np.array([1.0] * len(h) + [0.0] * len(o))))
-    net = Network.fresh(seed)
-    # a small sample gets more rounds, so that the optimiser takes about 300 steps at least
-    net.train(*parts[0], max(epochs, -(-300 * 128 // len(parts[0][1]))), seed)
-    net.calibrate(*parts[1], min_recall)
-    return net
+
+def _part(hits: list[str], others: list[str], held: bool, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows to train on, or those held out, with their variants. A class that has none on this side gives all."""
+    split = lambda rows: [w for w in rows if (zlib.crc32(w.encode()) % HELD_OUT == 0) == held] or rows
+    h, o = split(sorted(hits)), split(sorted(others))
+    if not h or not o:  # as good as impossible, see LEAST_OF_CLASS
+        return symbols(h + o), np.array([1.0] * len(h) + [0.0] * len(o))
+    # few findings get more variants, so that either class has about VARIANTS windows
+    times = lambda rows: range(max(1, -(-VARIANTS // len(rows))))
+    h, o = h + [w for k in times(h) for w in _varied(h, o, seed + k)], o + [w for k in times(o) for w in _harmless(o, seed + k)]
+    return symbols(h + o), np.array([1.0] * len(h) + [0.0] * len(o))
+
+
+def _sharded(found: DataFrame, hits: int, others: int) -> tuple[DataFrame, int]:
+    """``(shard, hits, others)``, a row for each shard, and their number; a rare class is dealt to several shards each."""
+    n = -(-(hits + others) // SHARD)
+    copies = {k: min(n, -(-LEAST_OF_CLASS * n // size)) for k, size in ((1, hits), (0, others))}
+    times = F.sequence(F.lit(0), F.when(F.col("hit") == 1, copies[1] - 1).otherwise(copies[0] - 1))
+    dealt = found.select("hit", "w", F.explode(times).alias("k")).select("hit", "w", ((F.pmod(F.xxhash64("w"), F.lit(n)) + F.col("k")) % n).alias("shard"))
+    side = lambda k, name: F.collect_list(F.when(F.col("hit") == k, F.col("w"))).alias(name)
+    rows = dealt.repartition(n, "shard").groupBy("shard").agg(side(1, "hits"), side(0, "others"))
+    return materialize(rows, "shards"), n
 
 
-def fit(docs: DataFrame, per_class: int = 1500, min_recall: float = 0.99) -> Network | None:
-    """Train on the ``per_class`` windows of smallest hash of either class, gathered from all of ``docs(text)``."""
+def _round(shards: DataFrame, start: np.ndarray, epochs: int, seed: int) -> np.ndarray:
+    """The mean of the weights to which the shards come from ``start``; no epochs stand for as many as make 300 steps, 6 at least."""
+    shared = shards.sparkSession.sparkContext.broadcast(start)
+
+    def run(rows: pa.RecordBatch) -> pa.RecordBatch:
+        at, w = [], []
+        for h, o in zip(rows.column("hits").to_pylist(), rows.column("others").to_pylist(), strict=True):
+            x, y = _part(h, o, False, seed)
+            net = Network.of(shared.value)
+            net.train(x, y, epochs or max(6, -(-300 * 128 // len(y))), seed)
+            own = np.rint(net.flat() / UNIT).astype(np.int64)
+            at.append(np.arange(len(own)))
+            w.append(own)
+        none = [np.zeros(0, np.int64)]
+        return batch(at=(np.concatenate(at or none), pa.int64()), w=(np.concatenate(w or none), pa.int64()))
+
+    # a row for each weight
+    found = map_batches(shards, run, "at long, w long").groupBy("at").agg((F.sum("w") / F.count("*")).alias("w")).collect()
+    out = np.zeros(len(start))
+    for at, w in found:
+        out[at] = w * UNIT
+    return out
+
+
+def _counted(shards: DataFrame, weights: np.ndarray, seed: int) -> list[np.ndarray]:
+    """How many windows held out have their logits at each place of the grid: findings, and the others."""
+    shared = shards.sparkSession.sparkContext.broadcast(weights)
+
+    def run(rows: pa.RecordBatch) -> pa.RecordBatch:
+        net, out = Network.of(shared.value), []
+        for h, o in zip(rows.column("hits").to_pylist(), rows.column("others").to_pylist(), strict=True):
+            x, y = _part(h, o, True, seed)
+            out.append(on_grid(net.logits(x)) * 2 + y.astype(np.int64))
+        places, n = np.unique(np.concatenate(out or [np.zeros(0, np.int64)]), return_counts=True)
+        return batch(place=(places, pa.int64()), n=(n, pa.int64()))
+
+    sums = np.zeros((len(GRID), 2), dtype=np.int64)
+    for place, n in map_batches(shards, run, "place long, n long").groupBy("place").agg(F.sum("n")).collect():
+        sums[place // 2, place % 2] = n
+    return [sums[:, 1], sums[:, 0]]
+
+
+def fit(docs: DataFrame, min_recall: float = 0.99, rounds: int = 6, seed: int = 7) -> Network | None:
+    """A calibrated network, trained on all different windows of ``docs(text)``; None if a class has none: there is nothing to learn.
+
+    Windows of one shard are trained on in one round; more shards take ``rounds`` of one epoch each.
+    """
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
         found = [x for t in texts_of(rows) for x in _labelled(t)]
         return batch(hit=([h for h, _ in found], pa.int32()), w=([w for _, w in found], pa.string()))
 
     with scratch(docs.sparkSession):
-        found = map_batches(docs.select("text"), run, "hit int, w string").withColumn("h", F.xxhash64("w"))
-        found = materialize(found, "windows")
-        # a bounded number of fixed-size windows; distinct first, so that copies don't fill the sample
-        first = [
-            [w for (w,) in found.where(F.col("hit") == k).select("h", "w").distinct().orderBy("h", "w").limit(per_class).select("w").collect()]
-            for k in (1, 0)
-        ]
-    return train(*first, min_recall)
+        # different ones, so that copies don't outweigh the rest
+        found = materialize(map_batches(docs.select("text"), run, "hit int, w string").distinct(), "windows")
+        sizes = {r["hit"]: r["count"] for r in found.groupBy("hit").count().collect()}
+        if len(sizes) < 2:
+            return None
+        shards, n = _sharded(found, sizes[1], sizes[0])
+        weights = Network.fresh(seed).flat()
+        for k in range(rounds if n > 1 else 1):
+            weights = _round(shards, weights, int(n > 1), seed + 1000 * k)
+        net = Network.of(weights)
+        net.calibrate(*_counted(shards, weights, seed), min_recall)
+    return net
 
 
 def scan(text: str, net: Network | None) -> list[Span]:

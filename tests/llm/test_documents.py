@@ -191,6 +191,37 @@ def test_redact_keeps_rows(spark):
     assert got[7].text is None and got[3].n_chars == len(got[3].text) and len(got) == len(SECRETS)
 
 
+def test_network_learns_from_every_window(spark):
+    texts = [f"see 'chapter{k:05d}' there" for k in range(1700)] + [f"token={k * 7919:012x}" * 2 for k in range(30)]
+    found = [(w, hit) for t in texts for hit, w in secret_scan._labelled(t)]
+    largest = spark.createDataFrame(found, "w string, hit int").where("hit = 0").orderBy(F.xxhash64("w").desc()).first().w
+    least = [t for t in texts if all(w != largest for _, w in secret_scan._labelled(t))]
+    assert len(least) == len(texts) - 1
+    nets = [secret_scan.fit(frame(spark, list(enumerate(t)))) for t in (texts, least)]
+    # the window of largest hash counts too, in the weights or, if it is held out, in the calibration
+    assert (nets[0].flat() != nets[1].flat()).any() or nets[0].scale != nets[1].scale
+
+
+def test_network_of_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "SHARD", 64)
+    monkeypatch.setattr(secret_scan, "LEAST_OF_CLASS", 40)
+    df = frame(spark, list(enumerate(secret_docs(3, 300))))
+    windows = {x for t in secret_docs(3, 300) for x in secret_scan._labelled(t)}
+    hits = sum(h for h, _ in windows)
+    rows, n = secret_scan._sharded(spark.createDataFrame(sorted(windows), "hit int, w string"), hits, len(windows) - hits)
+    rows = rows.collect()
+    assert n > 2 and {(1, w) for r in rows for w in r.hits} | {(0, w) for r in rows for w in r.others} == windows
+    assert all(r.hits and r.others for r in rows)
+    net, again = secret_scan.fit(df), secret_scan.fit(df.repartition(7))
+    assert (net.flat() == again.flat()).all() and net.threshold == again.threshold
+    r = random.Random(9)
+    keys = ["".join(r.choice("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(40)) for _ in range(50)]
+    hit = [any(k == "model" for k, *_ in secret_scan.scan(f"the of {k} and that", net)) for k in keys]
+    clean = [any(k == "model" for k, *_ in secret_scan.scan(t, net)) for t in secret_docs(11, 100)[::2]]
+    assert sum(hit) >= 40 and sum(clean) <= 5
+
+
+
 @pytest.fixture(scope="module")
 def path():
     import public_tokenizers
