@@ -390,6 +390,42 @@ def test_predictive_probabilities_sum_to_one(spark):
         assert total == pytest.approx(1, abs=1e-6)
 
 
+def test_every_previous_word_is_a_context(spark, monkeypatch):
+    """All pairs are learned, scores are those of the model's own probabilities, and rows don't depend on parts and pieces."""
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choices(["the", *(f"w{j}" for j in range(30))], [60, *range(30, 0, -1)], k=15)) + f" rare{i} after{i}") for i in range(40)]
+    rows += [(50, "rare1 after1 rare2 unseen the"), (51, "unseen unseen"), (52, None)]
+    train, df = frame(spark, rows[:40]), frame(spark, rows)
+    model = hpylm.fit(train)
+    words = {bytes(x["word"]): x for x in model.words.collect()}
+    before = {}
+    for _, t in rows[:40]:
+        own = [b"", *t.encode().split(), b""]
+        for v, w in itertools.pairwise(own):
+            before.setdefault(w, set()).add(v)
+    names, weights, unknown = [b"", *model.contexts], model.root_weights(), model.unknown()
+    assert {w: {names[c] for c in x["ctx"]} for w, x in words.items()} == before and b"rare7" in names
+
+    def p(w, v):
+        x, c = words.get(w), names.index(v) if v in names else -1
+        if x and c in x["ctx"]:
+            return x["p"][x["ctx"].index(c)]
+        return np.mean((weights[c] if c >= 0 else np.ones(len(unknown))) * np.array(x["base"] if x else unknown))
+
+    want = {i: sum(np.log10(p(w, v)) for v, w in itertools.pairwise([b"", *(t or "").encode().split(), b""])) for i, t in rows}
+    got = {x.doc_id: x.score for x in hpylm.score(df, model).collect()}
+    assert got == pytest.approx(want)
+    assert p(b"after1", b"rare1") > 20 * p(b"after1", b"rare2")
+    monkeypatch.setattr(hpylm, "PART", 500)
+    split = hpylm.fit(train.repartition(5))
+    assert split.parts > 3 and {x.doc_id: x.score for x in hpylm.score(df, split, cells=60).collect()} == pytest.approx(want)
+
+
+def test_packed_columns():
+    for x in ([], [0], [3, 1, 1 << 62], [0, 5, 5, (1 << 63) - 1], [-1, 7], [7, -1]):
+        assert hpylm.unpack(hpylm.pack(np.array(x, dtype=np.int64))).tolist() == x
+
+
 def test_context_words_are_counted_exactly(spark):
     r = random.Random(5)
     rows = [(i, " ".join(r.choices([*WORDS, *(f"w{j}" for j in range(400))], [120, 90, 60, 40, *[5] * (len(WORDS) - 4), *[1] * 400], k=50))) for i in range(300)]
