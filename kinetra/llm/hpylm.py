@@ -62,7 +62,7 @@ class Totals:
 
 @dataclass
 class Model:
-    """``pairs``: blocks (word, context, customers) by part, ``seats``: their tables summed over the samples, for those of two customers or more;
+    """``pairs``: blocks (word, context, customers) by part, ``seats``: their tables in each sample, for those of two customers or more;
     ``nodes``: blocks (word, count, customers and tables at the root, tables as a context) by part, one for each sample, and ``still``: the
     words that came once."""
 
@@ -450,7 +450,7 @@ def _drawn(rule: tuple, now: Totals, sweep: int, cols: list[np.ndarray], sent: l
     """Tables of pairs (word, context, n) after a sweep, from the totals before it."""
     w, v, n = cols
     _, (_, d), (_, s) = rule
-    ids, r, t0, t = _joined([b for _, by, b in sent if by == sweep], 4)
+    ids, r, t0, t = _joined([b for _, _, b in sent], 4)
     order = np.argsort(ids)
     at, ctx = (order[np.searchsorted(ids, x, sorter=order)] for x in (w, v))
     return seat(n, (s + d * t[ctx]) * _root(rule, now, r[at], t0[at]), d, w, v, sweep)
@@ -459,8 +459,8 @@ def _drawn(rule: tuple, now: Totals, sweep: int, cols: list[np.ndarray], sent: l
 def _tables(n: np.ndarray, sent: list, samples: int) -> np.ndarray:
     """Tables of all pairs, summed over the samples, from those of the pairs that came twice or more."""
     t = np.where(n > 0, samples, 0)
-    for _, _, (some,) in sent:
-        t[n > 1] = some
+    if sent:
+        t[n > 1] = sum(cols[0] for _, _, cols in sent)
     return t
 
 
@@ -490,26 +490,33 @@ def learn(dealt: DataFrame, model: Model, burn: int, samples: int) -> Model:
 
         moving = materialize(_mapped(pairs, several), "moving")
         told = _mapped(moving, lambda to, _, cols: opened(to, cols, np.ones(len(cols[0]))))
+        taken = range(burn + 1, burn + 1 + samples)
+        seats: list[DataFrame] = []
         history: list[tuple[Totals, DataFrame]] = []
         for sweep in range(burn + samples + 1):
             swept = _swept(nodes, told, rule, history[-1][0] if history else None, sweep)
             now = Totals(*(x + n_still for x in _counts(swept.where("to < 0"), lambda x: [x[2].sum(), x[3].sum()], 2)))
             history.append((now, swept))
+            if sweep == burn + samples:
+                break
 
             def move(held: list, sent: list, now: Totals = now, sweep: int = sweep) -> list:
-                return [x for to, _, cols in held for x in opened(to, cols, _drawn(rule, now, sweep, cols, sent))]
-
-            told = _met(moving, swept.where("to >= 0"), move)
-        taken = range(burn + 1, burn + 1 + samples)
+                out = []
+                for to, _, cols in held:
+                    t = _drawn(rule, now, sweep, cols, sent)
+                    out += [*opened(to, cols, t), (-1 - to, 1, [t])]
+                return out
+
+            moved = materialize(_met(moving, swept.where("to >= 0"), move), "moved")
+            told = moved.where("to >= 0")
+            if sweep + 1 in taken:
+                seats.append(moved.where("to < 0"))
         model.samples = [history[k][0] for k in taken]
-        totals = {k - 1: history[k - 1][0] for k in taken}
-
-        def seats(held: list, sent: list) -> list:
-            return [(to, 1, [sum(_drawn(rule, now, k, cols, sent) for k, now in totals.items())]) for to, _, cols in held]
 
-        of = lambda ks, which: reduce(DataFrame.unionByName, [history[k][1].where(which) for k in ks])
-        model.pairs, model.seats = pairs, keep(materialize(_met(moving, of(totals, "to >= 0"), seats), "seats"))
-        words = of(taken, "to < 0").select((-1 - F.col("to")).alias("to"), (F.col("by") - (burn + 1)).alias("by"), "cols")
+        # to -1 - part: the tables of its pairs, and its words
+        several_of = lambda dfs: reduce(DataFrame.unionByName, dfs).withColumn("to", -1 - F.col("to"))
+        model.pairs, model.seats = pairs, keep(materialize(several_of(seats), "seats"))
+        words = several_of([history[k][1].where("to < 0") for k in taken]).withColumn("by", F.col("by") - (burn + 1))
         model.nodes = keep(materialize(words, "words"))
     return model
 
