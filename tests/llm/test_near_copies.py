@@ -58,6 +58,55 @@ def test_stage_drops_what_is_similar(spark, small):
     assert alone <= kept and len(alone) > 20
 
 
+def components(texts):
+    """The smallest place that similar texts reach from each."""
+    first = list(range(len(texts)))
+    near = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if jaccard(texts[i], texts[j]) >= 0.8]
+    for _ in texts:
+        for i, j in near:
+            first[i] = first[j] = min(first[i], first[j])
+    return first
+
+
+@pytest.mark.parametrize("small", [2, 4])
+def test_a_copy_links_what_its_first_does_not(spark, small):
+    """Closest copies of a text (SimHash finds them) have copies of their own, which are under the similarity with the text itself."""
+    r = random.Random(11)
+    texts = []
+    for _ in range(6):
+        base = [f"w{r.randrange(5000)}" for _ in range(400)]
+        close = [list(base) for _ in range(5)]
+        for k, words in enumerate(close):
+            words[15 + 5 * k] = f"c{k}"
+        # eight more changes each, elsewhere
+        far = []
+        for words in close:
+            other = list(words)
+            for at in r.sample(range(60, 390, 5), 8):
+                other[at] = f"f{r.random()}"
+            far.append(other)
+            assert jaccard(" ".join(words), " ".join(other)) >= 0.8 > jaccard(" ".join(base), " ".join(other))
+        texts += [" ".join(w) for w in (base, *close, *far)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {x.doc_id for x in near_copies.keep_one(docs, small_bucket=small).collect()}
+    assert kept == set(components(texts)) and len(kept) == 6
+
+
+def test_blocks_leave_out_pairs_of_a_group(spark, monkeypatch):
+    """Blocks look at pairs of different groups only, and a large group has blocks of its own."""
+    monkeypatch.setattr(near_copies, "BLOCK_TEXTS", 16)
+    texts = template(80, 5)
+    near = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if jaccard(texts[i], texts[j]) >= 0.8}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for group in (lambda i: 0 if i < 40 else i, lambda i: i % 3, lambda i: 7):
+        of = [group(i) for i in range(len(texts))]
+        keyed = docs.selectExpr("doc_id AS first_id", "xxhash64(text) AS text_key", f"element_at(array({', '.join(f'{g}L' for g in of)}), int(doc_id + 1)) AS near")
+        ids = {x.text_key: x.first_id for x in keyed.collect()}
+        links = keyed.where("first_id > 0").selectExpr(f"{[k for k, i in ids.items() if i == 0][0]}L AS a", "text_key AS b")
+        pairs = [(ids[p.a], ids[p.b]) for p in near_copies._block_pairs(docs, keyed, links, WIDTH, 0.8).collect()]
+        assert sorted(pairs) == sorted(p for p in near if of[p[0]] != of[p[1]])
+
+
 def template(n, seed):
     """Texts of one template, about 0.74 alike, and a few that are nearer to one of them."""
     r = random.Random(seed)
