@@ -401,6 +401,23 @@ def test_densify_shuffles_the_given_frames_only(spark):
     assert "Join" not in plan and plan.index("Generate") < plan.index("Exchange")  # the plan prints the last step first
 
 
+def test_dense_frames_take_little_disk(spark, tmp_path):
+    """A file holds the frames of many series in less than a byte each, and all frames, of negative numbers too."""
+    r = random.Random(6)
+    given = {s: sorted({r.randrange(-3_000, 3_000) for _ in range(4)}) for s in range(200)}
+    rows = [(s, f, i, r.choice("abcdef")) for s, own in given.items() for i, f in enumerate(own)]
+    out = tracks.densify(spark.createDataFrame(rows, "series_id long, frame_id long, seq long, pose string"), "pose")
+    out.write.parquet(str(tmp_path / "out"))
+    told = {(s, f): p for s, f, _, p in rows}
+    want = []
+    for s, own in given.items():
+        for f in range(own[0], own[-1] + 1):
+            last = told.get((s, f), last if f > own[0] else None)
+            want.append((s, f, last))
+    assert sorted((x.series_id, x.frame_id, x.pose) for x in spark.read.parquet(str(tmp_path / "out")).collect()) == want
+    assert sum(x.stat().st_size for x in (tmp_path / "out").glob("*.parquet")) < len(want)
+
+
 def test_signal_offset_counts_few_pairs_without_blocks(monkeypatch):
     """Few pairs are counted one by one; both ways give the same lag."""
     r = random.Random(2)
